@@ -10,6 +10,7 @@ from granary.llm.common import table
 from granary.llm.chat_format import digests, format_conversations, text_parts
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.mixing import mix
+from granary.llm.ngram_join import near_duplicates
 from granary.llm.packing import pack
 from granary.llm.quality_rules import quality_rules
 from granary.llm.sql import ORACLE
@@ -39,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,7 +52,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_packing, op6_quality_rules, op9_chat_format)}
+    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_packing, op6_quality_rules, op7_ngram_join, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

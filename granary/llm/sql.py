@@ -90,4 +90,20 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLE = {"op1_mixing": MIX, "op3_exact_dedup": EXACT, "op6_quality_rules": quality(), "op9_chat_format": CHAT}
+NGRAMS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS gram FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT doc_id, md5(string_agg(gram, chr(10) ORDER BY gram)) AS h FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS k FROM h),
+r AS (SELECT g.doc_id, gram FROM g JOIN k USING (doc_id) WHERE doc_id = k.k),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.id),
+m AS (SELECT id, min(root) AS root FROM t GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, k.k, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.id = k.k
+"""
+
+ORACLE = {"op1_mixing": MIX, "op3_exact_dedup": EXACT, "op6_quality_rules": quality(), "op7_ngram_join": NGRAMS, "op9_chat_format": CHAT}
