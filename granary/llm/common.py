@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,22 @@ def concat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), at
 
 
+#: Bytes of text that a vectorised step takes at once (a longer text is taken alone).
+SLICE_BYTES = 2 << 20
+
+
+def sliced(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit bytes."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (public splitmix constants)."""
     x = x.astype(np.uint64, copy=True)

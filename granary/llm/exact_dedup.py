@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WS_BYTES, batch_of, byte_table, concat_bytes, materialize
+from granary.llm.common import WS_BYTES, batch_of, byte_table, concat_bytes, materialize, sliced
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
 GEAR = byte_table(3)
@@ -52,10 +52,11 @@ def cut_points(data: np.ndarray, at: np.ndarray, min_chunk: int = MIN_CHUNK, max
 def _chunks(batch: pa.RecordBatch, digest_bytes: int):
     """(row, normalised text, [(digest, chunk)]) for each row of a batch whose second column is the text as bytes."""
     texts = [(t or b"").translate(None, WS_BYTES) for t in batch.column("text").to_pylist()]
-    data, at = concat_bytes(texts)
-    for i, (text, ends) in enumerate(zip(texts, cut_points(data, at))):
-        parts = [text[a:b] for a, b in zip([0, *ends], ends)]
-        yield i, text, [(hashlib.blake2b(p, digest_size=digest_bytes).digest(), p) for p in parts]
+    for first, last in sliced(texts):
+        data, at = concat_bytes(texts[first:last])
+        for i, ends in enumerate(cut_points(data, at), first):
+            parts = [texts[i][a:b] for a, b in zip([0, *ends], ends)]
+            yield i, texts[i], [(hashlib.blake2b(p, digest_size=digest_bytes).digest(), p) for p in parts]
 
 
 def chunk_recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:

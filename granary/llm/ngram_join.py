@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.blobs import bucket_count, cut, joined, runs
-from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, spread_of
+from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, sliced, spread_of
 from granary.llm.graph import components
 
-SLICE_BYTES, MAX_LIGHT, BASE, ALL_PAIRS = 4 << 20, 40, np.uint64(0x9E3779B97F4A7C15), 8
+MAX_LIGHT, BASE, ALL_PAIRS = 40, np.uint64(0x9E3779B97F4A7C15), 8
 CHARS = byte_table(7)
 IS_WS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 RES_BITS = np.uint64(48)
@@ -88,17 +88,6 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def sliced(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield a, i
-            a, size = i, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
-
-
 META = [("row_id", "<i8"), ("doc_id", "<i8"), ("has_id", "u1"), ("n", "<i8"), ("hi", "<u8"), ("lo", "<u8")]
 
 
