@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm.common import table
 from granary.llm.chat_format import digests, format_conversations, text_parts
@@ -14,6 +15,7 @@ from granary.llm.ngram_join import near_duplicates
 from granary.llm.packing import pack
 from granary.llm.quality_rules import quality_rules
 from granary.llm.sql import ORACLE
+from granary.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
@@ -52,7 +60,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_packing, op6_quality_rules, op7_ngram_join, op9_chat_format)}
+    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

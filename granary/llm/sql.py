@@ -106,4 +106,20 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, k.k, w
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.id = k.k
 """
 
-ORACLE = {"op1_mixing": MIX, "op3_exact_dedup": EXACT, "op6_quality_rules": quality(), "op7_ngram_join": NGRAMS, "op9_chat_format": CHAT}
+REPEATS = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM d, unnest(range(0, length(h) // 2 - 49)) AS u(i)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE first < doc_id),
+-- removed runs: windows that begin within 50 bytes of the one before join up
+s AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM g)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM r),
+t AS (SELECT k.doc_id, sum(b - t)::BIGINT AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * f + 1, 2 * (t - f)) || CASE WHEN final THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY t) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE = {"op1_mixing": MIX, "op3_exact_dedup": EXACT, "op5_suffix_dedup": REPEATS, "op6_quality_rules": quality(), "op7_ngram_join": NGRAMS, "op9_chat_format": CHAT}
