@@ -14,7 +14,9 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +25,42 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import batch_of, materialize
 
-WINDOW, SEPARATOR, GROUP, WORDS_KEPT = 2048, 1, 16384, 400_000
+WINDOW, SEPARATOR, GROUP, WORDS_KEPT = 2048, 1, 16384, 500_000
 PIECES = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordIds:
-    """Token ids of white-space-separated words, remembered up to a bound. Right for tokenizers whose tokens never span white space."""
+class WordIds(dict):
+    """Token ids (bytes, little-endian 32-bit) of white-space-separated words, remembered up to a bound: two generations of `kept` words.
+
+    Right for tokenizers that lower the case and whose tokens never span white space.
+    """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.kept = Tokenizer.from_file(path), {}, kept
+        super().__init__()
+        self.tokenizer, self.older, self.kept = Tokenizer.from_file(path), {}, kept
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def ids(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # else the case of what looks like a special token must stay
+            text = text.lower()
+        return b"".join([self[w] for w in text.split()])  # bytes split on ASCII white space alone
+
 
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()  # bytes split on ASCII white space alone
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.kept:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for at in range(0, len(missing), 10_000):
-                part = missing[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+@cache
+def coder_of(path: str) -> WordIds:
+    """One for each worker process, which serves many tasks."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
@@ -55,12 +68,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, sep
     out = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer_path)
+        coder = coder_of(tokenizer_path)
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             rows = []
             for row, doc, text in zip(batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = memoryview(coder.ids(text or b"").tobytes() + end)
+                ids = memoryview(coder.ids(text or b"") + end)
                 n = len(ids) // 4
                 rows += [(row, doc, a, min(window, n - a), zlib.crc32(ids[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             yield batch_of(out, *zip(*rows)) if rows else batch_of(out, *([] for _ in out))
