@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from granary.llm.common import table
 from granary.llm.chat_format import digests, format_conversations, text_parts
 from granary.llm.exact_dedup import exact_dedup
+from granary.llm.language_id import identify
 from granary.llm.mixing import mix
 from granary.llm.ngram_join import near_duplicates
 from granary.llm.packing import pack
+from granary.llm.page_text import main_text
 from granary.llm.quality_rules import quality_rules
 from granary.llm.sql import ORACLE
 from granary.llm.suffix_dedup import remove_repeats
+from granary.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +59,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,8 +70,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(text_parts(turns.unionByName(more))))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op9_chat_format)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_toxicity, op9_chat_format, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
