@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
+from granary.plans import text_queries, tokenizer_queries
+
+REGISTRY: dict = {**text_queries.REGISTRY, **tokenizer_queries.REGISTRY}
 
 
 def queries() -> dict:
