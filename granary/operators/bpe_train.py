@@ -105,14 +105,18 @@ def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     words = materialize(counts.select(wrap(F.col("piece")).alias("wrapped"), "count").coalesce(8), "words")
     rounds = 0
     while len(tokens) < target:
-        spark = words.sparkSession
-        found = pair_counts(words)
-        order = spark.createDataFrame(list(ids.items()), "token string, id int")
-        keyed = found.join(F.broadcast(order.toDF("left", "l")), "left").join(F.broadcast(order.toDF("right", "r")), "right")
-        top = keyed.orderBy(F.desc("count"), "l", "r").limit(FETCH).select("left", "right", "count").collect()
+        found, fetch = pair_counts(words), FETCH
+        while True:  # the last count in sight may go on beyond it, so its pairs are left out
+            seen = found.orderBy(F.desc("count")).limit(fetch).collect()
+            whole = len(seen) < fetch
+            top = [r for r in seen if whole or r["count"] > seen[-1]["count"]]
+            if whole or top:
+                break
+            fetch *= 8
+        top.sort(key=lambda r: (-r["count"], ids[r.left], ids[r.right]))
         if not top:
             raise ValueError(f"only {len(tokens)} of {target} trained entries can be made from this text")
-        new = batch([tuple(r) for r in top], ids, target - len(tokens), len(top) < FETCH)
+        new = batch([tuple(r) for r in top], ids, target - len(tokens), whole)
         column = F.col("wrapped")
         for a, b in new:
             merges.append((a, b))
