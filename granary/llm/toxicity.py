@@ -5,7 +5,7 @@ categories before it. For training those probabilities are out of fold: each lab
 that did not see it, so a later model learns from probabilities like those it will meet.
 
 Words are runs of letters, lower-cased, by presence; the vocabulary has the words of at least `min_docs` labelled documents, so no two words share a
-feature. Bound: at most `max_labelled` labelled documents are fitted on, chosen by a hash of doc_id. All documents are scored, by whole text.
+feature; a lasso penalty keeps the words that matter. Bound: at most `max_labelled` labelled documents are fitted on, chosen by a hash of doc_id. All documents are scored, by whole text.
 
 Defined results: null or empty text has no words and gets the base rate; documents without a label, or with a null label in some category, are not fitted on; several
 labels of one document count as the largest; without labels every probability is 0; repeated rows are scored each; an empty table gives an empty result.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import materialize
 
-MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, RIDGE, ITERATIONS = 20_000, 10, 50_000, 3, 1e-3, 40
+MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, ITERATIONS, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 40, 0.35
 
 
 def words(docs: DataFrame, *more: Column | str) -> DataFrame:
@@ -29,8 +29,8 @@ def words(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("words"), *more)
 
 
-def _model(rows: DataFrame, label: str, inputs: str):
-    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=RIDGE, maxIter=ITERATIONS, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
+def _model(rows: DataFrame, label: str, inputs: str, penalty: float):
+    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
 
 
 def _probability(model, rows: DataFrame, name: str) -> DataFrame:
@@ -61,12 +61,13 @@ def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
             raise
         vectors = vectors.setMinDF(1.0).fit(fitted)
     rows = materialize(vectors.transform(fitted).drop("words"), "vectors")
+    penalty = PENALTY / max(1, rows.count()) ** 0.5  # lasso: falls with the root of the sample
     models, earlier = [], []
     for i, c in enumerate(names):
         seen = _assemble(rows, earlier)
-        models.append(_model(seen, c, "inputs"))
+        models.append(_model(seen, c, "inputs", penalty))
         if i + 1 < len(names):
-            folds = [_probability(_model(seen.filter(F.col("fold") != f), c, "inputs"), seen.filter(F.col("fold") == f), f"p_{c}") for f in range(FOLDS)]
+            folds = [_probability(_model(seen.filter(F.col("fold") != f), c, "inputs", penalty), seen.filter(F.col("fold") == f), f"p_{c}") for f in range(FOLDS)]
             out = folds[0]
             for more in folds[1:]:
                 out = out.unionByName(more)
@@ -79,7 +80,7 @@ def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     return scored.select("doc_id", *earlier)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, toxic."""
     scored = chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
