@@ -9,7 +9,7 @@ sets scan the inverted lists of prefix shingles, in which light sets are entered
 enumerated subsets plus scanned entries are fewest, from counts over all sets.
 
 Documents with equal sets are one class. Within a key (subset or list) not all pairs are formed: a few pivots are compared
-with the rest, exact links merge classes into components, and keys whose members are all in one component are done. Pivots leave their
+with the rest (pairs whose parity sketches differ in too many bits cannot link and are not formed), exact links merge classes into components, and keys whose members are all in one component are done. Pivots leave their
 key when compared with all of it, and their number grows fourfold each round, so every pair that is not already connected is verified and no
 link between components is lost.
 
@@ -32,10 +32,11 @@ from granary.llm.blobs import bucket_count, cut, joined, runs
 from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, sliced, spread_of
 from granary.llm.graph import components
 
-MAX_LIGHT, BASE, ALL_PAIRS = 40, np.uint64(0x9E3779B97F4A7C15), 8
+MAX_LIGHT, WORDS_OF_SKETCH, BASE, ALL_PAIRS = 40, 8, np.uint64(0x9E3779B97F4A7C15), 8
 CHARS = byte_table(7)
 IS_WS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 RES_BITS = np.uint64(48)
+SKETCH = [f"k{i}" for i in range(WORDS_OF_SKETCH)]
 
 
 class Powers:
@@ -91,8 +92,14 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 META = [("row_id", "<i8"), ("doc_id", "<i8"), ("has_id", "u1"), ("n", "<i8"), ("hi", "<u8"), ("lo", "<u8")]
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits that tokens flip, one each: two sketches differ in no more bits than their sets differ in tokens."""
+    bits = np.bincount((mix64(tokens.view(np.uint64)) & np.uint64(64 * WORDS_OF_SKETCH - 1)).astype(np.int64), minlength=64 * WORDS_OF_SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """row_id, doc_id, n, set_hi, set_lo, n_shared, prefix array<long>, shared array<long> (both empty where no link is possible)."""
+    """row_id, doc_id, n, set_hi, set_lo, n_shared, prefix array<long>, shared array<long> (both empty where no link is possible) and SKETCH of the shared ones."""
     buckets = bucket_count(spread_of(docs))
     dealt = pa.schema([("bucket", pa.int64()), ("res", pa.binary()), ("doc", pa.binary()), ("meta", pa.binary())])
 
@@ -131,7 +138,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         out += [(b, None, None, None, m) for b, m in cut(meta["row_id"] % buckets, [meta])]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] + [pa.binary()] * 4)], names=["bucket", "doc", "token", "df", "meta"])
 
-    found = pa.schema([*((c, pa.int64()) for c in ("row_id", "doc_id", "n", "set_hi", "set_lo", "n_shared")), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+    found = pa.schema([*((c, pa.int64()) for c in ("row_id", "doc_id", "n", "set_hi", "set_lo", "n_shared")), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())), *((c, pa.int64()) for c in SKETCH)])
 
     def gather(table: pa.Table) -> pa.Table:
         meta = joined(table, "meta", META)
@@ -139,19 +146,21 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         order = np.lexsort((token, df, doc))
         doc, token = doc[order], token[order]
         a, b = np.searchsorted(doc, meta["row_id"]), np.searchsorted(doc, meta["row_id"], "right")
-        prefixes, shares = [], []
-        for x, y, n in zip(a.tolist(), b.tolist(), meta["n"].tolist()):
+        prefixes, shares, sketches = [], [], np.zeros((len(meta), WORDS_OF_SKETCH), np.int64)
+        for i, (x, y, n) in enumerate(zip(a.tolist(), b.tolist(), meta["n"].tolist())):
             take = n - -(-num * n // den) + 1 - (n - (y - x)) if n else 0  # prefix length less the unshared shingles
             prefixes.append(token[x : x + take] if take > 0 else token[:0])
             shares.append(np.sort(token[x:y]) if take > 0 else token[:0])
+            if take > 0:
+                sketches[i] = parity_sketch(token[x:y])
         ids = pa.array(meta["doc_id"], pa.int64(), mask=meta["has_id"] == 0)
         lists = [pa.array(p, pa.list_(pa.int64())) for p in (prefixes, shares)]
-        return pa.table([meta["row_id"], ids, meta["n"], meta["hi"].view("<i8"), meta["lo"].view("<i8"), b - a, *lists], schema=found)
+        return pa.table([meta["row_id"], ids, meta["n"], meta["hi"].view("<i8"), meta["lo"].view("<i8"), b - a, *lists, *sketches.T.copy()], schema=found)
 
     read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     tokens = read.mapInArrow(deal, "bucket long, res binary, doc binary, meta binary")
     shared = tokens.groupBy("bucket").applyInArrow(count, "bucket long, doc binary, token binary, df binary, meta binary")
-    schema = "row_id long, doc_id long, n long, set_hi long, set_lo long, n_shared long, prefix array<long>, shared array<long>"
+    schema = "row_id long, doc_id long, n long, set_hi long, set_lo long, n_shared long, prefix array<long>, shared array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     return materialize(shared.groupBy("bucket").applyInArrow(gather, schema), "sets")
 
 
@@ -179,8 +188,8 @@ def boundary(sets: DataFrame, num: int, den: int) -> int:
 
 
 def subset_keys(light: DataFrame, num: int, den: int) -> DataFrame:
-    """key, id, n, n_shared: hashes of all subsets of the sizes needed, from shared shingles alone."""
-    out = pa.schema([(c, pa.int64()) for c in ("key", "id", "n", "n_shared")])
+    """key, id: hashes of all subsets of the sizes needed, from shared shingles alone."""
+    out = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +202,13 @@ def subset_keys(light: DataFrame, num: int, den: int) -> DataFrame:
                         keys.append(mix64(np.add.reduce(tokens) - gone + np.uint64(c)))
                 if keys:
                     key = np.concatenate(keys).view(np.int64)
-                    yield batch_of(out, key, *(np.full(len(key), v) for v in (i, n, len(shared))))
+                    yield batch_of(out, key, np.full(len(key), i))
 
-    return light.select("id", "n", "shared").mapInArrow(scan, "key long, id long, n long, n_shared long")
+    return light.select("id", "n", "shared").mapInArrow(scan, "key long, id long")
 
 
 def links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """id, label: components of classes that exact links connect. entries: key, id, n, n_shared, light (met through subsets)."""
+    """id, label: components of classes that exact links connect. entries: key, id, n, n_shared, SKETCH, light (met through subsets), key_kind."""
     spark = entries.sparkSession
     sets = sets.select("id", "n", "shared")
     labels = None
@@ -213,7 +222,9 @@ def links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         # small keys: every member is a pivot; large keys: the first by hash and about `pivots` more
         is_pivot = (F.col("size") <= ALL_PAIRS) | (F.col("id") == F.col("first")) | (F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(1 << 30)) < F.lit(float(pivots << 30)) / F.col("size"))
         live = live.withColumn("pivot", is_pivot)
-        p = live.filter("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "n_shared", "light", "comp")))
+        p = live.filter("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "n_shared", "light", "comp", *SKETCH)))
+        # shingles that differ at least: the unshared ones and the bits in which sketches of the shared ones differ
+        differ = F.col("n") - F.col("n_shared") + F.col("p_n") - F.col("p_n_shared") + sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in SKETCH), F.lit(0))
         need = F.ceil((F.col("n") + F.col("p_n")) * F.lit(num) / F.lit(float(num + den)) - 1e-9)
         pairs = live.join(p, "key").filter(
             (F.col("comp") != F.col("p_comp"))
@@ -221,6 +232,7 @@ def links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             & ~(F.col("light") & F.col("p_light") & (F.col("key_kind") == 0))
             & (F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num)
             & (F.least("n_shared", "p_n_shared") >= need)
+            & (differ <= F.col("n") + F.col("p_n") - 2 * need)
         )
         pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"), F.least("comp", "p_comp").alias("ca"), F.greatest("comp", "p_comp").alias("cb")).distinct()
         left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
@@ -251,8 +263,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     open_ = materialize(open_.join(rows.filter("row_id = id").select("id"), "id", "left_semi"), "open")
     x = boundary(open_, num, den)
     light = (F.col("n") <= x).alias("light")
-    lists = open_.select(F.explode("prefix").alias("key"), "id", "n", "n_shared", light, F.lit(0).alias("key_kind"))
-    subsets = subset_keys(open_.filter(F.col("n") <= x), num, den).select("key", "id", "n", "n_shared", F.lit(True).alias("light"), F.lit(1).alias("key_kind"))
+    facts = open_.select("id", "n", "n_shared", light, *SKETCH)
+    lists = open_.select(F.explode("prefix").alias("key"), "id", "n", "n_shared", light, *SKETCH, F.lit(0).alias("key_kind"))
+    subsets = subset_keys(open_.filter(F.col("n") <= x), num, den).join(facts, "id").withColumn("key_kind", F.lit(1))
     labels = links(lists.unionByName(subsets), open_, num, den)
     named = rows.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id"))
     named = materialize(named.select("doc_id", "n", "comp", "first"), "named")
