@@ -21,19 +21,19 @@ from granary.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each component of near copies (five words, 0.8)."""
     kept = near_duplicates(docs, size=5, num=8, den=10).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

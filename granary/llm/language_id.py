@@ -99,7 +99,7 @@ def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, np.ndarray]]:
     """At most per_lang documents a language as gram sets, languages in turn; the choice depends on doc_id alone."""
-    may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
+    may = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
     keys = may.select(F.col("doc_id").alias("_id"), "lang", F.md5(F.col("doc_id").cast("string")).alias("u"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "_id"))
     chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("_id", "rank").dropDuplicates(["_id"])

@@ -99,12 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each document copies times, and once more its first `extra` words where extra > 0. Columns as in docs."""
     plan = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "copies", "extra", "size")
-    both = docs.join(plan, docs["doc_id"] == plan["_id"])
+    rows = docs.select(F.struct("*").alias("_doc"))  # so that columns of docs cannot clash with those of the plan
+    both = rows.join(plan, rows["_doc"]["doc_id"] == plan["_id"])
     # a list of word counts: the whole text (-1) for whole repetitions, a part for the last
     part = F.when(F.col("extra") <= 0, F.array().cast("array<long>")).when(F.col("extra") == F.col("size"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(F.col("extra")))
     times = F.concat(F.expr("array_repeat(-1L, CAST(copies AS INT))"), part)
-    rows = both.withColumn("_take", F.explode(times))
-    first = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, greatest(CAST(_take AS INT), 0)), ' ')")
-    text = F.when(F.col("_take") < 0, F.col("text")).otherwise(first)
-    keep = [F.col(c) for c in docs.columns]
-    return rows.withColumn("text", text).select(*keep)
+    both = both.withColumn("_take", F.explode(times))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), 0), 1, F.greatest(F.col("_take").cast("int"), F.lit(0))), " ")
+    text = F.when(F.col("_take") < 0, F.col("_doc.text")).otherwise(first)
+    return both.select(*(text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns))
