@@ -29,7 +29,7 @@ def word_count(x: Column) -> Column:
 
 
 def normalize_markdown(x: Column) -> Column:
-    x = F.replace(x, F.lit(" "), F.lit(" "))
+    x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
     x = F.regexp_replace(x, r"[ \t]+\n", "\n")
     x = F.regexp_replace(x, r"\n{4,}", "\n\n\n")
     x = F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")
@@ -79,4 +79,4 @@ def nfc(x: pd.Series) -> pd.Series:
 def nfc_normalize(docs: DataFrame) -> DataFrame:
     """doc_id, text, changed, joiners (zero-width joiners and non-joiners, which NFC keeps)."""
     rows = docs.select("doc_id", F.col("text").alias("before"), nfc("text").alias("text"))
-    return rows.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"), F.regexp_count("text", F.lit("[‌‍]")).alias("joiners"))
+    return rows.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"), F.regexp_count("text", F.lit("[\u200c\u200d]")).alias("joiners"))

@@ -23,13 +23,13 @@ def test_units_and_words(documents):
 
 
 def test_normalize_markdown(documents):
-    text = " a b \t\n\n\n\n\nc　 "
+    text = "\u3000a\u00a0b \t\n\n\n\n\nc\u3000 "
     assert documents([(1, text), (2, "")]).select(T.normalize_markdown(F.col("text"))).orderBy("doc_id").toPandas().iloc[:, 0].tolist() == ["a b\n\n\nc\n", "\n"]
 
 
 def test_nfc_keeps_joiners(documents):
-    r = T.nfc_normalize(documents([(1, "é क्‍ष")])).first()
-    assert (r.text, r.changed, r.joiners) == ("é क्‍ष", True, 1)
+    r = T.nfc_normalize(documents([(1, "e\u0301 \u0915\u094d\u200d\u0937")])).first()
+    assert (r.text, r.changed, r.joiners) == ("\u00e9 \u0915\u094d\u200d\u0937", True, 1)
 
 
 def test_integrity_check(spark):
@@ -59,7 +59,7 @@ def test_parse_pages_rows(spark):
 def vocabulary(spark, documents):
     docs = documents([(1, "the cat sat on the mat\nthe cat ate the rat that sat\n", "en"), (2, "le chat et le rat\nle chat dort", "fr")])
     counts = bpe.weighted_piece_counts(docs, {"en": 2, "fr": 3})
-    return bpe.train(counts, 256 + 60), counts
+    return bpe.train(counts, 256 + 36), counts
 
 
 def sequential(counts, size):
@@ -88,7 +88,7 @@ def sequential(counts, size):
 
 def test_training_equals_sequential_merging(vocabulary):
     v, counts = vocabulary
-    tokens, merges = sequential(counts, 316)
+    tokens, merges = sequential(counts, 292)
     assert v.tokens[:-256] == tokens and v.merges == merges
 
 
