@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, packing.
 
 Each stage reads what the one before kept. doc_id is the key of documents; after mixing a doc_id occurs once for each
-repetition taken.
+repetition taken. Kept ids grow with the input, so they are never broadcast: filters by id are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -20,19 +20,19 @@ from granary.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_id"))
+    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_id")).hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each component of near copies (five words, 0.8)."""
-    kept = near_duplicates(docs, size=5, num=8, den=10).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_id"))
+    kept = near_duplicates(docs, size=5, num=8, den=10).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_id")).hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
