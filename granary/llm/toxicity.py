@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import materialize
 
-MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, ITERATIONS, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 40, 0.35
+MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, ITERATIONS, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 12, 0.35
 
 
 def words(docs: DataFrame, *more: Column | str) -> DataFrame:
@@ -30,7 +30,7 @@ def words(docs: DataFrame, *more: Column | str) -> DataFrame:
 
 
 def _model(rows: DataFrame, label: str, inputs: str, penalty: float):
-    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
+    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, tol=1e-3, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
 
 
 def _probability(model, rows: DataFrame, name: str) -> DataFrame:
