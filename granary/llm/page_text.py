@@ -1,12 +1,13 @@
 """Main text of pages by nearest-URL page differencing.
 
 Every page is parsed to lines (blocks of text). Lines in parts that name themselves as furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) go at once. Within each host a page is paired with the neighbour
+notices, adverts, forms, comments, scripts, styles) go at once. Within each host every page is paired with the neighbour
 in path order that shares the longer beginning of its path; the lines of both are aligned by longest common
 subsequence and shared lines are deleted.
 
-Differencing alone deletes an article that a mirror of the page repeats, so lines inside the page's own article or main
-element are exempt, and such a page is told by the element alone (by all its lines if the element is empty); and a pair that shares nearly all lines counts as one page at two addresses, which tells nothing.
+Differencing alone deletes an article that a mirror of the page repeats, so a shared line is left where it stands inside the page's own
+article or main element; and a mirror (the same article lines, or all the same lines where neither has an article) tells nothing, so the
+neighbours are the nearest pages on either side that are none. A page without such a neighbour is told by its article alone (by all its lines if it has none).
 
 Order comes from range partitions whose ends are passed on, so the pages of one host never meet in one task; what is aligned are hashes of lines.
 
@@ -25,7 +26,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,8 +39,6 @@ CONTAINERS = {"div", "section", "article", "main", "header", "ul", "ol", "table"
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "section", "article", "main", "header", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "fieldset", "legend"} | FURNITURE
 FURNITURE_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "banner", "ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "share", "social", "comment", "comments", "disqus", "breadcrumb", "breadcrumbs", "related", "popup", "modal", "login", "search", "complementary", "contentinfo"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
-COPY_SHARE = 0.8
-HAS_ARTICLE = r"(?i)<(article|main)\b"
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -139,12 +138,12 @@ def line_hash(text: str) -> int:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """row_id, host, path, lines array<long>: hashes of lines, for pages without an article or main element."""
-    out = pa.schema([("row_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))])
+    """row_id, host, path, same, lines array<long>: hashes of lines; same is equal for mirrors."""
+    out = pa.schema([("row_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, lines = [], [], []
+            hosts, paths, same, lines = [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 try:
                     parts = urlsplit(url or "")
@@ -153,26 +152,56 @@ def page_lines(pages: DataFrame) -> DataFrame:
                 except ValueError:
                     hosts.append("")
                     paths.append(url)
-                lines.append([line_hash(x[0]) for x in lines_of(page or "")])
-            yield batch_of(out, batch.column("row_id"), hosts, paths, lines)
+                found = lines_of(page or "")
+                inside = [x[0] for x in found if x[1]]
+                same.append(line_hash("\n\n".join(["article", *inside] if inside else ["page", *(x[0] for x in found)])))
+                lines.append([line_hash(x[0]) for x in found])
+            yield batch_of(out, batch.column("row_id"), hosts, paths, same, lines)
 
     read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read.filter(~F.coalesce(F.col("html").rlike(HAS_ARTICLE), F.lit(False))).mapInArrow(scan, "row_id long, host string, path string, lines array<long>")
+    return read.mapInArrow(scan, "row_id long, host string, path string, same long, lines array<long>")
+
+
+def beyond(ends: list[dict]) -> list[dict | None]:
+    """For each of ends (first, last, other: the nearest row before the last that is no mirror of it), in order: the nearest row before them that is no mirror of the first."""
+    key = lambda x: (x["host"], x["same"])
+    out, last, other = [], None, None
+    for e in ends:
+        out.append(last if last and key(last) != key(e["first"]) else other)
+        last, other = e["last"], e["other"] or (last if last and key(last) != key(e["last"]) else other)
+    return out
 
 
 def shared_lines(keys: DataFrame) -> DataFrame:
-    """row_id, shared array<int>: places of the lines that the page's nearest neighbour has too. keys: as from page_lines, of pages without an article."""
+    """row_id, shared array<int>: places of the lines that the page's nearest neighbour has too, for pages with a neighbour. keys: as from page_lines."""
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "row_id"]
     parts = materialize(keys.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "page-order")
-    me = F.struct(*order, "lines")
-    within = Window.partitionBy("part").orderBy(*order)
-    rows = parts.withColumn("before", F.lag(me).over(within)).withColumn("after", F.lead(me).over(within))
+    me = F.struct(*order, "same", "lines")
+    run = F.struct("host", "same")
+
+    def nearest(sort: list) -> Column:
+        """The nearest row before, in this order, that is no mirror; null in the first run of a range partition."""
+        within = Window.partitionBy("part").orderBy(*sort)
+        starts = F.lag(run).over(within) != run
+        return F.last(F.when(starts, F.lag(me).over(within)), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+
+    rows = parts.withColumn("before", nearest(order)).withColumn("after", nearest([F.desc(c) for c in order]))
     # one row per range partition: what lies beyond each end
-    ends = parts.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last"))
-    by_part = Window.orderBy("part")
-    ends = ends.select("part", F.lag("last").over(by_part).alias("left"), F.lead("first").over(by_part).alias("right"))
+    ends = rows.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.min_by("after", F.struct(*order)).alias("first_other"), F.max_by("before", F.struct(*order)).alias("last_other"))
+    side = ends.schema["first"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["part"])
+        left = beyond([{"first": r["first"], "last": r["last"], "other": r["last_other"]} for r in found])
+        right = beyond([{"first": r["last"], "last": r["first"], "other": r["first_other"]} for r in reversed(found)])[::-1]
+        if found:
+            yield pa.RecordBatch.from_pylist([{"part": r["part"], "left": a, "right": b} for r, a, b in zip(found, left, right)], schema=bounds)
+
+    row = pa.struct([("host", pa.string()), ("path", pa.string()), ("row_id", pa.int64()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
+    bounds = pa.schema([("part", pa.int32()), ("left", row), ("right", row)])
+    ends = ends.repartition(1).mapInArrow(fold, f"part int, left {side}, right {side}")
     rows = rows.join(ends, "part").select("row_id", "host", "path", "lines", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
     out = pa.schema([("row_id", pa.int64()), ("shared", pa.list_(pa.int32()))])
 
@@ -181,13 +210,10 @@ def shared_lines(keys: DataFrame) -> DataFrame:
             ids, shared = [], []
             for r in batch.to_pylist():
                 near = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"]]
-                if not near:
-                    continue
-                other = max(near, key=lambda x: len(commonprefix((x["path"], r["path"]))))
-                found = common_lines(r["lines"], other["lines"])
-                if found and len(found) < COPY_SHARE * min(len(r["lines"]), len(other["lines"])):
+                if near:
+                    other = max(near, key=lambda x: len(commonprefix((x["path"], r["path"]))))
                     ids.append(r["row_id"])
-                    shared.append(found)
+                    shared.append(common_lines(r["lines"], other["lines"]))
             yield batch_of(out, ids, shared)
 
     return rows.mapInArrow(align, "row_id long, shared array<int>")
@@ -204,11 +230,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist()):
                 found = lines_of(page or "")
-                if any(x[1] for x in found):
-                    found = [x for x in found if x[1]]
-                elif gone:
+                if gone is not None:
                     gone = set(gone)
-                    found = [x for i, x in enumerate(found) if i not in gone]
+                    found = [x for i, x in enumerate(found) if x[1] or i not in gone]
+                elif any(x[1] for x in found):
+                    found = [x for x in found if x[1]]
                 texts.append("\n\n".join(x[0] for x in found))
             yield batch_of(out, batch.column("page_id"), batch.column("url"), texts)
 

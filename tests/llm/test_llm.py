@@ -404,6 +404,21 @@ def test_differencing_deletes_shared_lines(spark):
     assert page_text.main_text(df.limit(0)).count() == 0
 
 
+def test_every_page_is_paired_and_the_article_is_exempt_by_line(spark):
+    article = lambda w: f"<div>Top bar</div><p>Lead {w}</p><article><p>Shared words</p><p>Body {w}</p></article><div>All rights</div>"
+    quoted = "<div>Top bar</div><p>Story</p><!-- <article> --><div>All rights</div>"
+    rows = [(i, f"http://h.org/a/{i}", article(i)) for i in (1, 2)] + [(i, f"http://h.org/a/{i}", article("mirror")) for i in (3, 4, 5)]
+    rows += [(6, "http://h.org/a/6", "<div>Top bar</div><p>No article</p><div>All rights</div>"), (7, "http://h.org/a/7", quoted), (8, "http://lone.org/", article(8))]
+    for n in (1, 9):  # one range partition, and ends that lie inside a run of mirrors
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        for i in range(1, 6):
+            w = i if i < 3 else "mirror"
+            assert got[i] == f"Lead {w}\n\nShared words\n\nBody {w}"
+        assert (got[6], got[7], got[8]) == ("No article", "Story", "Shared words\n\nBody 8")
+
+
 # -- language identification, toxicity
 
 
