@@ -338,6 +338,16 @@ def test_quality_distance(spark, documents):
     assert {r.doc_id for r in rows if not r.kept} == {99}
 
 
+def test_both_quality_histograms_reject(documents):
+    """A text without common words, beside prose whose rest bin holds 0.84; and short text of capitals and marks."""
+    r = random.Random(9)
+    usual = lambda k: " ".join(r.choice(quality_rules.COMMON_WORDS[k]) if j % 6 == 0 else prose(1, r) for j in range(240))
+    texts = [(100 * n + i, usual(k), k) for n, k in enumerate(quality_rules.COMMON_WORDS) for i in range(20)]
+    none = [(900 + n, prose(150, r), k) for n, k in enumerate(quality_rules.COMMON_WORDS)]
+    rows = quality_rules.quality_rules(documents([*texts, *none, (950, "SE!! CION!! " + " ".join(w.upper() + "!!" for w in prose(24, r).split()), "es")])).collect()
+    assert not any(x.base_failed for x in rows) and {x.doc_id for x in rows if not x.kept} == {900, 901, 902, 903, 950}
+
+
 # -- chat format
 
 
