@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import materialize
 
-MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, ITERATIONS, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 12, 0.35
+MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 0.35
+# A fit ends when it has converged; ITERATIONS is only a stop for one that never would. A round is one job of a task for each TASK_ROWS labelled documents.
+TOLERANCE, ITERATIONS, TASK_ROWS = 1e-6, 10_000, 5_000
 
 
 def words(docs: DataFrame, *more: Column | str) -> DataFrame:
@@ -30,7 +32,7 @@ def words(docs: DataFrame, *more: Column | str) -> DataFrame:
 
 
 def _model(rows: DataFrame, label: str, inputs: str, penalty: float):
-    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, tol=1e-3, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
+    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, tol=TOLERANCE, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
 
 
 def _probability(model, rows: DataFrame, name: str) -> DataFrame:
@@ -61,10 +63,12 @@ def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
             raise
         vectors = vectors.setMinDF(1.0).fit(fitted)
     rows = materialize(vectors.transform(fitted).drop("words"), "vectors")
-    penalty = PENALTY / max(1, rows.count()) ** 0.5  # lasso: falls with the root of the sample
+    size = max(1, rows.count())
+    penalty = PENALTY / size**0.5  # lasso: falls with the root of the sample
+    tasks = -(-size // TASK_ROWS)
     models, earlier = [], []
     for i, c in enumerate(names):
-        seen = _assemble(rows, earlier)
+        seen = _assemble(rows.coalesce(tasks), earlier)
         models.append(_model(seen, c, "inputs", penalty))
         if i + 1 < len(names):
             folds = [_probability(_model(seen.filter(F.col("fold") != f), c, "inputs", penalty), seen.filter(F.col("fold") == f), f"p_{c}") for f in range(FOLDS)]

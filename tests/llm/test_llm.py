@@ -470,6 +470,17 @@ def test_toxicity(spark, documents, empty):
     assert not any(x.toxic for x in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
+def test_lasso_fits_have_converged(spark):
+    from pyspark.ml.linalg import Vectors
+
+    r = random.Random(3)
+    sets = [[j for j in range(40) if r.random() < (0.05 + 0.4 * (j % 7 == i % 3))] for i in range(400)]
+    rows = spark.createDataFrame([(float(i % 3 == 0 or r.random() < 0.1), Vectors.sparse(40, [(j, 1.0) for j in x])) for i, x in enumerate(sets)], ["y", "x"])
+    model = toxicity._model(rows, "y", "x", 0.0005)
+    longer = toxicity.LogisticRegression(featuresCol="x", labelCol="y", regParam=0.0005, elasticNetParam=1.0, maxIter=2000, tol=1e-10, standardization=False).fit(rows)
+    assert model.summary.objectiveHistory[-1] - longer.summary.objectiveHistory[-1] < 1e-5 and model.summary.totalIterations < toxicity.ITERATIONS
+
+
 # -- pipeline
 
 
