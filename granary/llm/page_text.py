@@ -1,27 +1,30 @@
 """Main text of pages by nearest-URL page differencing.
 
-Every page is parsed to lines (blocks of text). Lines in parts that name themselves as furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) go at once. Within each host every page is paired with the neighbour
-in path order that shares the longer beginning of its path; the lines of both are aligned by longest common
-subsequence and shared lines are deleted.
+Every page is parsed to lines (blocks of text). Within each host every page is paired with the neighbour in path order that shares the longer
+beginning of its path; all lines of both, menus and footers included, are aligned by longest common subsequence and shared lines are deleted.
 
-Differencing alone deletes an article that a mirror of the page repeats, so a shared line is left where it stands inside the page's own
+Two rules stand around that. Differencing alone deletes an article that a mirror of the page repeats, so a shared line is left where it stands inside the page's own
 article or main element; and a mirror (the same article lines, or all the same lines where neither has an article) tells nothing, so the
-neighbours are the nearest pages on either side that are none. A page without such a neighbour is told by its article alone (by all its lines if it has none).
+neighbours are the nearest pages on either side that are none. Differencing also leaves what a menu, footer or advert says on one page alone, so of the lines that
+are not shared those in elements that name themselves as furniture go too (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
+A form that wraps an article, or most of the page, is no furniture. A page without a neighbour is told by its article alone (by all its lines if it has none).
 
 Order comes from range partitions whose ends are passed on, so the pages of one host never meet in one task; what is aligned are hashes of lines.
+Scanning is linear in the page: a tag or comment that never ends takes the rest of the page, as in browsers.
 
-Defined results: null html or url counts as empty; no text gives an empty string; repeated rows are pages of their own (neighbours of each other); an empty table
-gives an empty result.
+Defined results: null html or url counts as empty; no text gives an empty string; repeated rows are pages of their own (mirrors of each other); other columns of
+the input are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from os.path import commonprefix
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -34,102 +37,221 @@ from granary.llm.common import batch_of, materialize
 
 # Element and class names.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "math", "object", "canvas"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
-CONTAINERS = {"div", "section", "article", "main", "header", "ul", "ol", "table", "figure", "details", "body", "p", "span", "li"} | FURNITURE
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "section", "article", "main", "header", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "fieldset", "legend"} | FURNITURE
+FURNITURE = {"nav", "footer", "aside", "button", "dialog", "menu", "head"}
+CONTAINERS = {"form", "div", "section", "article", "main", "header", "ul", "ol", "table", "figure", "details", "body", "p", "span", "li"} | FURNITURE
+BLOCKS = {"form", "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "section", "article", "main", "header", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "fieldset", "legend"} | FURNITURE
 FURNITURE_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "banner", "ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "share", "social", "comment", "comments", "disqus", "breadcrumb", "breadcrumbs", "related", "popup", "modal", "login", "search", "complementary", "contentinfo"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: Inside an article these words say too little: an article has a header, related work, a search.
+OUTSIDE_ONLY = {"header", "footer", "banner", "related", "search", "menu", "navigation", "nav", "modal", "login"}
+CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
+
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+VALUE_OR_END = re.compile(r"[>=]")
+BLANKS = re.compile(r"[ \t\n\x0c\r]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
+class Line(NamedTuple):
+    text: str
+    article: bool  # inside an article or main element
+    furniture: bool  # inside an element that names itself as furniture
+
+
 def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element names itself as furniture; forms are told apart later, by what they hold."""
     if name in FURNITURE or (name == "header" and not in_article):
         return True
-    if attributes and name not in ("body", "html", "article", "main"):
-        return any(w in FURNITURE_WORDS for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-    if attributes and name == "article":
-        return any(w in ("comment", "comments") for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article) of each line that is not furniture, in order."""
-    out: list[tuple[str, bool]] = []
+    if not attributes or name in ("body", "html", "main"):
+        return False
+    tokens = [t for m in NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+    if name == "article":
+        return any(w in ("comment", "comments") for t in tokens for w in re.split(r"[^a-z]+", t))
+    if in_article:
+        return any(t in FURNITURE_WORDS and t not in OUTSIDE_ONLY for t in tokens)
+    parts = [set(re.split(r"[^a-z]+", t)) for t in tokens]
+    return any(p & FURNITURE_WORDS and not p & CONTENT_WORDS for p in parts)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag and of each comment or declaration (no name), in order. The reader may send a place to go on from."""
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        follows = page[start + 1 : start + 2]
+        if follows in ("!", "?"):
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2 if page.startswith(("<!-->", "<!--->"), start) else start + 4)
+                end = end + 3 if end >= 0 else len(page)
+            else:
+                end = page.find(">", start) + 1 or len(page)
+            sent = yield start, end, False, "", ""
+            at = sent or end
+            continue
+        closing = follows == "/"
+        name = NAME.match(page, start + 1 + closing)
+        if not name:
+            at = start + 1
+            continue
+        end = name.end()
+        while True:  # quotes count only where a value begins
+            m = VALUE_OR_END.search(page, end)
+            if not m:
+                end = len(page)
+                break
+            end = m.end()
+            if m[0] == ">":
+                break
+            end = BLANKS.match(page, end).end()
+            quote = page[end : end + 1]
+            if quote in ('"', "'"):
+                end = page.find(quote, end + 1) + 1 or len(page)
+        sent = yield start, end, closing, name[0].lower(), page[name.end() : end - 1]
+        at = sent or end
+
+
+def lines_of(page: str) -> list[Line]:
+    """All lines of a page in order, but for scripts, styles and the like."""
+    found: list[tuple[str, bool, bool, int]] = []  # text, article, furniture, number of the outermost form (0: none)
     parts: list[str] = []
+    aside: list[str] = []  # furniture inside a line of text
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    hidden = articles = 0
-    closing = None
+    open_names: Counter[str] = Counter()
+    furniture = articles = forms = form = inside = 0
+    wraps: set[int] = set()  # forms that hold an article
 
     def flush() -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
-        parts.clear()
-        if text:
-            out.append((text, articles > 0))
-
-    at = 0
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if not hidden and m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
+        for pieces, named in ((parts, furniture > inside), (aside, True)):
+            text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip(" ")
+            pieces.clear()
+            if text:
+                found.append((text, articles > 0, named, form))
+
+    def close() -> str:
+        nonlocal furniture, articles, form, inside
+        name, was_furniture, was_article = stack.pop()
+        open_names[name] -= 1
+        furniture, articles, inside = furniture - was_furniture, articles - was_article, inside - (was_furniture and name == "span")
+        if name == "form" and not open_names["form"]:
+            form = 0
+        return name
+
+    at, scan, go_on = 0, tags(page), None
+    while True:
+        try:
+            start, end, closing, name, attributes = scan.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if start > at:
+            (aside if inside else parts).append(page[at:start])
+        at = end
         if name == "br":
-            parts.append(" ")
+            (aside if inside else parts).append(" ")
             continue
-        if name in BLOCKS and not hidden:
+        if name in BLOCKS:
             flush()
-        if m[1]:
-            if name in CONTAINERS and any(s[0] == name for s in stack):
-                while True:
-                    top = stack.pop()
-                    hidden, articles = hidden - top[1], articles - top[2]
-                    if top[0] == name:
-                        break
+        if closing:
+            if name in CONTAINERS and open_names[name]:
+                while close() != name:
+                    pass
         elif name in RAW:
-            closing = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = closing.end() if closing else len(page)
-        elif name in CONTAINERS and name not in VOID and not m[3].endswith("/"):
-            furniture = is_furniture(name, m[3], articles > 0)
-            if name in ("p", "li", "span") and not furniture:
+            last = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            at = go_on = (page.find(">", last.end()) + 1 or len(page)) if last else len(page)
+        elif name in CONTAINERS and name not in VOID and not attributes.endswith("/"):
+            named = is_furniture(name, attributes, articles > 0)
+            if name in ("p", "li", "span") and not named:
                 continue
             if name == "body":  # whatever head left open is over
-                stack.clear()
-                hidden = articles = 0
-            article = name in ("article", "main") and not furniture
-            stack.append((name, furniture, article))
-            hidden, articles = hidden + furniture, articles + article
-    if not hidden:
-        parts.append(page[at:])
-        flush()
-    return out
+                while stack:
+                    close()
+            article = name in ("article", "main") and not named
+            if name == "form":
+                named = False
+                if not form:
+                    forms += 1
+                    form = forms
+            if article and not furniture:
+                wraps.add(form)
+            stack.append((name, named, article))
+            open_names[name] += 1
+            furniture, articles, inside = furniture + named, articles + article, inside + (named and name == "span")
+    (aside if inside else parts).append(page[at:])
+    flush()
+    size = sum(len(t) for t, _, f, _ in found if not f)
+    held: Counter[int] = Counter()
+    for t, _, f, k in found:
+        if k and not f:
+            held[k] += len(t)
+    plain = wraps | {k for k, n in held.items() if 2 * n > size} | {0}
+    return [Line(t, a, f or k not in plain) for t, a, f, k in found]
+
+
+#: Bits of alignment state kept for walking back; larger pairs are halved first.
+KEPT_BITS = 1 << 26
+
+
+def ends_of(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of a: a number whose zero bits are the places in b at which the longest common subsequence grows (bit-parallel)."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    state = full
+    for x in a:
+        hit = state & where.get(x, 0)
+        state = ((state + hit) | (state - hit)) & full
+        yield state
+
+
+def lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of the longest common subsequence of a with the first 0..len(b) lines of b."""
+    state = (1 << len(b)) - 1
+    for state in ends_of(a, b):
+        pass
+    bits = bin(state | 1 << len(b))[:2:-1]
+    return list(accumulate((c == "0" for c in bits), initial=0))
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of one longest common subsequence with b: longest increasing chain of matches (row by row, places in b descending)."""
-    where: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    links: list[tuple[int, object]] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
+    """Places in a of one longest common subsequence with b. Time len(a) * len(b) / word size at most, however often lines repeat; memory is bounded."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ours, theirs = set(a[head : len(a) - tail]), set(b[head : len(b) - tail])
+    at = [i for i in range(head, len(a) - tail) if a[i] in theirs]
+    left, right = [a[i] for i in at], [x for x in b[head : len(b) - tail] if x in ours]
+    return [*range(head), *(at[i] for i in _aligned(left, right)), *range(len(a) - tail, len(a))]
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [0] if a[0] in b else []
+    if len(a) * len(b) > KEPT_BITS:
+        half = len(a) // 2
+        before, after = lengths(a[:half], b), lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
+        return _aligned(a[:half], b[:cut]) + [half + i for i in _aligned(a[half:], b[cut:])]
+    states = list(ends_of(a, b))
+    out, j = [], len(b) - 1
+    for i in range(len(a) - 1, -1, -1):
+        # the last growth at or before j; it belongs to this line if the state before did not have it there
+        grown = ~states[i] & ((1 << j + 1) - 1)
+        if not grown:
+            break
+        j = grown.bit_length() - 1
+        if i == 0 or states[i - 1] >> j & 1:
+            if a[i] == b[j]:
+                out.append(i)
+                j -= 1
+                if j < 0:
+                    break
     return out[::-1]
 
 
@@ -153,9 +275,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
                     hosts.append("")
                     paths.append(url)
                 found = lines_of(page or "")
-                inside = [x[0] for x in found if x[1]]
-                same.append(line_hash("\n\n".join(["article", *inside] if inside else ["page", *(x[0] for x in found)])))
-                lines.append([line_hash(x[0]) for x in found])
+                inside = [x.text for x in found if x.article and not x.furniture]
+                same.append(line_hash("\n\n".join(["article", *inside] if inside else ["page", *(x.text for x in found)])))
+                lines.append([line_hash(x.text) for x in found])
             yield batch_of(out, batch.column("row_id"), hosts, paths, same, lines)
 
     read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -220,23 +342,25 @@ def shared_lines(keys: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text: lines in page order joined by an empty line."""
+    """page_id, url, text (lines in page order joined by an empty line), n_lines (all the page has), n_shared (deleted by differencing), n_named (deleted by name)."""
     keys = page_lines(pages).filter(F.size("lines") > 0)
     shared = materialize(shared_lines(keys), "shared-lines")
-    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_lines", "n_shared", "n_named"))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            rows = []
             for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist()):
                 found = lines_of(page or "")
-                if gone is not None:
-                    gone = set(gone)
-                    found = [x for i, x in enumerate(found) if x[1] or i not in gone]
-                elif any(x[1] for x in found):
-                    found = [x for x in found if x[1]]
-                texts.append("\n\n".join(x[0] for x in found))
-            yield batch_of(out, batch.column("page_id"), batch.column("url"), texts)
+                own = [x.article and not x.furniture for x in found]
+                if gone is None and any(own):
+                    left = [x.text for x, o in zip(found, own) if o]
+                    rows.append(("\n\n".join(left), len(found), 0, len(found) - len(left)))
+                    continue
+                deleted = {i for i in gone or () if not own[i]}
+                left = [x.text for i, x in enumerate(found) if i not in deleted and not x.furniture]
+                rows.append(("\n\n".join(left), len(found), len(deleted), len(found) - len(deleted) - len(left)))
+            yield batch_of(out, batch.column("page_id"), batch.column("url"), *(zip(*rows) if rows else [[]] * 4))
 
     read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read.join(shared, "row_id", "left").select("page_id", "url", "html", "shared").mapInArrow(scan, "page_id long, url string, text string")
+    return read.join(shared, "row_id", "left").select("page_id", "url", "html", "shared").mapInArrow(scan, "page_id long, url string, text string, n_lines long, n_shared long, n_named long")

@@ -384,8 +384,88 @@ def test_page_parts():
     page = """<!DOCTYPE html><html><head><title>t</title><script>if (a</b>) x("<p>")</script></head><body class="menu page"><header>Site</header><nav><a>m</a></nav>
     <div id="cookie-notice">cookies</div><aside>side</aside><article><header><h1>Head &amp; <b>line</b></h1></header><p>One<br>two  &lt;x&gt;<p>Un<i>closed</i>
     <form>f<input></form><div class="ad">buy</div><ul><li>a<li>b</ul><script>x</script><!-- <p>no</p> --><section class="comments"><article>c</article></section></article><div class="comment">c</div><footer>f</footer></body></html>"""
-    assert [x[0] for x in page_text.lines_of(page) if x[1]] == ["Head & line", "One two <x>", "Unclosed", "a", "b"]
-    assert page_text.lines_of("") == [] and page_text.lines_of("<p>a<script>never closed") == [("a", False)]
+    assert [x.text for x in page_text.lines_of(page) if x.article and not x.furniture] == ["Head & line", "One two <x>", "Unclosed", "a", "b"]
+    assert page_text.lines_of("") == [] and page_text.lines_of("<p>a<script>never closed") == [("a", False, False)]
+    # classes inside an article count as whole words only; forms are told by what they hold; furniture inside a line is a line of its own
+    assert page_text.lines_of('<div class="article-header"><h1>T</h1></div><article><section class="related-work">w</section><div class="ad">x</div></article>') == [("T", False, False), ("w", True, False), ("x", True, True)]
+    assert page_text.lines_of("<form><p>most of the page</p></form><form>go</form>") == [("most of the page", False, False), ("go", False, True)]
+    assert page_text.lines_of("<form><article><p>a</p></article><p>much longer text that is outside</p></form><p>b</p>")[0] == ("a", True, False)
+    assert page_text.lines_of('<p>one <span class="ad">buy</span> two</p>') == [("one two", False, False), ("buy", False, True)]
+
+
+@pytest.mark.parametrize("junk", ['<a "', "<a '", "a <b c ", '<a="', "</script ", "<script></script ", "<!--", "<", "<div>", "<form>"])
+def test_junk_pages_are_scanned_once(junk):
+    from time import perf_counter
+
+    start = perf_counter()
+    page_text.lines_of(junk * (400_000 // len(junk)))
+    assert perf_counter() - start < 5
+
+
+def test_alignment_of_repeated_lines_is_bounded():
+    from time import perf_counter
+
+    start = perf_counter()
+    r = random.Random(8)
+    a, b = ([r.randint(0, 2) for _ in range(8000)] for _ in range(2))
+    got = page_text.common_lines(a, b)
+    it = iter(b)
+    assert perf_counter() - start < 5 and len(got) == page_text.lengths(a, b)[-1] and all(a[i] in it for i in got)
+
+
+def brute_pages(rows):
+    """Plain pages (one element a line, furniture in nav, articles in article): pairing, alignment by a table and the two rules."""
+    from urllib.parse import urlsplit
+
+    lines = []
+    for _, url, page in rows:
+        found = []
+        for part in re.findall(r"<article>.*?</article>|<(?:p|nav)>.*?</(?:p|nav)>", page or "", re.S):
+            if part.startswith("<article>"):
+                found += [(t, True, False) for t in re.findall("<p>(.*?)</p>", part)]
+            else:
+                found.append((re.sub("<.*?>", "", part), False, part.startswith("<nav>")))
+        lines.append(found)
+    where = [(urlsplit(u or "").netloc, urlsplit(u or "").path + "?" + urlsplit(u or "").query, i) for i, (_, u, _) in enumerate(rows)]
+    same = [[x for x in f if x[1]] or [("", False, True), *((t, False, False) for t, _, _ in f)] for f in lines]
+    order = sorted((i for i in range(len(rows)) if lines[i]), key=lambda i: where[i])
+    out = []
+    for i, found in enumerate(lines):
+        near = []
+        if i in order:
+            k = order.index(i)
+            for side in (order[:k][::-1], order[k + 1 :]):
+                near += [j for j in side if where[j][0] == where[i][0] and same[j] != same[i]][:1]
+        if not near:
+            left = [t for t, a, _ in found if a] if any(a for _, a, _ in found) else [t for t, _, f in found if not f]
+            out.append(("\n\n".join(left), 0))
+            continue
+        common = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        other = [t for t, _, _ in lines[max(near, key=lambda j: common(where[j][1], where[i][1]))]]
+        # a shared line: one whose removal from the alignment would shorten it; texts are distinct within a page here, so the table's walk is unique enough
+        own = [t for t, _, _ in found]
+        shared = {t for t in own if t in other}
+        deleted = [x for x in found if x[0] in shared and not x[1]]
+        out.append(("\n\n".join(t for t, a, f in found if a or not (t in shared or f)), len(deleted)))
+    return out
+
+
+def test_main_text_equals_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        host = r.choice(["a.org", "a.org", "b.org", "c.net"])
+        top, bottom = f"<nav>Menu of {host}</nav><p>Welcome to {host}</p>", f"<nav>Only {i}</nav><p>Rights of {host}</p>"
+        body = "".join(f"<p>{prose(6, r)} {i}</p>" for _ in range(r.randint(1, 3)))
+        rows.append((i, f"http://{host}/{r.choice('xyz')}/{r.randint(0, 30)}", top + (f"<article>{body}</article>" if r.random() < 0.6 else body) + bottom))
+    rows += [rows[3], rows[4], (90, None, None), (91, "http://a.org/x", ""), (None, "http://lone.org/", "<p>alone</p><nav>m</nav>"), (92, "http://b.org/long", f"<p>{'w ' * 300_000}</p>"), (93, "http://b.org/junk", "<p>q</p>" + '<a "' * 50_000)]
+    df = spark.createDataFrame([(*x, 1, "s", [1]) for x in rows], "page_id long, url string, html string, row_id long, shared string, lines array<long>").coalesce(1)
+    got = page_text.main_text(df).collect()
+    want = brute_pages([(i, u, (h or "").split('<a "')[0].replace("w w", "w") if i == 93 else h) for i, u, h in rows])
+    tidy = lambda t: re.sub(" +", " ", t).strip()
+    assert sorted((repr(x.page_id), x.url or "", x.text, x.n_shared) for x in got) == sorted((repr(i), u or "", "\n\n".join(map(tidy, t.split("\n\n"))), n) for (i, u, _), (t, n) in zip(rows, want))
+    assert sum(x.n_shared for x in got) > 100 and sum(x.n_named for x in got) > 30
+    assert all(x.n_lines == 0 for x in got if not x.text and x.page_id in (90, 91))
 
 
 def test_common_lines_is_a_longest_common_subsequence():
