@@ -259,13 +259,17 @@ def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+FOUND = "array<struct<text: string, article: boolean, furniture: boolean>>"
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
-    """row_id, host, path, same, lines array<long>: hashes of lines; same is equal for mirrors."""
-    out = pa.schema([("row_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
+    """row_id, page_id, url, found (the lines, FOUND), host, path, same, lines array<long>: hashes of lines; same is equal for mirrors."""
+    line = pa.struct([("text", pa.string()), ("article", pa.bool_()), ("furniture", pa.bool_())])
+    out = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("found", pa.list_(line)), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, same, lines = [], [], [], []
+            hosts, paths, same, lines, texts = [], [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 try:
                     parts = urlsplit(url or "")
@@ -278,10 +282,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
                 inside = [x.text for x in found if x.article and not x.furniture]
                 same.append(line_hash("\n\n".join(["article", *inside] if inside else ["page", *(x.text for x in found)])))
                 lines.append([line_hash(x.text) for x in found])
-            yield batch_of(out, batch.column("row_id"), hosts, paths, same, lines)
+                texts.append([x._asdict() for x in found])
+            yield batch_of(out, *(batch.column(c) for c in ("row_id", "page_id", "url")), texts, hosts, paths, same, lines)
 
-    read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read.mapInArrow(scan, "row_id long, host string, path string, same long, lines array<long>")
+    read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return read.mapInArrow(scan, f"row_id long, page_id long, url string, found {FOUND}, host string, path string, same long, lines array<long>")
 
 
 def beyond(ends: list[dict]) -> list[dict | None]:
@@ -295,7 +300,7 @@ def beyond(ends: list[dict]) -> list[dict | None]:
 
 
 def shared_lines(keys: DataFrame) -> DataFrame:
-    """row_id, shared array<int>: places of the lines that the page's nearest neighbour has too, for pages with a neighbour. keys: as from page_lines."""
+    """row_id, shared array<boolean>: for each line whether the page's nearest neighbour has it too, for pages with a neighbour. keys: row_id, host, path, same, lines as from page_lines."""
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "row_id"]
@@ -325,7 +330,7 @@ def shared_lines(keys: DataFrame) -> DataFrame:
     bounds = pa.schema([("part", pa.int32()), ("left", row), ("right", row)])
     ends = ends.repartition(1).mapInArrow(fold, f"part int, left {side}, right {side}")
     rows = rows.join(ends, "part").select("row_id", "host", "path", "lines", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
-    out = pa.schema([("row_id", pa.int64()), ("shared", pa.list_(pa.int32()))])
+    out = pa.schema([("row_id", pa.int64()), ("shared", pa.list_(pa.bool_()))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,33 +339,26 @@ def shared_lines(keys: DataFrame) -> DataFrame:
                 near = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"]]
                 if near:
                     other = max(near, key=lambda x: len(commonprefix((x["path"], r["path"]))))
+                    mask = [False] * len(r["lines"])
+                    for i in common_lines(r["lines"], other["lines"]):
+                        mask[i] = True
                     ids.append(r["row_id"])
-                    shared.append(common_lines(r["lines"], other["lines"]))
+                    shared.append(mask)
             yield batch_of(out, ids, shared)
 
-    return rows.mapInArrow(align, "row_id long, shared array<int>")
+    return rows.mapInArrow(align, "row_id long, shared array<boolean>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (lines in page order joined by an empty line), n_lines (all the page has), n_shared (deleted by differencing), n_named (deleted by name)."""
-    keys = page_lines(pages).filter(F.size("lines") > 0)
-    shared = materialize(shared_lines(keys), "shared-lines")
-    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_lines", "n_shared", "n_named"))])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page, gone in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist()):
-                found = lines_of(page or "")
-                own = [x.article and not x.furniture for x in found]
-                if gone is None and any(own):
-                    left = [x.text for x, o in zip(found, own) if o]
-                    rows.append(("\n\n".join(left), len(found), 0, len(found) - len(left)))
-                    continue
-                deleted = {i for i in gone or () if not own[i]}
-                left = [x.text for i, x in enumerate(found) if i not in deleted and not x.furniture]
-                rows.append(("\n\n".join(left), len(found), len(deleted), len(found) - len(deleted) - len(left)))
-            yield batch_of(out, batch.column("page_id"), batch.column("url"), *(zip(*rows) if rows else [[]] * 4))
-
-    read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read.join(shared, "row_id", "left").select("page_id", "url", "html", "shared").mapInArrow(scan, "page_id long, url string, text string, n_lines long, n_shared long, n_named long")
+    parsed = materialize(page_lines(pages), "page-lines")
+    shared = materialize(shared_lines(parsed.filter(F.size("lines") > 0).select("row_id", "host", "path", "same", "lines")), "shared-lines")
+    rows = parsed.select("row_id", "page_id", "url", "found").join(shared, "row_id", "left")
+    own = lambda x: x["article"] & ~x["furniture"]
+    deleted = lambda x, i: F.coalesce(F.get("shared", i), F.lit(False)) & ~own(x)
+    alone = F.col("shared").isNull() & F.exists("found", own)
+    left = F.when(alone, F.filter("found", own)).otherwise(F.filter("found", lambda x, i: ~deleted(x, i) & ~x["furniture"]))
+    n = lambda c: F.size(c).cast("long")
+    rows = rows.select("page_id", "url", left.alias("left"), n("found").alias("n_lines"), n(F.filter("found", deleted)).alias("n_shared"))
+    text = F.array_join(F.col("left.text"), "\n\n")
+    return rows.select("page_id", "url", text.alias("text"), "n_lines", "n_shared", (F.col("n_lines") - F.col("n_shared") - n("left")).alias("n_named"))
