@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # White space of the contracts, as a Java/RE2 class and as bytes.
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a fresh one where that is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,8 +50,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def int_col(name: str):
-    return F.col(name).cast("long")
+def row_ids(docs: DataFrame, key: str | None = None) -> Column:
+    """A number for each row: the column `key` where the caller has one, else the row's place in the input files.
+
+    Places hold as long as a table is cut into the same tasks each time it is read, so the number of tasks is fixed for the session; else it would follow the cores, of which some can be lost.
+    """
+    if key:
+        return F.col(key)
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
