@@ -68,15 +68,17 @@ a AS (SELECT rid, doc_id, lang, len(words)::BIGINT AS n_words, length(regexp_rep
              [{counts}] AS c4, length(t) AS n_chars, listed, list_filter(list_transform(words, lambda x: lower(x)), lambda x: list_contains({_listed(every)}, x)) AS common FROM w),
 b AS (SELECT *, list_append(c4, n_chars - list_sum(c4)) AS chars, list_transform(listed, lambda x: len(list_filter(common, lambda y: y = x))) AS pw FROM a),
 d AS (SELECT * EXCLUDE (c4, common), CASE WHEN listed IS NOT NULL THEN list_append(pw, n_words - list_sum(pw)) END AS commons FROM b),
-f AS (SELECT lang AS l, [{", ".join(f"sum(chars[{i}])" for i in range(1, n_c + 1))}] AS rc, [{", ".join(f"sum(commons[{i}])" for i in range(1, n_w + 1))}] AS rw
-      FROM d WHERE commons IS NOT NULL GROUP BY lang),
-j AS (SELECT d.*, coalesce(v.n_repeat_words, 0)::BIGINT AS n_repeat_words, rc, rw, list_sum(chars)::DOUBLE AS chars_n, list_sum(commons)::DOUBLE AS commons_n,
-             list_sum(rc)::DOUBLE AS rc_n, list_sum(rw)::DOUBLE AS rw_n FROM d LEFT JOIN v USING (rid) LEFT JOIN f ON d.lang = f.l),
-k AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-             CASE WHEN word_chars >= {Q.GUARD_CHARS} AND rc_n > 0 THEN {bins("chars", "rc", n_c)} END AS cd,
+e AS (SELECT d.*, coalesce(v.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (rid)),
+b2 AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM e),
+f AS (SELECT lang AS l, [{", ".join(f"sum(chars[{i}])" for i in range(1, n_c + 1))}] AS rc, [{", ".join(f"sum(commons[{i}])" for i in range(1, n_w + 1))}] AS rw, [{", ".join("0" * (n_w - 1))}, 1] AS zero, 1::DOUBLE AS zero_n
+      FROM b2 WHERE NOT base_failed GROUP BY lang),
+h AS (SELECT *, list_sum(rc)::DOUBLE AS rc_n, list_sum(rw)::DOUBLE AS rw_n FROM f),
+h2 AS (SELECT *, CASE WHEN rw_n > 0 THEN {Q.WORD_LIMIT} * {bins("zero", "rw", n_w)} END AS word_limit FROM h),
+j AS (SELECT b2.*, rc, rw, rc_n, rw_n, word_limit, list_sum(chars)::DOUBLE AS chars_n, list_sum(commons)::DOUBLE AS commons_n FROM b2 LEFT JOIN h2 ON b2.lang IS NOT DISTINCT FROM h2.l),
+k AS (SELECT *, CASE WHEN word_chars >= {Q.GUARD_CHARS} AND rc_n > 0 THEN {bins("chars", "rc", n_c)} END AS cd,
              CASE WHEN n_words >= {Q.GUARD_WORDS} AND rw_n > 0 THEN {bins("commons", "rw", n_w)} END AS wd FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(cd, 0) <= {Q.MAX_CHAR_DISTANCE} AND coalesce(wd, 0) <= {Q.MAX_WORD_DISTANCE} AS kept FROM k
+       NOT base_failed AND coalesce(cd, 0) <= {Q.MAX_CHAR_DISTANCE} AND coalesce(wd <= word_limit, true) AS kept FROM k
 """
 
 
