@@ -1,15 +1,15 @@
 """Language identification with string kernels.
 
-Kernel: blended spectrum of byte n-grams (n = 1, 2, 3) by presence, normalised: common grams over the root of the product of
-the two counts, over the grams that landmarks have. Nystroem: kernel columns to a bounded set of landmark documents, whitened by
+Kernel: blended spectrum of byte n-grams (n = 1, 2, 3) by presence, normalised: grams that both texts have, over the root of the product of
+the two texts' numbers of distinct grams. Nystroem: kernel columns to a bounded set of landmark documents, whitened by
 the landmarks' own kernel. On these features one-versus-rest kernel ridge regression is solved in closed form.
-Scoring is a product of presence rows with one weight matrix (grams by languages), in batches.
+Scoring is a product of presence rows with one weight matrix (grams by languages), in batches; grams that no landmark has count in the norm alone.
 
-Bounds, all parameters: `per_lang` training documents a language, chosen by a hash of doc_id among those that may be learned
-from, and `landmarks` of them. Texts are read whole, in training and in scoring.
+Bounds, all parameters: `per_lang` training rows a language, chosen by a hash of doc_id among those that may be learned
+from, `max_rows` in all (languages in turn), and `landmarks` of them. Texts are read whole, in training and in scoring; a text has at most CODES grams.
 
 Defined results: null text, or a text without a letter, is `und` with score 0; so is every text when nothing can be learned; a null
-doc_id is not held out and not learned from; repeated rows are scored each; an empty table gives an empty result.
+doc_id is not held out and not learned from; repeated rows are scored each; other columns of the input are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import UPPER_TO_LOWER, batch_of, concat_bytes, sliced
+from granary.llm.common import UPPER_TO_LOWER, batch_of, concat_bytes, row_ids, sliced
 
-PER_LANG, LANDMARKS, RIDGE, UNKNOWN = 256, 192, 1e-3, "und"
+PER_LANG, MAX_ROWS, LANDMARKS, RIDGE, UNKNOWN = 256, 4096, 192, 1e-3, "und"
 
 
 def gram_codes(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -46,6 +46,13 @@ def gram_codes(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
 CODES = (1 << 8) + (1 << 16) + (1 << 24)
 
 
+def distinct_count(codes: np.ndarray, last: np.ndarray) -> int:
+    """How many different codes there are: those that are the last of their kind. last: one number for each possible code, whatever it holds."""
+    at = np.arange(len(codes), dtype=last.dtype)
+    last[codes] = at
+    return int(np.count_nonzero(last[codes] == at))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -58,13 +65,16 @@ class Model:
         out[self.grams] = np.arange(1, len(self.grams) + 1)
         return out
 
-    def scores(self, texts: list[bytes], places: np.ndarray) -> np.ndarray:
+    def scores(self, texts: list[bytes], places: np.ndarray, last: np.ndarray) -> np.ndarray:
         data, at = concat_bytes(texts)
         seen = np.zeros((len(texts), len(self.grams) + 1), np.float32)
+        distinct = np.zeros(len(texts), np.int64)
         for text, code in gram_codes(data, at):
             seen[text, places[code]] = 1
-        seen = seen[:, 1:]
-        return (seen @ self.weights) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
+            begin = np.searchsorted(text, np.arange(len(texts) + 1))
+            for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+                distinct[i] += distinct_count(code[a:b], last)
+        return (seen[:, 1:] @ self.weights) / np.sqrt(np.maximum(distinct[:, None], 1))
 
 
 def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -83,7 +93,7 @@ def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
             k = np.searchsorted(grams, s)
             k = k[(k < len(grams))]
             out[i, k[np.isin(grams[k], s)]] = 1
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        return out / np.sqrt(np.maximum(np.array([[len(s)] for s in sets]), 1))
 
     mark, every = presence(marks), presence([r[1] for r in rows])
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
@@ -97,12 +107,13 @@ def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return Model(langs, grams, (mark.T.astype(np.float64) @ whiten @ solved).astype(np.float32))
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, np.ndarray]]:
-    """At most per_lang documents a language as gram sets, languages in turn; the choice depends on doc_id alone."""
-    may = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    keys = may.select(F.col("doc_id").alias("_id"), "lang", F.md5(F.col("doc_id").cast("string")).alias("u"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "_id"))
-    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("_id", "rank").dropDuplicates(["_id"])
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> list[tuple[str, np.ndarray]]:
+    """At most per_lang rows a language and max_rows in all as gram sets, languages in turn; the choice depends on doc_id, then on the row."""
+    may = docs.select(row_ids(docs).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    may = may.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
+    keys = may.select("row_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("u"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "row_id"))
+    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= per_lang).orderBy("rank", "lang").limit(max_rows).select("row_id", "rank")
     out = pa.schema([("lang", pa.string()), ("rank", pa.int32()), ("doc_id", pa.int64()), ("grams", pa.list_(pa.int32()))])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +124,8 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
                 sets.append(np.unique(np.concatenate([np.unique(c) for _, c in gram_codes(data, at)])))
             yield batch_of(out, batch.column("lang"), batch.column("rank"), batch.column("doc_id"), [s.tolist() for s in sets])
 
-    # per_lang keys for each language: bounded
-    picked = may.join(F.broadcast(chosen), may["doc_id"] == chosen["_id"]).select(F.col("lang").cast("string"), "rank", F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    # at most max_rows keys
+    picked = may.join(F.broadcast(chosen), "row_id").select("lang", "rank", "doc_id", F.col("text").cast("binary").alias("text"))
     rows = picked.mapInArrow(grams, "lang string, rank int, doc_id long, grams array<int>").collect()
     return [(r.lang, np.array(r.grams, np.int32)) for r in sorted(rows, key=lambda r: (r["rank"], r.lang, r.doc_id))]
 
@@ -126,14 +137,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        places = m.places() if m else None
+        places, last = (m.places(), np.zeros(CODES, np.int32)) if m else (None, None)
         for batch in batches:
             texts = [(t or b"").translate(UPPER_TO_LOWER) for t in batch.column("text").to_pylist()]
             letter = batch.column("letter").to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for a, b in sliced(texts, 1 << 20) if m else ():
                 for c in range(a, b, 256):
-                    f = m.scores(texts[c : min(c + 256, b)], places)
+                    f = m.scores(texts[c : min(c + 256, b)], places, last)
                     best = f.argmax(axis=1)
                     sure = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
                     for i, (k, s) in enumerate(zip(best.tolist(), sure.tolist()), c):
