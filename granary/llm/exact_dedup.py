@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WS_BYTES, batch_of, byte_table, concat_bytes, materialize, sliced
+from granary.llm.common import WS_BYTES, batch_of, byte_table, concat_bytes, materialize, row_ids, sliced
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
 GEAR = byte_table(3)
@@ -59,7 +59,7 @@ def _chunks(batch: pa.RecordBatch, digest_bytes: int):
             yield i, texts[i], [(hashlib.blake2b(p, digest_size=digest_bytes).digest(), p) for p in parts]
 
 
-def chunk_recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+def chunk_recipes(docs: DataFrame, digest_bytes: int = 16, key: str | None = None) -> DataFrame:
     """row_id, doc_id, n_points, text_sha256, recipe array<binary>: the recipe in digests, not yet verified."""
     out = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_points", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.list_(pa.binary()))])
 
@@ -69,8 +69,8 @@ def chunk_recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
             yield batch_of(out, batch.column("row_id"), batch.column("doc_id"), batch.column("n_points"), [r[0] for r in rows], [r[1] for r in rows])
 
     read = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col("doc_id").cast("long"),
+        row_ids(docs, key).alias("row_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"),
         F.col("text").cast("binary").alias("text"),
     )
@@ -89,7 +89,7 @@ def chunk_table(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(scan, "digest binary, chunk binary").groupBy("digest", "chunk").agg(F.lit(1).alias("one")).drop("one")
 
 
-def _positions(docs: DataFrame, digest_bytes: int) -> DataFrame:
+def _positions(docs: DataFrame, digest_bytes: int, key: str | None) -> DataFrame:
     out = pa.schema([("row_id", pa.int64()), ("pos", pa.int64()), ("digest", pa.binary()), ("chunk", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,19 +98,19 @@ def _positions(docs: DataFrame, digest_bytes: int) -> DataFrame:
             rows = [(ids[i], k, d, p) for i, _, parts in _chunks(batch, digest_bytes) for k, (d, p) in enumerate(parts)]
             yield batch_of(out, *([r[c] for r in rows] for c in range(4)))
 
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("binary").alias("text"))
+    read = docs.select(row_ids(docs, key).alias("row_id"), F.col("text").cast("binary").alias("text"))
     return read.mapInArrow(scan, "row_id long, pos long, digest binary, chunk binary")
 
 
-def verified_recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+def verified_recipes(docs: DataFrame, digest_bytes: int = 16, key: str | None = None) -> DataFrame:
     """chunk_recipes with identifiers that stand for one byte string each."""
-    recipes = materialize(chunk_recipes(docs, digest_bytes), "recipes")
+    recipes = materialize(chunk_recipes(docs, digest_bytes, key), "recipes")
     shared = chunk_table(docs, digest_bytes).groupBy("digest").count().filter("count > 1").select("digest")
     shared = materialize(shared, "shared-digests")
     if shared.isEmpty():
         return recipes
     # Digests of several byte strings: those chunks, and only those, are ranked by their bytes.
-    places = _positions(docs, digest_bytes).join(shared, "digest", "left_semi")
+    places = _positions(docs, digest_bytes, key).join(shared, "digest", "left_semi")
     names = places.groupBy("digest", "chunk").agg(F.min(F.struct("row_id", "pos")).alias("first"))
     told = places.join(names, ["digest", "chunk"]).select("row_id", "pos", F.concat("digest", F.encode(F.to_json("first"), "UTF-8")).alias("told"))
     whole = recipes.select("row_id", F.posexplode("recipe").alias("pos", "digest")).join(told, ["row_id", "pos"], "left")
@@ -118,12 +118,18 @@ def verified_recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     return materialize(recipes.join(exact, "row_id", "left").withColumn("recipe", F.coalesce("exact", "recipe")).drop("exact"), "verified-recipes")
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: of equal texts the row with the most code points, then the smallest doc_id stays."""
-    recipes = verified_recipes(docs, digest_bytes)
+def exact_dedup(docs: DataFrame, digest_bytes: int = 16, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: of equal texts the row with the most code points, then the smallest doc_id stays.
+
+    key: a column that numbers the rows of docs; the result then has it as row_id.
+    """
+    recipes = verified_recipes(docs, digest_bytes, key)
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row_id").alias("not_row")))
     groups = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    # a table of its own, so that the planner can split the rows of a large group in the join
+    groups = materialize(groups, "groups")
     return recipes.join(groups, "recipe").select(
+        *["row_id"] * bool(key),
         "doc_id",
         F.bitwise_not("best.not_id").alias("keep_id"),
         "group_size",
