@@ -14,7 +14,7 @@ BUCKET_BYTES = 6 << 20
 
 
 def bucket_count(n_bytes: int, per_bucket: int = BUCKET_BYTES) -> int:
-    return max(1, min(32_000, -(-n_bytes // per_bucket)))
+    return max(1, -(-n_bytes // per_bucket))
 
 
 def cut(bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:

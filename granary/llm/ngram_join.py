@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.blobs import bucket_count, cut, joined, runs
-from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, sliced, spread_of
+from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, row_ids, sliced, spread_of
 from granary.llm.graph import components
 
 MAX_LIGHT, WORDS_OF_SKETCH, BASE, ALL_PAIRS = 40, 8, np.uint64(0x9E3779B97F4A7C15), 8
@@ -98,9 +98,11 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def document_sets(docs: DataFrame, size: int, num: int, den: int, key: str | None = None) -> DataFrame:
     """row_id, doc_id, n, set_hi, set_lo, n_shared, prefix array<long>, shared array<long> (both empty where no link is possible) and SKETCH of the shared ones."""
     buckets = bucket_count(spread_of(docs))
+    # the bucket stands for the low bits of a hash where its number fits beside the rest; else all 64 bits are dealt
+    width = 6 if buckets < 1 << 15 else 8
     dealt = pa.schema([("bucket", pa.int64()), ("res", pa.binary()), ("doc", pa.binary()), ("meta", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,23 +118,23 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 meta["doc_id"], meta["has_id"] = [d or 0 for d in docs_[a:b]], [d is not None for d in docs_[a:b]]
                 meta["hi"], meta["lo"] = [np.add.reduce(mix64(s)) for s in sets], [np.add.reduce(mix64(s ^ BASE)) for s in sets]
                 doc = np.repeat(rows[a:b], lengths)
-                pieces = cut((whole % np.uint64(buckets)).astype(np.int64), [(whole >> np.uint64(16)).view("u1").reshape(-1, 8)[:, :6], doc])
+                pieces = cut((whole % np.uint64(buckets)).astype(np.int64), [(whole >> np.uint64(8 * (8 - width))).view("u1").reshape(-1, 8)[:, :width], doc])
                 out = [(k, res, ids, None) for k, res, ids in pieces] + [(k, None, None, m) for k, m in cut(meta["row_id"] % buckets, [meta])]
                 yield batch_of(dealt, *zip(*out))
 
     def count(table: pa.Table) -> pa.Table:
         """Shared shingles of this bucket go to their documents with their counts; so does what is known of documents."""
         k = table.column("bucket")[0].as_py()
-        res6 = joined(table, "res", "u1").reshape(-1, 6)
-        res = np.zeros((len(res6), 8), np.uint8)
-        res[:, :6] = res6
+        dealt_res = joined(table, "res", "u1").reshape(-1, width)
+        res = np.zeros((len(dealt_res), 8), np.uint8)
+        res[:, :width] = dealt_res
         token, doc = res.reshape(-1).view("<u8"), joined(table, "doc", "<i8")
         order = np.argsort(token, kind="stable")
         start, length = runs(token[order])
         df = np.repeat(length, length)
         many = df > 1
         token, doc, df = token[order][many], doc[order][many], df[many]
-        token = (token | np.uint64(k) << RES_BITS).view(np.int64)
+        token = (token | np.uint64(k) << RES_BITS if width == 6 else token).view(np.int64)
         out = [(b, ids, t, n, None) for b, ids, t, n in cut(doc % buckets, [doc, token, df.astype("<u4")])]
         meta = joined(table, "meta", META)
         out += [(b, None, None, None, m) for b, m in cut(meta["row_id"] % buckets, [meta])]
@@ -157,7 +159,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         lists = [pa.array(p, pa.list_(pa.int64())) for p in (prefixes, shares)]
         return pa.table([meta["row_id"], ids, meta["n"], meta["hi"].view("<i8"), meta["lo"].view("<i8"), b - a, *lists, *sketches.T.copy()], schema=found)
 
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    read = docs.select(row_ids(docs, key).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     tokens = read.mapInArrow(deal, "bucket long, res binary, doc binary, meta binary")
     shared = tokens.groupBy("bucket").applyInArrow(count, "bucket long, doc binary, token binary, df binary, meta binary")
     schema = "row_id long, doc_id long, n long, set_hi long, set_lo long, n_shared long, prefix array<long>, shared array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
@@ -180,7 +182,7 @@ def boundary(sets: DataFrame, num: int, den: int) -> int:
     for n, s, k in small.groupBy("n", "n_shared").count().collect():  # at most MAX_LIGHT**2 rows
         enumerated[n] = enumerated.get(n, 0) + k * sum(comb(s, c) for c in subset_sizes(n, num, den))
     entries = sets.select("n", F.explode("prefix").alias("key"))
-    lengths = entries.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    lengths = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("length")), "lengths")
     for n, k in entries.filter(F.col("n") <= MAX_LIGHT).join(lengths, "key").groupBy("n").agg(F.sum("length")).collect():
         scanned[n] = k
     costs = {x: sum(v for n, v in enumerated.items() if n <= x) + sum(v for n, v in scanned.items() if n > x) for x in range(MAX_LIGHT + 1)}
@@ -216,7 +218,9 @@ def links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     pivots = 1
     while True:
         per_key = work.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
-        live = materialize(work.join(per_key.filter("c0 <> c1").select("key", "size", F.col("first.id").alias("first")), "key"), "live")
+        # sums of a key are a table of their own before they meet its entries, so that the planner can split the entries of a frequent key
+        per_key = materialize(per_key.filter("c0 <> c1").select("key", "size", F.col("first.id").alias("first")), "keys")
+        live = materialize(work.join(per_key, "key"), "live")
         if live.isEmpty():
             return labels if labels is not None else spark.createDataFrame([], "id long, label long")
         # small keys: every member is a pivot; large keys: the first by hash and about `pivots` more
@@ -254,20 +258,27 @@ def links(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         pivots *= 4
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents whose shingle sets have Jaccard >= num / den are linked; component_id is the smallest doc_id reachable."""
-    found = document_sets(docs, size, num, den)
-    classes = found.filter("n > 0").groupBy("n", "set_hi", "set_lo").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("first"))
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents whose shingle sets have Jaccard >= num / den are linked; component_id is the smallest doc_id reachable.
+
+    key: a column that numbers the rows of docs; the result then has it as row_id, and kept, true for one row of each component (the smallest doc_id, then the smallest row).
+    """
+    found = document_sets(docs, size, num, den, key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
+    # sums of a group are tables of their own before they meet its rows, so that the planner can split the rows of a large group
+    classes = materialize(found.filter("n > 0").groupBy("n", "set_hi", "set_lo").agg(F.min("row_id").alias("id"), first), "class-sums")
     rows = materialize(found.select("row_id", "doc_id", "n", "set_hi", "set_lo").join(classes, ["n", "set_hi", "set_lo"], "left"), "classes")
     open_ = found.filter(F.size("prefix") > 0).withColumnRenamed("row_id", "id")
-    open_ = materialize(open_.join(rows.filter("row_id = id").select("id"), "id", "left_semi"), "open")
+    open_ = materialize(open_.join(classes.select("id"), "id", "left_semi"), "open")
     x = boundary(open_, num, den)
     light = (F.col("n") <= x).alias("light")
     facts = open_.select("id", "n", "n_shared", light, *SKETCH)
     lists = open_.select(F.explode("prefix").alias("key"), "id", "n", "n_shared", light, *SKETCH, F.lit(0).alias("key_kind"))
     subsets = subset_keys(open_.filter(F.col("n") <= x), num, den).join(facts, "id").withColumn("key_kind", F.lit(1))
     labels = links(lists.unionByName(subsets), open_, num, den)
-    named = rows.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id"))
-    named = materialize(named.select("doc_id", "n", "comp", "first"), "named")
-    least = named.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = classes.join(labels, "id").groupBy("label").agg(F.min("first").alias("least"))  # one row for each component of two classes or more
+    merged = materialize(labels.join(materialize(least, "components"), "label").select("id", "least"), "merged")
+    named = rows.join(merged, "id", "left").withColumn("one", F.coalesce("least", "first"))
+    kept = F.coalesce(F.col("one.row_id") == F.col("row_id"), F.lit(True)).alias("kept")
+    component = F.coalesce("one.doc_id", "doc_id").alias("component_id")
+    return named.select(*["row_id"] * bool(key), "doc_id", F.col("n").alias("n_shingles"), component, *[kept] * bool(key))
