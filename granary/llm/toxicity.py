@@ -4,22 +4,28 @@ Categories are predicted in order; each category's linear model sees the words o
 categories before it. For training those probabilities are out of fold: each labelled document gets its own from models
 that did not see it, so a later model learns from probabilities like those it will meet.
 
-Words are runs of letters, lower-cased, by presence; the vocabulary has the words of at least `min_docs` labelled documents, so no two words share a
-feature; a lasso penalty keeps the words that matter. Bound: at most `max_labelled` labelled documents are fitted on, chosen by a hash of doc_id. All documents are scored, by whole text.
+Words are runs of letters, lower-cased, by presence; the vocabulary has the words of at least MIN_DOCS labelled documents, so no two words share a
+feature; a lasso penalty keeps the words that matter. Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, the first by a hash of doc_id (of rows that share a
+doc_id the first); of their words at most VOCABULARY, the most frequent, then in alphabetical order. All documents are scored, by whole text.
 
 Defined results: null or empty text has no words and gets the base rate; documents without a label, or with a null label in some category, are not fitted on; several
-labels of one document count as the largest; without labels every probability is 0; repeated rows are scored each; an empty table gives an empty result.
+labels of one document count as the largest; without labelled documents every probability is 0; where no word is in MIN_DOCS of them, all get the categories' shares;
+repeated rows are scored each; a null doc_id has no label; other columns of the input are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize
+from granary.llm.common import materialize, row_ids
 
 MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 0.35
 # A fit ends when it has converged; ITERATIONS is only a stop for one that never would. A round is one job of a task for each TASK_ROWS labelled documents.
@@ -46,36 +52,32 @@ def _assemble(rows: DataFrame, earlier: list[str]) -> DataFrame:
 def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id and p_<category> for each of categories (name -> 0/1 column over labels), in chain order."""
     names = list(categories)
-    marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(*(F.max(c.cast("double")).alias(n) for n, c in categories.items())).dropna()
-    u = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 8), 16, 10).cast("long")
-    n = marks.count()
-    marks = marks.withColumn("fold", F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(FOLDS)))
-    marks = marks.filter(u < int(2**32 * min(1.0, max_labelled / max(n, 1))))
-    fitted = materialize(words(docs).join(marks, F.col("doc_id") == F.col("_id")).drop("_id"), "labelled")
-    empty = [F.lit(0.0).alias(f"p_{c}") for c in names]
-    if fitted.filter(F.size("words") > 0).isEmpty():
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *empty)
-    vectors = CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY, minDF=float(MIN_DOCS), binary=True)
-    try:
-        vectors = vectors.fit(fitted)
-    except Exception as e:  # fewer labelled documents than min_docs: no word is frequent enough
-        if "vocabulary size should be > 0" not in str(e):
-            raise
-        vectors = vectors.setMinDF(1.0).fit(fitted)
-    rows = materialize(vectors.transform(fitted).drop("words"), "vectors")
-    size = max(1, rows.count())
-    penalty = PENALTY / size**0.5  # lasso: falls with the root of the sample
+    marks = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(c.cast("double")).alias(n) for n, c in categories.items())).dropna()
+    marks = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled).withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)))
+    # at most max_labelled rows, so documents without a label drop out before any shuffle
+    fitted = words(docs, row_ids(docs).alias("row_id")).join(F.broadcast(marks), "doc_id")
+    fitted = fitted.groupBy("doc_id", *names, "fold").agg(F.min_by("words", "row_id").alias("words"))
+    fitted = materialize(fitted, "labelled")
+    size = fitted.count()
+    counts = fitted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS)
+    vocabulary = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    if not vocabulary:
+        shares = fitted.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names)).first()
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(shares[c]).alias(f"p_{c}") for c in names))
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features", binary=True)
     tasks = -(-size // TASK_ROWS)
+    rows = materialize(vectors.transform(fitted).drop("words").coalesce(tasks), "vectors")
+    penalty = PENALTY / size**0.5  # lasso: falls with the root of the sample
     models, earlier = [], []
     for i, c in enumerate(names):
-        seen = _assemble(rows.coalesce(tasks), earlier)
-        models.append(_model(seen, c, "inputs", penalty))
-        if i + 1 < len(names):
-            folds = [_probability(_model(seen.filter(F.col("fold") != f), c, "inputs", penalty), seen.filter(F.col("fold") == f), f"p_{c}") for f in range(FOLDS)]
-            out = folds[0]
-            for more in folds[1:]:
-                out = out.unionByName(more)
-            rows = materialize(out.drop("inputs"), "out-of-fold")
+        seen = _assemble(rows, earlier)
+        parts = [seen] + [seen.filter(F.col("fold") != f) for f in range(FOLDS)] * (i + 1 < len(names))
+        with ThreadPool(len(parts)) as pool:  # the fits of a category do not depend on each other
+            model, *folds = pool.map(inheritable_thread_target(docs.sparkSession)(lambda part: _model(part, c, "inputs", penalty)), parts)
+        models.append(model)
+        if folds:
+            out = [_probability(m, seen.filter(F.col("fold") == f), f"p_{c}") for f, m in enumerate(folds)]
+            rows = materialize(reduce(DataFrame.unionByName, out).drop("inputs").coalesce(tasks), "out-of-fold")
             earlier.append(f"p_{c}")
     scored, earlier = vectors.transform(words(docs)).drop("words"), []
     for c, m in zip(names, models):
