@@ -5,11 +5,12 @@ excess goes to the others by weight, until none is above. Repetitions: every doc
 floor(target / size) times whole; what is missing is taken in the order of a seeded hash, the last document in part (its
 first words), so that a source's taken words equal its rounded target.
 
-The running sums never gather a source in one task: words are summed by (source, upper hash bits) first, and only the one
-cell in which a source's remainder ends is ordered row by row.
+The running sums never gather a source in one task: words are summed by (source, upper hash bits) first, and only in the one
+cell in which a source's remainder ends are documents ordered, as groups of equal doc_id and size. Of the one group in which it ends rows are numbered task by task,
+so any number of rows can share a doc_id, or have none.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order; documents with the same doc_id and
-size are interchangeable; sources of size 0 have target 0; an empty table gives an empty result.
+size are interchangeable, repeated rows take part each; sources of size 0 have target 0; other columns of the input are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import WORD, materialize
+from granary.llm.common import WORD, materialize, row_ids
 
 WEIGHTS, BUDGET, MAX_EPOCHS, SEED, CELLS = (3, 1, 2), 1.5, 2, "mix-1", 4096
 
@@ -28,9 +29,10 @@ def unit_hash(seed: str):
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def sized(docs: DataFrame, seed: str = SEED, key: str | None = None) -> DataFrame:
+    """row_id, doc_id, source, size, u, and where the row is: part (its task), place (in order within it)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), unit_hash(seed).alias("u"))
+    return docs.select(row_ids(docs, key).alias("row_id"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), unit_hash(seed).alias("u"))
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -68,9 +70,32 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", F.when(clamped, F.col("cap").cast("double")).otherwise(share)).drop("cap")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole repetitions), extra (words of the fractional one), taken."""
-    sizes = materialize(sized(docs, seed), "sizes")
+def edge_extras(rows: DataFrame) -> DataFrame:
+    """rows of one cell a source (s, left: words the fraction takes of the cell, u, id_key, doc_id, size, part, place) plus extra: left is spent in the order u, doc_id, size."""
+    same = ["s", "u", "id_key", "size"]
+    groups = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("d"), F.first("left").alias("left"))
+    before = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("s").orderBy("u", "d", "size").rowsBetween(Window.unboundedPreceding, -1))
+    rest = F.col("left") - F.coalesce(before, F.lit(0))
+    state = F.when(rest >= F.col("n") * F.col("size"), "all").when(rest <= 0, "none").otherwise("some")
+    # a table of its own, so that the planner can split the rows of a large group in the join
+    groups = materialize(groups.withColumn("spend", rest).withColumn("take", state).select(*same, "spend", "take"), "edge-groups")
+    rows = rows.drop("left").join(groups, same)
+    some = materialize(rows.filter("take = 'some'"), "edge-some")  # at most one group a source
+    counts = some.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.join(counts.select("s", "part", earlier.alias("earlier")), ["s", "part"])
+    number = F.col("earlier") + F.row_number().over(Window.partitionBy("s", "part").orderBy("place")) - 1
+    some = some.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("spend") - number * F.col("size"))))
+    other = rows.filter("take <> 'some'").withColumn("extra", F.when(F.col("take") == "all", F.col("size")).otherwise(F.lit(0)))
+    return some.drop("earlier").unionByName(other)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole repetitions), extra (words of the fractional one), taken.
+
+    key: a column that numbers the rows of docs; the result then has it as row_id.
+    """
+    sizes = materialize(sized(docs, seed, key), "sizes")
     pick = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     filled = water_fill(ranked_sources(sizes).withColumn("weight", pick.cast("long")).drop("rank"), budget, max_epochs)
     words = F.floor(F.col("target") + 0.5).cast("long")
@@ -87,24 +112,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     # at most CELLS rows a source: the sizes side is large, so the join is left to the planner's own checks
     rows = sizes.drop("source").join(cells, ["s", "cell"])
-    edge_before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = rows.filter("state = 'edge'").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left - edge_before)))
+    edge = edge_extras(materialize(rows.filter("state = 'edge'").withColumn("left", left).withColumn("id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "edge"))
     other = rows.filter("state <> 'edge'").withColumn("extra", F.when(F.col("state") == "all", F.col("size")).otherwise(F.lit(0)))
     source = F.when(F.substring("s", 1, 1) == "s", F.expr("substring(s, 2)"))
-    return edge.unionByName(other).select(
-        "doc_id", source.alias("source"), "size", "source_size", "target", "copies", F.col("extra").cast("long"), (F.col("copies") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+    shown = ["row_id", "doc_id", "s", "size", "source_size", "target", "copies", "extra"]
+    return edge.select(*shown).unionByName(other.select(*shown)).select(
+        *["row_id"] * bool(key), "doc_id", source.alias("source"), "size", "source_size", "target", "copies", F.col("extra").cast("long"), (F.col("copies") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document copies times, and once more its first `extra` words where extra > 0. Columns as in docs."""
-    plan = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "copies", "extra", "size")
+def repeat_documents(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
+    """The mix itself: each row copies times, and once more its first `extra` words where extra > 0. Columns as in docs but for key, the column that numbers its rows (row_id in mixed)."""
+    plan = mixed.filter("taken > 0").select("row_id", "copies", "extra", "size")
     rows = docs.select(F.struct("*").alias("_doc"))  # so that columns of docs cannot clash with those of the plan
-    both = rows.join(plan, rows["_doc"]["doc_id"] == plan["_id"])
+    both = rows.join(plan, rows["_doc"][key] == plan["row_id"])
     # a list of word counts: the whole text (-1) for whole repetitions, a part for the last
     part = F.when(F.col("extra") <= 0, F.array().cast("array<long>")).when(F.col("extra") == F.col("size"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(F.col("extra")))
     times = F.concat(F.expr("array_repeat(-1L, CAST(copies AS INT))"), part)
     both = both.withColumn("_take", F.explode(times))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), 0), 1, F.greatest(F.col("_take").cast("int"), F.lit(0))), " ")
     text = F.when(F.col("_take") < 0, F.col("_doc.text")).otherwise(first)
-    return both.select(*(text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns))
+    return both.select(*(text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns if c != key))
