@@ -5,10 +5,10 @@ is left (shorter than a window) is packed best-fit decreasing: the tree over cap
 least room that still fits. Remainders are dealt by hash to groups of a bounded size, and each group packs on its own, so
 no task holds more than about GROUP remainders; the loss is under one partly filled sequence a group.
 
-Every sequence is padded to the window length.
+Sequences are to be padded to the window length, but for those whose tokens number a power of two: they are complete as they are. No piece is cut to reach such a number.
 
-Defined results: null text is empty, an empty text is the separator alone; a null doc_id stays null; repeated rows are documents of their own; an empty table
-gives an empty result.
+Defined results: null text is empty, an empty text is the separator alone; a null doc_id stays null; repeated rows are documents of their own; other columns of the
+input are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import batch_of, materialize
 
-WINDOW, SEPARATOR, GROUP, WORDS_KEPT = 2048, 1, 16384, 500_000
+WINDOW, SEPARATOR, GROUP, WORDS_KEPT, LONGEST_KEPT = 2048, 1, 16384, 500_000, 64
 PIECES = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds(dict):
-    """Token ids (bytes, little-endian 32-bit) of white-space-separated words, remembered up to a bound: two generations of `kept` words.
+    """Token ids (bytes, little-endian 32-bit) of white-space-separated words, remembered up to a bound: two generations of `kept` words of at most LONGEST_KEPT bytes.
 
     Right for tokenizers that lower the case and whose tokens never span white space.
     """
@@ -45,6 +45,8 @@ class WordIds(dict):
         found = self.older.get(word)
         if found is None:
             found = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(word) > LONGEST_KEPT:
+            return found
         if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
