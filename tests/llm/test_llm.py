@@ -94,8 +94,9 @@ def test_mixing(docs, empty):
 
 
 def test_repetitions_follow_the_mix(docs):
-    mixed = mixing.mix(docs)
-    out = mixing.repeat_documents(docs, mixed)
+    keyed = docs.withColumn("no", F.monotonically_increasing_id())
+    mixed = mixing.mix(keyed, key="no")
+    out = mixing.repeat_documents(keyed, mixed, "no")
     assert out.columns == docs.columns
     got = Counter()
     for r in out.collect():
@@ -103,6 +104,24 @@ def test_repetitions_follow_the_mix(docs):
     assert {r.doc_id: r.taken for r in mixed.collect() if r.taken} == {k: v for k, v in got.items() if v}
 
 
+def test_mixing_of_rows_without_and_with_equal_ids(documents):
+    """Rows that share an id, or have none, lie in one cell: taken words still come to the target, the last of them in part."""
+    rows = [(None, "a b c", "en", "x")] * 40 + [(7, "d e", "en", "x")] * 40 + [(7, "d e f", "en", "x")] * 3 + [(i, "w " * 50, "en", "y") for i in range(20)]
+    docs = documents(rows).repartition(5).withColumn("no", F.monotonically_increasing_id())
+    keyed = mixing.materialize(docs, "keyed")
+    mixed = mixing.mix(keyed, key="no").collect()
+    assert len(mixed) == len(rows) and len({r.row_id for r in mixed}) == len(rows)
+    for s in "xy":
+        mine = [r for r in mixed if r.source == s]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5) and all(0 <= r.extra <= r.size for r in mine)
+        assert len({(r.doc_id, r.size) for r in mine if 0 < r.extra < r.size}) <= 1 and sum(0 < r.extra < r.size for r in mine) <= 1
+    out = mixing.repeat_documents(keyed, mixing.mix(keyed, key="no"), "no")
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(words(r.text))
+    assert got == {s: sum(r.taken for r in mixed if r.source == s) for s in "xy"}
+
+
 # -- exact dedup
 
 
@@ -217,6 +236,7 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_suffix_dedup_shifted_passages_and_long_texts(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)  # texts above twice that go through in parts; workers of this session are forked before, so the parts are cut here as well
     r = random.Random(9)
     passages = [prose(r.randint(8, 40), r) for _ in range(6)]
     texts = {i: "".join(prose(r.randint(0, 20), r)[r.randint(0, 3) :] + r.choice(passages)[r.randint(0, 30) : -r.randint(1, 30)] for _ in range(4)) for i in range(40)}
@@ -348,6 +368,19 @@ def test_both_quality_histograms_reject(documents):
     assert not any(x.base_failed for x in rows) and {x.doc_id for x in rows if not x.kept} == {900, 901, 902, 903, 950}
 
 
+def test_quality_of_unlisted_and_missing_languages(documents):
+    """Characters are judged against the language's own documents; what fails the base rules is in no reference; extra columns do not matter."""
+    r = random.Random(10)
+    symbols = lambda: " ".join(w + "$#%" for w in prose(60, r).split())
+    texts = [(i, prose(60, r), k) for n, k in enumerate([None, "xx"]) for i in range(20 * n, 20 * n + 20)] + [(90, symbols(), None), (91, symbols(), "xx"), (92, symbols(), "yy")]
+    texts += [(93 + i, "## $$ ## $$ " * 500, "xx") for i in range(3)]
+    docs = documents(texts).withColumn("limit", F.lit("s")).withColumn("chars", F.lit(1)).withColumn("no", F.monotonically_increasing_id())
+    rows = quality_rules.quality_rules(docs, key="no").collect()
+    assert len({x.row_id for x in rows}) == len(texts)
+    assert {x.doc_id for x in rows if x.base_failed} == {93, 94, 95} and {x.doc_id for x in rows if not x.kept} == {90, 91, 93, 94, 95}
+    assert all((x.char_distance is None) == (x.doc_id is None) and x.word_distance is None for x in rows)
+
+
 # -- chat format
 
 
@@ -528,13 +561,36 @@ def test_language_identification(documents, empty):
 
 
 def test_kernel_scores_equal_the_dual_form():
-    """Collapsed weights give what landmarks, whitening and ridge regression give one after the other."""
+    """Collapsed weights give what kernel columns to the landmarks, whitening and ridge regression give one after the other."""
     r = random.Random(2)
     texts = [(k, " ".join(r.choices({"a": ["ab", "ba", "bb"], "b": ["cd", "dc", "ab"]}[k], k=12)).encode()) for k in ["a", "b"] * 10]
     sets = [(k, np.unique(np.concatenate([c for _, c in language_id.gram_codes(*language_id.concat_bytes([t]))]))) for k, t in texts]
     m = language_id.train(sets, landmarks=6)
-    f = m.scores([t for _, t in texts], m.places())
-    assert [m.langs[k] for k in f.argmax(axis=1)] == [k for k, _ in texts]
+    kernel = lambda x, y: len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))
+    k_mm = np.array([[kernel(x, y) for _, y in sets[:6]] for _, x in sets[:6]])
+    k_nm = np.array([[kernel(x, y) for _, y in sets[:6]] for _, x in sets])
+    values, vectors = np.linalg.eigh(k_mm)
+    good = values > 1e-6 * values.max()
+    z = k_nm @ (vectors[:, good] / np.sqrt(values[good]))
+    y = np.array([[1.0 if k == c else -1.0 for c in "ab"] for k, _ in texts])
+    want = z @ np.linalg.solve(z.T @ z + language_id.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    other = [b"xyz xyz xyz ab", b"cd", b"\xff\xfe"]
+    got = m.scores([t for _, t in texts] + other, m.places(), np.zeros(language_id.CODES, np.int32))
+    assert np.abs(got[: len(texts)] - want).max() < 1e-3
+    grams = [np.unique(np.concatenate([c for _, c in language_id.gram_codes(*language_id.concat_bytes([t]))])) for t in other]
+    k = np.array([[kernel(x, y) for _, y in sets[:6]] for x in grams])  # grams without a landmark count in the norm
+    beyond = k @ (vectors[:, good] / np.sqrt(values[good])) @ np.linalg.solve(z.T @ z + language_id.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    assert np.abs(got[len(texts) :] - beyond).max() < 1e-3
+
+
+def test_language_rows_are_bounded_by_rows(documents):
+    import zlib
+
+    a, b, c = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    docs = documents([(a, "bala kolo", "xx")] * 30 + [(b, "strix grend", "yy")] * 30 + [(c, "long " * 200_000, "zz")]).withColumn("grams", F.lit(1)).withColumn("rank", F.lit("s"))
+    rows = language_id.training_rows(docs, per_lang=3, max_rows=5)
+    assert len(rows) == 5 and Counter(k for k, _ in rows) == {"xx": 2, "yy": 2, "zz": 1}
+    assert {x.lang_pred for x in language_id.identify(docs).collect()} <= {"xx", "yy", "zz"}
 
 
 def test_toxicity(spark, documents, empty):
@@ -550,6 +606,66 @@ def test_toxicity(spark, documents, empty):
     assert not any(x.toxic for x in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_chain_equals_brute_force(spark, documents):
+    """The chain in numpy: words of enough labelled documents, out-of-fold probabilities of the first category as a feature of the second, lasso fits to the end."""
+    import zlib
+
+    r = random.Random(5)
+    bad = lambda i: i % 4 == 0
+    texts = [(i, prose(12, r) + (" Vile" if bad(i) and r.random() < 0.9 else "") + (" poor" if i % 3 == 0 else "")) for i in range(240)] + [(7, "another row of seven"), (None, "vile"), (500, None), (501, "vile " * 100_000)]
+    docs = documents(texts).withColumn("fold", F.lit("s")).withColumn("features", F.lit(1)).coalesce(1)
+    labels = {i: (int(i % 3 != 0), int(bad(i))) for i in range(200)}
+    frame = spark.createDataFrame([(i, q, t) for i, (q, t) in labels.items()] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = sorted(((x.doc_id, x.p_low_quality, x.p_toxic) for x in toxicity.toxicity(docs, frame).collect()), key=repr)
+    sets = lambda t: set(re.findall(r"[a-zé]+", (t or "").lower()))
+    first = {}
+    for i, t in texts:
+        first.setdefault(i, sets(t))
+    ids = list(labels)
+    counts = Counter(w for i in ids for w in first[i])
+    vocabulary = [w for w, n in counts.items() if n >= toxicity.MIN_DOCS]
+    rows = lambda some: np.array([[float(w in s) for w in vocabulary] for s in some])
+    fold = np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS for i in ids])
+    penalty = toxicity.PENALTY / len(ids) ** 0.5
+
+    def fit(x, y):
+        """Proximal gradient with momentum; the last coefficient is the intercept, which is not penalised."""
+        x = np.hstack([x, np.ones((len(x), 1))])
+        w = v = np.zeros(x.shape[1])
+        step, k = 4 * len(x) / np.linalg.norm(x, 2) ** 2, 1.0
+        for _ in range(20_000):
+            g = v - step * (x.T @ (1 / (1 + np.exp(-x @ v)) - y)) / len(x)
+            new = np.append(np.sign(g[:-1]) * np.maximum(np.abs(g[:-1]) - step * penalty, 0), g[-1])
+            k, old = (1 + (1 + 4 * k * k) ** 0.5) / 2, k
+            w, v = new, new + (old - 1) / k * (new - w)
+        return w
+
+    p = lambda w, x: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    x, low, tox = rows(first[i] for i in ids), np.array([1 - labels[i][0] for i in ids]), np.array([labels[i][1] for i in ids])
+    out = np.zeros(len(ids))
+    for f in range(toxicity.FOLDS):
+        out[fold == f] = p(fit(x[fold != f], low[fold != f]), x[fold == f])
+    one, two = fit(x, low), fit(np.hstack([x, out[:, None]]), tox)
+    every = rows(sets(t) for _, t in texts)
+    p_low = p(one, every)
+    p_tox = p(two, np.hstack([every, p_low[:, None]]))
+    want = sorted(zip((i for i, _ in texts), p_low, p_tox), key=repr)
+    assert len(got) == len(want)
+    by = lambda rs: sorted((repr(i), round(a, 2), round(b, 2)) for i, a, b in rs)
+    assert all(i == j and abs(a - c) < 0.011 and abs(b - d) < 0.011 for (i, a, b), (j, c, d) in zip(by(got), by(want)))
+
+
+def test_toxicity_bounds(spark, documents):
+    """A fit takes max_labelled documents at most; where no word is frequent enough every document gets the shares."""
+    docs = documents([(i, f"w{i}") for i in range(20)] * 3)
+    labels = spark.createDataFrame([(i, 1, i % 4 == 0) for i in range(20)], "doc_id long, quality int, toxic boolean")
+    rows = toxicity.chain(docs, labels, {"toxic": F.col("toxic").cast("int")}).collect()
+    assert len(rows) == 60 and {x.p_toxic for x in rows} == {0.25}
+    few = toxicity.chain(documents([(i, "same words") for i in range(40)]), labels, {"toxic": F.lit(1) * F.col("toxic").cast("int")}, max_labelled=7).collect()
+    order = sorted(range(20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:7]
+    assert {round(x.p_toxic, 4) for x in few} == {round(sum(i % 4 == 0 for i in order) / 7, 4)}
+
+
 def test_lasso_fits_have_converged(spark):
     from pyspark.ml.linalg import Vectors
 
@@ -564,22 +680,56 @@ def test_lasso_fits_have_converged(spark):
 # -- pipeline
 
 
-def test_pipeline_stages(spark, tmp_path, documents):
+def brute_pipeline(rows):
+    """Row numbers that the first three stages keep: base rules (no histogram is judged or far in these texts), equal texts, near copies."""
+    def rules(i):
+        w = words(rows[i][1])
+        grams = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        return len(w) >= 20 and 100 * len({k for j in range(len(w) - 7) if grams[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)}) <= 30 * len(w)
+
+    rank = lambda i: (rows[i][0] is None, rows[i][0] or 0, i)
+    one = [i for i in range(len(rows)) if rules(i)]
+    groups = defaultdict(list)
+    for i in one:
+        groups["".join(words(rows[i][1]))].append(i)
+    two = [min(g, key=lambda i: (-len(rows[i][1]), *rank(i))) for g in groups.values()]
+    links = brute_links({i: rows[i][1] for i in two}, 5, 8, 10)
+    three = defaultdict(list)
+    for i in two:
+        three[links[i][1]].append(i)
+    return [one, two, [min(g, key=rank) for g in three.values()]]
+
+
+@pytest.mark.parametrize("case", ["unique ids", "repeated and missing ids", "empty"])
+def test_pipeline_stages(spark, tmp_path, documents, case):
     import corpus_pipeline as P
 
     r = random.Random(12)
     good = {i: prose(r.randint(40, 90), r) for i in range(30)}
-    texts = [*good.items(), (30, good[0].replace(" ", "  ")), (31, good[1] + " x"), (32, "short"), (33, None)]
-    documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [*good.items(), (30, good[0].replace(" ", "  ")), (31, good[1] + " x"), (32, "short"), (33, None), (34, "same words again " * 40)]
+    if case != "unique ids":
+        texts = [(None if i % 5 == 0 else i // 3, t) for i, t in texts] + [(3, good[3])] * 3 + [(None, good[5])] * 2 + [(1, "short")]
+    if case == "empty":
+        texts = []
+    extra = documents(texts).coalesce(1).withColumn("row_key", F.lit("mine")).withColumn("row_id", F.lit(1)).withColumn("size", F.lit(2.5)).withColumn("kept", F.lit(None).cast("boolean"))
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        seen.append(sorted(x.doc_id for x in docs.select("doc_id").collect()))
-    assert seen[0] == [*range(30), 30, 31] and seen[1] == [*range(1, 30), 30, 31] and seen[2] == [*range(1, 30), 30]
+        assert docs.filter("row_key <> 'mine' or row_id <> 1 or size <> 2.5 or kept is not null").isEmpty()
+        seen.append(sorted(((x.doc_id, x.text) for x in docs.collect()), key=repr))
+    for got, want in zip(seen, brute_pipeline(texts)):
+        assert got == sorted((texts[i] for i in want), key=repr)
+    pool = Counter(seen[2])
+    whole, words_taken = Counter(x for x in seen[3] if x in pool), sum(len(words(t)) for _, t in seen[3])
+    assert all(n <= 2 * pool[x] for x, n in whole.items()) and sum(x not in pool for x in seen[3]) <= 1
+    assert words_taken == int(1.5 * sum(len(words(t)) for _, t in seen[2]) + 0.5)
     rows = P.run(spark, str(tmp_path)).collect()
-    mixed = Counter(seen[3])
-    per = Counter(x.doc_id for x in rows if x.start == 0)
-    assert per == mixed and {x.doc_id for x in rows} <= set(seen[2])
+    assert Counter(x.doc_id for x in rows if x.start == 0) == Counter(i for i, _ in seen[3])
+    seqs = Counter()
+    for x in rows:
+        seqs[x.sequence_id] += x.length
+    assert all(n <= 2048 for n in seqs.values())
