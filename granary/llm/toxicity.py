@@ -5,8 +5,9 @@ categories before it. For training those probabilities are out of fold: each lab
 that did not see it, so a later model learns from probabilities like those it will meet.
 
 Words are runs of letters, lower-cased, by presence; the vocabulary has the words of at least MIN_DOCS labelled documents, so no two words share a
-feature; a lasso penalty keeps the words that matter. Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, the first by a hash of doc_id (of rows that share a
-doc_id the first); of their words at most VOCABULARY, the most frequent, then in alphabetical order. All documents are scored, by whole text.
+feature; the models are logistic regressions with a lasso penalty, which keeps the words that matter. Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, the first by a
+hash of doc_id (of rows that share a doc_id the first); of their words at most VOCABULARY, the most frequent, then in alphabetical order. So one fit is one task, and the fits of a
+category (all documents, and all but each fold) are tasks side by side. All documents are scored, by whole text.
 
 Defined results: null or empty text has no words and gets the base rate; documents without a label, or with a null label in some category, are not fitted on; several
 labels of one document count as the largest; without labelled documents every probability is 0; where no word is in MIN_DOCS of them, all get the categories' shares;
@@ -15,21 +16,101 @@ repeated rows are scored each; a null doc_id has no label; other columns of the
 
 from __future__ import annotations
 
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, row_ids
-
-MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 0.35
-# A fit ends when it has converged; ITERATIONS is only a stop for one that never would. A round is one job of a task for each TASK_ROWS labelled documents.
-TOLERANCE, ITERATIONS, TASK_ROWS = 1e-6, 10_000, 5_000
+from granary.llm.common import batch_of, materialize, row_ids
+
+MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 0.2
+# A fit ends when ten rounds change its objective by less than TOLERANCE of it; ROUNDS is only a stop for one that never would.
+TOLERANCE, ROUNDS = 1e-7, 20_000
+
+
+@dataclass
+class Model:
+    """Logistic regression over words (those with a weight) and the probabilities of earlier categories."""
+
+    words: pa.Array
+    weights: np.ndarray
+    earlier: np.ndarray
+    intercept: float
+
+    def probabilities(self, words: pa.ListArray, earlier: np.ndarray) -> np.ndarray:
+        """One for each list of distinct words."""
+        lists, places = words_in(words, self.words)
+        z = np.bincount(lists, self.weights[places], len(words)) + earlier @ self.earlier + self.intercept
+        return 1 / (1 + np.exp(-z))
+
+
+def words_in(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(list, place in known) of each word of each list that is known."""
+    places = pc.index_in(words.flatten(), known)
+    found = places.is_valid().to_numpy(zero_copy_only=False)
+    lists = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    return lists[found], places.drop_null().to_numpy().astype(np.int64)
+
+
+def lasso(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of presence features (those that are `place` in `row`; size of them), of dense ones, and the intercept, which bears no penalty.
+
+    Minimises mean log loss + penalty * sum of absolute weights. Most weights are zero, so steps are taken over a working set, to which every feature
+    is added whose gradient exceeds the penalty, until none does.
+    """
+    n = len(y)
+    dense = np.column_stack([dense, np.ones(n)])
+    w = np.zeros(size + dense.shape[1])
+    work = np.zeros(size, bool)
+    z = np.zeros(n)
+    while True:
+        used = np.nonzero(work)[0]
+        mine = work[place]
+        at = np.concatenate([used, np.arange(size, len(w))])
+        w[at], z = descend(row[mine], np.searchsorted(used, place[mine]), len(used), dense, y, penalty, w[at])
+        error = (1 / (1 + np.exp(-z)) - y) / n
+        more = ~work & (np.abs(np.bincount(place, error[row], size)) > penalty * (1 + 1e-3))
+        if not more.any():
+            return w[:size], w[size:-1], float(w[-1])
+        work |= more
+
+
+def descend(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lasso over given features from w, and its scores: proximal gradient steps with momentum, restarted when the objective rises.
+
+    Each coordinate has its own step, from a diagonal bound of the curvature: a row adds its own sum of features to the bound of each of them.
+    """
+    n = len(y)
+    weight = np.bincount(row, minlength=n) + np.abs(dense).sum(axis=1)
+    bound = np.concatenate([np.bincount(place, weight[row], size), np.abs(dense).T @ weight]) / (4 * n)
+    step = 1 / np.where(bound > 0, bound, 1)
+    shrink = step * penalty
+    shrink[-1] = 0
+    scores = lambda w: np.bincount(row, w[place], n) + dense @ w[size:]
+    objective = lambda w, z: np.mean(np.logaddexp(0, z) - y * z) + penalty * np.abs(w[:-1]).sum()
+    z = scores(w)
+    best, v, z_v, k, seen = objective(w, z), w, z, 1.0, []
+    for _ in range(ROUNDS):
+        error = (1 / (1 + np.exp(-z_v)) - y) / n
+        moved = v - step * np.concatenate([np.bincount(place, error[row], size), dense.T @ error])
+        new = np.sign(moved) * np.maximum(np.abs(moved) - shrink, 0)
+        z_new = scores(new)
+        value = objective(new, z_new)
+        if value > best and k > 1:
+            v, z_v, k = w, z, 1.0
+            continue
+        k, old = (1 + (1 + 4 * k * k) ** 0.5) / 2, k
+        m = (old - 1) / k
+        v, z_v = new + m * (new - w), z_new + m * (z_new - z)
+        w, z, best = new, z_new, min(value, best)
+        seen.append(value)
+        if len(seen) > 10 and seen[-11] - value <= TOLERANCE * abs(value):
+            break
+    return w, z
 
 
 def words(docs: DataFrame, *more: Column | str) -> DataFrame:
@@ -37,16 +118,43 @@ def words(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("words"), *more)
 
 
-def _model(rows: DataFrame, label: str, inputs: str, penalty: float):
-    return LogisticRegression(featuresCol=inputs, labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=ITERATIONS, tol=TOLERANCE, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y").fit(rows)
+FIT = "fit int, words array<string>, weights array<double>, earlier array<double>, intercept double"
+
+
+def fits(rows: DataFrame, category: str, vocabulary: list[str], penalty: float) -> list[Model]:
+    """Models of one category: for each value of fit, of which a row has several in `fits`. rows: doc_id, words, earlier array<double>, category, fits array<int>; a bounded sample."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        words, known = table.column("words").combine_chunks(), pa.array(shared.value)
+        earlier = np.array(table.column("earlier").to_pylist(), float).reshape(len(table), -1)
+        w, e, b = lasso(*words_in(words, known), len(known), earlier, table.column("y").to_numpy(), penalty)
+        used = np.nonzero(w)[0]
+        return pa.table([table.column("fit")[:1], [known.take(used).to_pylist()], [w[used].tolist()], [e.tolist()], [b]], schema=out)
+
+    out = pa.schema([("fit", pa.int32()), ("words", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("earlier", pa.list_(pa.float64())), ("intercept", pa.float64())])
+    given = rows.select("doc_id", "words", "earlier", F.col(category).alias("y"), F.explode("fits").alias("fit"))
+    found = given.groupBy("fit").applyInArrow(one, FIT).orderBy("fit").collect()  # at most FOLDS + 1 rows of VOCABULARY weights
+    return [Model(pa.array(r.words, pa.string()), np.array(r.weights), np.array(r.earlier), r.intercept) for r in found]
 
 
-def _probability(model, rows: DataFrame, name: str) -> DataFrame:
-    return model.transform(rows).withColumn(name, vector_to_array("_p")[1]).drop("_raw", "_p", "_y")
+def predicted(rows: DataFrame, models: list[Model], model_of: str) -> DataFrame:
+    """rows (doc_id, words, earlier and more) with the probability by the model that the column model_of numbers appended to earlier."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, which = batch.column("words"), batch.column(model_of).to_numpy()
+            earlier = np.array(batch.column("earlier").to_pylist(), float).reshape(batch.num_rows, -1)
+            p = np.zeros(batch.num_rows)
+            for k in np.unique(which).tolist():
+                mine = np.nonzero(which == k)[0]
+                p[mine] = shared.value[k].probabilities(words.take(pa.array(mine)), earlier[mine])
+            more = pa.array(np.column_stack([earlier, p]).tolist(), pa.list_(pa.float64()))
+            yield batch.set_column(batch.schema.get_field_index("earlier"), pa.field("earlier", more.type), more)
 
-def _assemble(rows: DataFrame, earlier: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["features", *earlier], outputCol="inputs").transform(rows)
+    return rows.mapInArrow(scan, rows.schema)
 
 
 def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -57,33 +165,39 @@ def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     # at most max_labelled rows, so documents without a label drop out before any shuffle
     fitted = words(docs, row_ids(docs).alias("row_id")).join(F.broadcast(marks), "doc_id")
     fitted = fitted.groupBy("doc_id", *names, "fold").agg(F.min_by("words", "row_id").alias("words"))
-    fitted = materialize(fitted, "labelled")
-    size = fitted.count()
-    counts = fitted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS)
+    all_but = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda f: f != F.col("fold"))
+    rows = materialize(fitted.select("doc_id", *names, "fold", "words", F.array().cast("array<double>").alias("earlier"), all_but.alias("fits")), "labelled")
+    size = rows.count()
+    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS)
     vocabulary = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     if not vocabulary:
-        shares = fitted.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names)).first()
+        shares = rows.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names)).first()
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(shares[c]).alias(f"p_{c}") for c in names))
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features", binary=True)
-    tasks = -(-size // TASK_ROWS)
-    rows = materialize(vectors.transform(fitted).drop("words").coalesce(tasks), "vectors")
     penalty = PENALTY / size**0.5  # lasso: falls with the root of the sample
-    models, earlier = [], []
-    for i, c in enumerate(names):
-        seen = _assemble(rows, earlier)
-        parts = [seen] + [seen.filter(F.col("fold") != f) for f in range(FOLDS)] * (i + 1 < len(names))
-        with ThreadPool(len(parts)) as pool:  # the fits of a category do not depend on each other
-            model, *folds = pool.map(inheritable_thread_target(docs.sparkSession)(lambda part: _model(part, c, "inputs", penalty)), parts)
+    models: list[Model] = []
+    for c in names:
+        if c == names[-1]:
+            rows = rows.withColumn("fits", F.array(F.lit(FOLDS)))
+        *folds, model = fits(rows, c, vocabulary, penalty)
         models.append(model)
         if folds:
-            out = [_probability(m, seen.filter(F.col("fold") == f), f"p_{c}") for f, m in enumerate(folds)]
-            rows = materialize(reduce(DataFrame.unionByName, out).drop("inputs").coalesce(tasks), "out-of-fold")
-            earlier.append(f"p_{c}")
-    scored, earlier = vectors.transform(words(docs)).drop("words"), []
-    for c, m in zip(names, models):
-        scored = _probability(m, _assemble(scored, earlier), f"p_{c}").drop("inputs")
-        earlier.append(f"p_{c}")
-    return scored.select("doc_id", *earlier)
+            rows = materialize(predicted(rows, folds, "fold"), "out-of-fold")
+    return scored(docs, names, models)
+
+
+def scored(docs: DataFrame, names: list[str], models: list[Model]) -> DataFrame:
+    """doc_id and p_<name> by the chain of models."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    out = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in names)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            earlier = np.zeros((batch.num_rows, 0))
+            for model in shared.value:
+                earlier = np.column_stack([earlier, model.probabilities(batch.column("words"), earlier)])
+            yield batch_of(out, batch.column("doc_id"), *earlier.T)
+
+    return words(docs).mapInArrow(scan, ", ".join(["doc_id long", *(f"p_{c} double" for c in names)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
