@@ -34,26 +34,27 @@ TOLERANCE, ROUNDS = 1e-7, 20_000
 
 @dataclass
 class Model:
-    """Logistic regression over words (those with a weight) and the probabilities of earlier categories."""
+    """Logistic regression over the words of a vocabulary (by place) and the probabilities of earlier categories."""
 
-    words: pa.Array
     weights: np.ndarray
     earlier: np.ndarray
     intercept: float
 
-    def probabilities(self, words: pa.ListArray, earlier: np.ndarray) -> np.ndarray:
-        """One for each list of distinct words."""
-        lists, places = words_in(words, self.words)
-        z = np.bincount(lists, self.weights[places], len(words)) + earlier @ self.earlier + self.intercept
+    def probabilities(self, row: np.ndarray, place: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """One for each row of earlier; the words of row[i] are at place[i]."""
+        z = np.bincount(row, self.weights[place], len(earlier)) + earlier @ self.earlier + self.intercept
         return 1 / (1 + np.exp(-z))
 
 
+def rows_of(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
 def words_in(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(list, place in known) of each word of each list that is known."""
     places = pc.index_in(words.flatten(), known)
     found = places.is_valid().to_numpy(zero_copy_only=False)
-    lists = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-    return lists[found], places.drop_null().to_numpy().astype(np.int64)
+    return rows_of(words)[found], places.drop_null().to_numpy().astype(np.int64)
 
 
 def lasso(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -118,39 +119,58 @@ def words(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("words"), *more)
 
 
-FIT = "fit int, words array<string>, weights array<double>, earlier array<double>, intercept double"
+def placed(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """rows with places array<int>, those of its words in the vocabulary, instead of words."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            row, place = words_in(batch.column("words"), known)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
+            rest = batch.drop_columns(["words"])
+            yield rest.append_column("places", lists)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "words")
+    return rows.mapInArrow(scan, f"{schema}, places array<int>")
 
 
-def fits(rows: DataFrame, category: str, vocabulary: list[str], penalty: float) -> list[Model]:
-    """Models of one category: for each value of fit, of which a row has several in `fits`. rows: doc_id, words, earlier array<double>, category, fits array<int>; a bounded sample."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+def fits(rows: DataFrame, category: str, size: int, penalty: float) -> list[Model]:
+    """Models of one category, one for each number that occurs in `fits`. rows: doc_id, places, earlier array<double>, category, fits array<int>; a bounded sample."""
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id").combine_chunks()
-        words, known = table.column("words").combine_chunks(), pa.array(shared.value)
+        lists = table.column("places").combine_chunks()
         earlier = np.array(table.column("earlier").to_pylist(), float).reshape(len(table), -1)
-        w, e, b = lasso(*words_in(words, known), len(known), earlier, table.column("y").to_numpy(), penalty)
+        w, e, b = lasso(rows_of(lists), lists.flatten().to_numpy(), size, earlier, table.column("y").to_numpy(), penalty)
         used = np.nonzero(w)[0]
-        return pa.table([table.column("fit")[:1], [known.take(used).to_pylist()], [w[used].tolist()], [e.tolist()], [b]], schema=out)
+        return pa.table([table.column("fit")[:1], [used.tolist()], [w[used].tolist()], [e.tolist()], [b]], schema=out)
 
-    out = pa.schema([("fit", pa.int32()), ("words", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("earlier", pa.list_(pa.float64())), ("intercept", pa.float64())])
-    given = rows.select("doc_id", "words", "earlier", F.col(category).alias("y"), F.explode("fits").alias("fit"))
-    found = given.groupBy("fit").applyInArrow(one, FIT).orderBy("fit").collect()  # at most FOLDS + 1 rows of VOCABULARY weights
-    return [Model(pa.array(r.words, pa.string()), np.array(r.weights), np.array(r.earlier), r.intercept) for r in found]
+    numbers = pa.list_(pa.float64())
+    out = pa.schema([("fit", pa.int32()), ("places", pa.list_(pa.int32())), ("weights", numbers), ("earlier", numbers), ("intercept", pa.float64())])
+    given = rows.select("doc_id", "places", "earlier", F.col(category).alias("y"), F.explode("fits").alias("fit"))
+    found = given.groupBy("fit").applyInArrow(one, "fit int, places array<int>, weights array<double>, earlier array<double>, intercept double")
+    models = []
+    for r in found.orderBy("fit").collect():  # at most FOLDS + 1 rows of VOCABULARY weights
+        weights = np.zeros(size)
+        weights[r.places] = r.weights
+        models.append(Model(weights, np.array(r.earlier), r.intercept))
+    return models
 
 
 def predicted(rows: DataFrame, models: list[Model], model_of: str) -> DataFrame:
-    """rows (doc_id, words, earlier and more) with the probability by the model that the column model_of numbers appended to earlier."""
+    """rows (places, earlier and more) with the probability by the model that the column model_of numbers appended to earlier."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, which = batch.column("words"), batch.column(model_of).to_numpy()
+            lists, which = batch.column("places"), batch.column(model_of).to_numpy()
+            row, place = rows_of(lists), lists.flatten().to_numpy()
             earlier = np.array(batch.column("earlier").to_pylist(), float).reshape(batch.num_rows, -1)
             p = np.zeros(batch.num_rows)
             for k in np.unique(which).tolist():
-                mine = np.nonzero(which == k)[0]
-                p[mine] = shared.value[k].probabilities(words.take(pa.array(mine)), earlier[mine])
+                p = np.where(which == k, shared.value[k].probabilities(row, place, earlier), p)
             more = pa.array(np.column_stack([earlier, p]).tolist(), pa.list_(pa.float64()))
             yield batch.set_column(batch.schema.get_field_index("earlier"), pa.field("earlier", more.type), more)
 
@@ -173,28 +193,33 @@ def chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     if not vocabulary:
         shares = rows.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names)).first()
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(shares[c]).alias(f"p_{c}") for c in names))
+    rows = materialize(placed(rows, vocabulary), "placed")
     penalty = PENALTY / size**0.5  # lasso: falls with the root of the sample
     models: list[Model] = []
     for c in names:
         if c == names[-1]:
             rows = rows.withColumn("fits", F.array(F.lit(FOLDS)))
-        *folds, model = fits(rows, c, vocabulary, penalty)
+        *folds, model = fits(rows, c, len(vocabulary), penalty)
         models.append(model)
         if folds:
             rows = materialize(predicted(rows, folds, "fold"), "out-of-fold")
-    return scored(docs, names, models)
+    used = np.nonzero(np.any([m.weights != 0 for m in models], axis=0))[0]
+    models = [Model(m.weights[used], m.earlier, m.intercept) for m in models]
+    return scored(docs, names, [vocabulary[i] for i in used], models)
 
 
-def scored(docs: DataFrame, names: list[str], models: list[Model]) -> DataFrame:
-    """doc_id and p_<name> by the chain of models."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def scored(docs: DataFrame, names: list[str], vocabulary: list[str], models: list[Model]) -> DataFrame:
+    """doc_id and p_<name> by the chain of models over the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
     out = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in names)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, chain = pa.array(shared.value[0], pa.string()), shared.value[1]
         for batch in batches:
+            row, place = words_in(batch.column("words"), known)
             earlier = np.zeros((batch.num_rows, 0))
-            for model in shared.value:
-                earlier = np.column_stack([earlier, model.probabilities(batch.column("words"), earlier)])
+            for model in chain:
+                earlier = np.column_stack([earlier, model.probabilities(row, place, earlier)])
             yield batch_of(out, batch.column("doc_id"), *earlier.T)
 
     return words(docs).mapInArrow(scan, ", ".join(["doc_id long", *(f"p_{c} double" for c in names)]))
