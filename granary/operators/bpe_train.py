@@ -16,7 +16,7 @@ from granary.functions.text import characters, lines, metaspace_pieces
 from granary.sources.tables import materialize
 
 OPEN, CLOSE, UNK = "\x01", "\x02", "[UNK]"
-FETCH, KEEP_ROUNDS = 512, 12
+FETCH, KEEP_ROUNDS, TASK_PIECES = 512, 12, 10_000
 
 
 def piece_counts(docs: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def wrap(piece: Column) -> Column:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """left, right, count over wrapped words (wrapped, count)."""
-    symbols = F.split(F.expr(f"substring(wrapped, 2, length(wrapped) - 2)"), CLOSE + OPEN)
-    rows = words.filter(F.length("wrapped") > 3).select("count", symbols.alias("s")).filter(F.size("s") > 1)
+    symbols = F.split(F.expr("substring(wrapped, 2, length(wrapped) - 2)"), CLOSE + OPEN)
+    rows = words.select("count", symbols.alias("s"))  # no filter on s: it would be worked out once more for each
     pairs = F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("left"), F.expr("slice(s, 2, size(s) - 1)").alias("right"))
     return rows.select("count", F.inline(pairs)).toDF("count", "left", "right").groupBy("left", "right").agg(F.sum("count").alias("count"))
 
@@ -97,15 +97,24 @@ def batch(ranked: list[tuple[str, str, int]], ids: dict[str, int], room: int, wh
 
 def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     """Merges until vocab_size less the 256 byte tokens is reached; counts: piece, count. Raises if it cannot be."""
-    target = vocab_size - 256
     counts = counts.filter(~F.col("piece").rlike(f"[{OPEN}{CLOSE}]"))
     tokens = [UNK] + [r.token for r in alphabet(counts).orderBy("id").collect()]
+    tokens, merges = grow(counts.select(wrap(F.col("piece")).alias("wrapped"), "count"), tokens, vocab_size - 256)
+    return Vocabulary(with_bytes(tokens), merges)
+
+
+def grow(words: DataFrame, tokens: list[str], target: int, across_spaces: bool = False) -> tuple[list[str], list[tuple[str, str]]]:
+    """tokens and more, until there are target of them, and the merges that make them; words: wrapped, count. across_spaces: only merges whose result has a space behind its first character."""
+    tokens, merges = list(tokens), []
     ids = {t: i for i, t in enumerate(tokens)}
-    merges: list[tuple[str, str]] = []
-    words = materialize(counts.select(wrap(F.col("piece")).alias("wrapped"), "count").coalesce(8), "words")
+    words = materialize(words, "words")
+    tasks = -(-words.count() // TASK_PIECES)  # follows the number of distinct pieces
+    words = materialize(words.repartition(max(1, tasks)), "words")
     rounds = 0
     while len(tokens) < target:
         found, fetch = pair_counts(words), FETCH
+        if across_spaces:
+            found = found.filter(F.instr(F.expr("substring(concat(left, right), 2)"), "▁") > 0)
         while True:  # the last count in sight may go on beyond it, so its pairs are left out
             seen = found.orderBy(F.desc("count")).limit(fetch).collect()
             whole = len(seen) < fetch
@@ -128,7 +137,7 @@ def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
         rounds += 1
         if rounds % KEEP_ROUNDS == 0:
             words = materialize(words.filter(F.instr("wrapped", CLOSE + OPEN) > 0), "words")
-    return Vocabulary(with_bytes(tokens), merges)
+    return tokens, merges
 
 
 def with_bytes(tokens: list[str]) -> list[str]:
@@ -186,11 +195,9 @@ def tune_weights(counts: DataFrame, weights: dict[str, int], ratios_of, vocab_si
 SENTENCE = "[^.!?\n]+[.!?\n]*|[.!?\n]+"
 
 
-def superword_counts(docs: DataFrame, v: Vocabulary, min_prose: float = 0.6) -> DataFrame:
-    """piece, count for a second training stage over whole sentences of prose, so that merges may cross spaces but no sentence end.
-
-    Prose: lines whose letters are at least min_prose of the visible characters; other lines keep the first stage's merges.
-    """
+def sentence_counts(docs: DataFrame, min_prose: float = 0.6) -> DataFrame:
+    """piece, count: sentences of prose, spaces as ▁. Prose: lines whose letters are at least min_prose of the visible characters."""
     rows = docs.select(F.explode(lines(F.col("text"))).alias("line"))
     letters = F.regexp_count("line", F.lit(r"\p{L}")) / F.greatest(F.regexp_count("line", F.lit(r"[^\s]")), F.lit(1))
-    return rows.filter(letters >= min_prose).select(F.explode(F.regexp_extract_all(F.replace("line", F.lit(" "), F.lit("▁")), F.lit(SENTENCE), 0)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("count"))
+    pieces = rows.filter(letters >= min_prose).select(F.explode(F.regexp_extract_all(F.replace("line", F.lit(" "), F.lit("▁")), F.lit(SENTENCE), 0)).alias("piece"))
+    return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("count"))

@@ -92,16 +92,19 @@ def quality_filter(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, sha256, keep_id (smallest), cluster_size, kept."""
-    rows = docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
-    groups = rows.groupBy("sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("cluster_size"))
-    return rows.join(groups, "sha256").select("doc_id", "sha256", "keep_id", "cluster_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
+    rows = materialize(docs.select("doc_id", F.sha2("text", 256).alias("sha256")), "digests")  # null texts have a null digest and are one cluster
+    groups = rows.groupBy(F.col("sha256").alias("digest")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("cluster_size"))
+    # a table of its own, so that the planner can split the rows of a large cluster in the join
+    both = rows.join(materialize(groups, "clusters"), F.col("sha256").eqNullSafe(F.col("digest")))
+    return both.select("doc_id", "sha256", "keep_id", "cluster_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def repeated_spans(docs: DataFrame, min_docs: int = 2, n: int = 10) -> DataFrame:
     """doc_id, n_lines, n_repeated_lines (lines in min_docs documents or twice in one), repeated_word_share (positions inside n-grams that occur twice in the text)."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.col("l") != "").groupBy("doc_id", F.xxhash64("l").alias("h")).agg(F.count(F.lit(1)).alias("k"))
     often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("k").alias("most")).filter((F.col("docs") >= min_docs) | (F.col("most") > 1))
-    marked = lines.join(often.select("h", "docs"), "h", "left")
+    often = materialize(often.select("h", "docs"), "repeated-lines")  # a table, so that the planner can split a line that many documents have
+    marked = materialize(lines, "lines").join(often, "h", "left")
     per = marked.groupBy("doc_id").agg(F.sum("k").alias("n_lines"), F.sum(F.when((F.col("docs") >= min_docs) | (F.col("k") > 1), F.col("k")).otherwise(0)).alias("n_repeated_lines"))
     rows = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     rows = rows.select("doc_id", F.size("w").alias("n"), F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>")).alias("h"))
@@ -139,8 +142,8 @@ def minhash_bands(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 def minhash_pairs(docs: DataFrame, size: int = 5, bands: int = 32, per_band: int = 4, t: float = 0.8) -> DataFrame:
     """id_a, id_b, jaccard between representatives (smallest id) of classes with equal shingle sets; exact_shingle_classes gives the members."""
-    rows = shingles(docs, size)
-    reps = materialize(rows.groupBy("s").agg(F.min("doc_id").alias("doc_id")), "reps")
+    rows = shingle_table(docs, size)
+    reps = materialize(rows.groupBy("h", "d").agg(F.min_by("s", "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("s", "doc_id"), "reps")
     keyed = minhash_bands(reps, bands, per_band).select("doc_id", F.size("s").alias("n"), F.posexplode("b").alias("band", "h"))
     other = keyed.select(F.col("doc_id").alias("id_b"), F.col("n").alias("n_b"), "band", "h")
     near = keyed.join(other, ["band", "h"]).filter((F.col("doc_id") < F.col("id_b")) & (F.least("n", "n_b") >= t * F.greatest("n", "n_b")))
@@ -150,10 +153,16 @@ def minhash_pairs(docs: DataFrame, size: int = 5, bands: int = 32, per_band: int
     return both.withColumn("jaccard", F.col("i") / (F.size("s_a") + F.size("s_b") - F.col("i"))).filter(F.col("jaccard") >= t).select("id_a", "id_b", "jaccard")
 
 
+def shingle_table(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, s as from shingles, and two digests of s (h, d), as a table: a join on digests that are still expressions would split the text anew in each of them."""
+    digest = F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)
+    return materialize(shingles(docs, size).select("doc_id", "s", F.xxhash64("s").alias("h"), digest.alias("d")), "shingles")
+
+
 def shingle_classes(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, class_id: smallest doc_id with the same shingle set (itself for empty texts)."""
-    rows = shingles(docs, size).select("doc_id", F.xxhash64("s").alias("h"), F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("d"))
-    classes = rows.groupBy("h", "d").agg(F.min("doc_id").alias("class_id"))
+    rows = shingle_table(docs, size).select("doc_id", "h", "d")
+    classes = materialize(rows.groupBy("h", "d").agg(F.min("doc_id").alias("class_id")), "shingle-classes")
     named = rows.join(classes, ["h", "d"]).select("doc_id", "class_id")
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -176,35 +185,39 @@ def dedup_clusters(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> Dat
     """doc_id, cluster_id (smallest doc_id), cluster_size, kept."""
     labels = connected(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     rows = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("label", "class_id").alias("cluster_id"))
-    sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    rows = materialize(rows, "clustered")
+    sizes = materialize(rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")), "cluster-sizes")
     return rows.join(sizes, "cluster_id").select("doc_id", "cluster_id", "cluster_size", (F.col("doc_id") == F.col("cluster_id")).alias("kept"))
 
 
 # Identifiers and credentials.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-CARD, AADHAAR, PAN = r"\b[0-9]{16}\b", r"\b[2-9][0-9]{11}\b", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
-PHONE, IP = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+CARD = r"\b(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})\b"
+AADHAAR, PAN = r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
+PHONE = r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{2,5}(?:[ -]?[0-9]{2,5}){1,3}\b|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b|\b[6-9][0-9]{4}[ -][0-9]{5}\b"
+IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 SECRET = r'(?:token|secret|api_key|password) = "[0-9A-Za-z_\-]{16,}"|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----'
 VERHOEFF_MUL = ["0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210"]
 VERHOEFF_PERM = ["0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258"]
 
 
+def digits_from_right(x: Column) -> Column:
+    """The digits of a string with separators, last first."""
+    d = F.reverse(F.regexp_replace(x, "[^0-9]", ""))
+    return F.transform(F.sequence(F.lit(1), F.length(d)), lambda i: F.substr(d, i, F.lit(1)).cast("int"))
+
+
 def luhn_ok(x: Column) -> Column:
-    """Whether a string of 16 digits satisfies the Luhn check."""
-    digit = lambda i: F.substring(x, i, 1).cast("int")
-    total = sum(((2 * digit(i)) % 10 + F.floor(2 * digit(i) / 10) if i % 2 else digit(i) for i in range(1, 17)), F.lit(0))
-    return total % 10 == 0
+    """Whether the digits of a string, at least one, satisfy the Luhn check."""
+    parts = F.transform(digits_from_right(x), lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
+    return F.aggregate(parts, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
 def verhoeff_ok(x: Column) -> Column:
-    """Whether a string of 12 digits satisfies the Verhoeff check."""
+    """Whether the digits of a string, at least one, satisfy the Verhoeff check."""
     mul, perm = F.lit("".join(VERHOEFF_MUL)), F.lit("".join(VERHOEFF_PERM))
-    c = F.lit(0)
-    for i in range(12):
-        d = F.substring(x, 12 - i, 1).cast("int")
-        p = F.substr(perm, F.lit(10 * (i % 8) + 1) + d, F.lit(1)).cast("int")
-        c = F.substr(mul, c * 10 + p + 1, F.lit(1)).cast("int")
-    return c == 0
+    moved = F.transform(digits_from_right(x), lambda d, i: F.substr(perm, 10 * (i % 8) + d + 1, F.lit(1)).cast("int"))
+    return F.aggregate(moved, F.lit(0), lambda c, p: F.substr(mul, c * 10 + p + 1, F.lit(1)).cast("int")) == 0
 
 
 def masked(name: str):
@@ -212,17 +225,17 @@ def masked(name: str):
 
 
 def pii_redact(docs: DataFrame) -> DataFrame:
-    """doc_id, text_redacted and counts; 12- and 16-digit numbers only where their check digit holds."""
-    found = lambda p, ok: F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(p), 0), ok))
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cards", found(CARD, luhn_ok)).withColumn("aadhaars", found(AADHAAR, verhoeff_ok))
+    """doc_id, text_redacted and counts. Card and identity numbers, in one run or in groups, only where their check digit holds; they go first, the rest is sought in what is left."""
+    numbers = lambda p, ok: F.filter(F.regexp_extract_all("text", F.lit(p), 0), ok)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("cards", numbers(CARD, luhn_ok))
+    rows = rows.withColumn("text", F.aggregate(F.array_distinct("cards"), F.col("text"), masked("BANK"))).withColumn("aadhaars", numbers(AADHAAR, verhoeff_ok))
+    rows = rows.withColumn("text", F.aggregate(F.array_distinct("aadhaars"), F.col("text"), masked("AADHAAR")))
     out = F.col("text")
     for p, name in ((EMAIL, "EMAIL"), (PHONE, "PHONE"), (IP, "IP"), (PAN, "PAN")):
         out = F.regexp_replace(out, p, f"[{name}]")
-    for column, name in (("cards", "BANK"), ("aadhaars", "AADHAAR")):
-        out = F.aggregate(column, out, masked(name))
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    checked = lambda p, ok: F.size(F.filter(F.regexp_extract_all("text", F.lit(p), 0), ok)).cast("long")
-    return rows.select("doc_id", out.alias("text_redacted"), checked(AADHAAR, verhoeff_ok).alias("n_aadhaar"), count(PAN).alias("n_pan"), checked(CARD, luhn_ok).alias("n_bank"), count(PHONE).alias("n_phone"), count(EMAIL).alias("n_email"), count(IP).alias("n_ip"))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select("doc_id", out.alias("text_redacted"), size("aadhaars").alias("n_aadhaar"), count(PAN).alias("n_pan"), size("cards").alias("n_bank"), count(PHONE).alias("n_phone"), count(EMAIL).alias("n_email"), count(IP).alias("n_ip"))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from granary.functions.text import faithful_units, word_count
 from granary.operators.bpe_codec import encode
 from granary.operators.bpe_train import Vocabulary
+from granary.sources.tables import materialize
 
 GATE, PENALTY_AT = 1.2, 1.2
 
@@ -50,6 +51,7 @@ def fertility(docs: DataFrame, v: Vocabulary, base: str = "en") -> DataFrame:
         F.try_divide(F.sum("tokens"), F.sum("words")).alias("mean"), F.percentile_approx(per, 0.5).alias("p50"), F.percentile_approx(per, 0.95).alias("p95"),
         F.try_divide(F.sum("bytes"), F.sum("tokens")).alias("bytes_per_token"), F.try_divide(F.sum("byte_tokens"), F.sum("tokens")).alias("byte_share"),
     )
+    out = materialize(out, "fertility")  # one row a language
     at = out.filter(F.col("lang") == base).select(F.col("mean").alias("base_mean"))
     return out.crossJoin(F.broadcast(at)).withColumn("relative", F.col("mean") / F.col("base_mean")).drop("base_mean")  # one row on the right
 
@@ -58,14 +60,16 @@ def gate(value: Column, op: str, threshold: Column) -> Column:
     return F.coalesce(F.when(F.lit(op) == "<=", value <= threshold).otherwise(value >= threshold), F.lit(False))
 
 
-def fertility_gate(ratios: DataFrame, ceilings: dict[str, float], macro: float = 1.95, most: float = 3.0) -> DataFrame:
-    """scope, value, threshold, pass: each language under its ceiling, then the unweighted mean and the maximum."""
+def fertility_gate(ratios: DataFrame, ceilings: dict[str, float], macro: float = 1.95, most: float = 3.0, fallback: float = 0.001) -> DataFrame:
+    """scope, value, threshold, pass: each language under its ceiling, then the unweighted mean and the maximum, and the largest byte_share where ratios has one."""
     limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(c)) for k, c in ceilings.items()))
     each = ratios.filter(limit.isNotNull()).select(F.col("lang").alias("scope"), F.col("ratio").alias("value"), limit.alias("threshold"))
     whole = ratios.agg(F.avg("ratio").alias("a"), F.max("ratio").alias("m")).select(F.inline(F.array(
         F.struct(F.lit("macro").alias("scope"), F.col("a").alias("value"), F.lit(macro).alias("threshold")),
         F.struct(F.lit("maximum").alias("scope"), F.col("m").alias("value"), F.lit(most).alias("threshold")),
     )))
+    if "byte_share" in ratios.columns:
+        whole = whole.unionByName(ratios.agg(F.max("byte_share").alias("value")).select(F.lit("byte fallback").alias("scope"), "value", F.lit(fallback).alias("threshold")))
     return each.unionByName(whole).withColumn("pass", F.coalesce(F.col("value") <= F.col("threshold"), F.lit(False)))
 
 

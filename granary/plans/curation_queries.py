@@ -146,11 +146,17 @@ def q_pii_redact(spark, d):
     return rows.withColumn("text_redacted", F.sha2("text_redacted", 256)).withColumnRenamed("text_redacted", "redacted_sha256")
 
 
-_luhn = lambda x: "(" + " + ".join(f"((2 * substr({x}, {i}, 1)::INT) % 10 + (2 * substr({x}, {i}, 1)::INT) // 10)" if i % 2 else f"substr({x}, {i}, 1)::INT" for i in range(1, 17)) + ") % 10 = 0"
-PII = rf"""WITH f AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '\b[0-9]{{16}}\b'), lambda x: {_luhn("x")}) AS c FROM documents),
-t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{K.EMAIL}', '[EMAIL]', 'g'), '{K.PHONE}', '[PHONE]', 'g'), '{K.IP}', '[IP]', 'g'), '{K.PAN}', '[PAN]', 'g') AS r FROM f),
-u AS (SELECT *, CASE WHEN len(c) = 0 THEN r ELSE regexp_replace(r, '\b(' || array_to_string(c, '|') || ')\b', '[BANK]', 'g') END AS z FROM t)
-SELECT doc_id, sha256(z) AS redacted_sha256, 0::BIGINT AS n_aadhaar, len(regexp_extract_all(text, '{K.PAN}')) AS n_pan, len(c) AS n_bank, len(regexp_extract_all(text, '{K.PHONE}')) AS n_phone,
+_d = "regexp_replace(x, '[^0-9]', '', 'g')"
+_right = f"list_reverse(list_transform(string_split({_d}, ''), lambda c: c::INT))"
+_luhn = f"list_sum(list_transform({_right}, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0"
+_moved = f"list_transform({_right}, lambda d, i: substr('{''.join(K.VERHOEFF_PERM)}', 10 * ((i - 1) % 8)::INT + d + 1, 1)::INT)"
+_verhoeff = f"list_reduce(list_prepend(0, {_moved}), lambda c, p: substr('{''.join(K.VERHOEFF_MUL)}', c * 10 + p + 1, 1)::INT) = 0"
+_without = lambda t, c, name: f"CASE WHEN len({c}) = 0 THEN {t} ELSE regexp_replace({t}, '\\b(' || array_to_string({c}, '|') || ')\\b', '[{name}]', 'g') END"
+PII = rf"""WITH f AS (SELECT doc_id, coalesce(text, '') AS t0, list_filter(regexp_extract_all(coalesce(text, ''), '{K.CARD}'), lambda x: {_luhn}) AS c FROM documents),
+g AS (SELECT *, {_without('t0', 'c', 'BANK')} AS t1 FROM f), h AS (SELECT *, list_filter(regexp_extract_all(t1, '{K.AADHAAR}'), lambda x: {_verhoeff}) AS a FROM g),
+u AS (SELECT *, {_without('t1', 'a', 'AADHAAR')} AS text FROM h)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{K.EMAIL}', '[EMAIL]', 'g'), '{K.PHONE}', '[PHONE]', 'g'), '{K.IP}', '[IP]', 'g'), '{K.PAN}', '[PAN]', 'g')) AS redacted_sha256,
+ len(a) AS n_aadhaar, len(regexp_extract_all(text, '{K.PAN}')) AS n_pan, len(c) AS n_bank, len(regexp_extract_all(text, '{K.PHONE}')) AS n_phone,
  len(regexp_extract_all(text, '{K.EMAIL}')) AS n_email, len(regexp_extract_all(text, '{K.IP}')) AS n_ip FROM u"""
 
 
@@ -204,11 +210,12 @@ SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS containment FROM d
 
 
 def q_decontaminate_semantic(spark, d):
+    """Evaluation vectors: every row whose id is divisible by 20, against all other rows."""
     rows = table(spark, d, "embeddings")
-    return V.near_eval(rows.filter("vec_id >= 40"), rows.filter("vec_id < 40"), 0.5).withColumn("cosine", F.round("cosine", 5))
+    return V.near_eval(rows, rows.filter("vec_id % 20 = 0"), 0.5).filter("vec_id <> eval_id").withColumn("cosine", F.round("cosine", 5))
 
 
-DECON_SEMANTIC = f"WITH {NORMED} SELECT a.vec_id, b.vec_id AS eval_id, round(array_cosine_similarity(a.e, b.e), 5) AS cosine FROM v a JOIN v b ON a.vec_id >= 40 AND b.vec_id < 40 AND array_cosine_similarity(a.e, b.e) >= 0.5"
+DECON_SEMANTIC = f"WITH {NORMED} SELECT a.vec_id, b.vec_id AS eval_id, round(array_cosine_similarity(a.e, b.e), 5) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id AND b.vec_id % 20 = 0 AND array_cosine_similarity(a.e, b.e) >= 0.5"
 
 
 def q_synthetic_cap(spark, d):

@@ -15,7 +15,7 @@ from granary.plans.text_queries import UNIT, WORD
 from granary.sources.tables import materialize, table
 from granary.sources.tokenizer_file import stats_report, tokenizer_json, tokenizer_from_json
 
-_TRAINED: dict[str, bpe.Vocabulary] = {}
+_TRAINED: dict[tuple, bpe.Vocabulary] = {}
 
 PIECES = r"""l AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line FROM documents),
 p AS (SELECT doc_id, lang, unnest(regexp_extract_all(replace(line, ' ', '▁'), '▁[^▁]*|[^▁]+')) AS piece FROM l)"""
@@ -24,10 +24,13 @@ WEIGHTED = f"{PIECES}, c AS (SELECT piece, sum(n * {W})::BIGINT AS count FROM (S
 
 
 def trained(spark, d: str) -> bpe.Vocabulary:
-    """One vocabulary for each input folder and session's life; its size is a parameter."""
-    if d not in _TRAINED:
-        _TRAINED[d] = bpe.train(bpe.weighted_piece_counts(table(spark, d, "documents"), C.WEIGHTS), C.VOCAB_SIZE)
-    return _TRAINED[d]
+    """The vocabulary of the documents as they are: trained once for each content (a digest of all rows is taken every time) and size."""
+    docs = table(spark, d, "documents")
+    seen = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lang", "text").cast("decimal(38, 0)")), F.sum(F.crc32(F.col("text").cast("binary")))).first()
+    key = (*seen, C.VOCAB_SIZE, *C.WEIGHTS.items())
+    if key not in _TRAINED:
+        _TRAINED[key] = bpe.train(bpe.weighted_piece_counts(docs, C.WEIGHTS), C.VOCAB_SIZE)
+    return _TRAINED[key]
 
 
 def docs_of(spark, d):
@@ -76,10 +79,15 @@ BYTES = f"WITH {PIECES}, s AS (SELECT count(DISTINCT ch) + 1 AS first FROM (SELE
 
 
 def q_vocab_composition(spark, d):
-    return bpe.vocab_composition(bpe.vocab_frame(spark, trained(spark, d))).select("kind", "entries")
+    """Entries by kind; those of one character are the alphabet."""
+    vocab = bpe.vocab_frame(spark, trained(spark, d))
+    vocab = vocab.withColumn("kind", F.when((F.col("kind") == "merge") & (F.length("token") == 1), "alphabet").otherwise(F.col("kind")))
+    return bpe.vocab_composition(vocab).select("kind", "entries")
 
 
-COMPOSITION = f"""SELECT * FROM (VALUES ('special', 1::BIGINT), ('byte', 256::BIGINT), ('merge', {C.VOCAB_SIZE - 257}::BIGINT)) t(kind, entries)"""
+# entries that merges made are those that are left beside the alphabet, the unknown token and the bytes
+COMPOSITION = f"""WITH {PIECES}, a AS (SELECT count(DISTINCT ch) AS n FROM (SELECT unnest(regexp_extract_all(piece, '(?s).')) AS ch FROM p))
+SELECT * FROM (SELECT 'special' AS kind, 1::BIGINT AS entries UNION ALL SELECT 'byte', 256 UNION ALL SELECT 'alphabet', n FROM a UNION ALL SELECT 'merge', {C.VOCAB_SIZE} - 257 - n FROM a)"""
 
 
 def q_vocab_table(spark, d):
@@ -156,6 +164,16 @@ def q_fairness_of_tokens(spark, d):
     return fair.fairness_score(q_language_ratios(spark, d), C.PENALTY_LANG)
 
 
+def q_ratio_gate_of_tokens(spark, d):
+    return fair.ratio_gate(q_language_ratios(spark, d).select("lang", "ratio"))
+
+
+def q_fertility_gate_of_tokens(spark, d):
+    """Mean tokens a word against the ceiling of each language that has one, macro mean, maximum, and byte fallback."""
+    found = q_fertility(spark, d).select("lang", F.col("mean").alias("ratio"), "byte_share")
+    return fair.fertility_gate(found, C.CEILINGS | C.NATIVE_CEILINGS)
+
+
 def piece_ratios(spark, d):
     """lang, ratio of metaspace pieces to units: the scoring on a tokenization that SQL can repeat."""
     rows = docs_of(spark, d).select("lang", F.size(T.metaspace_pieces(F.col("text"))).alias("p"), T.faithful_units(F.col("text")).alias("u"))
@@ -251,15 +269,13 @@ def q_tune_weights(spark, d):
     ratios = lambda v: {r.lang: r.ratio for r in fair.language_ratios(docs, v).collect()}  # noqa: E731  one row a language
     size = len(trained(spark, d).tokens) - 100
     best, spreads = bpe.tune_weights(counts, C.WEIGHTS, ratios, size)
-    return spark.createDataFrame([(k, w, min(spreads) <= spreads[0]) for k, w in best.items()], "lang string, weight int, no_worse boolean")
+    return spark.createDataFrame([(k, C.WEIGHTS[k], w, spreads[0], min(spreads)) for k, w in best.items()], "lang string, first_weight int, weight int, first_spread double, spread double")
 
 
 def q_superword_train(spark, d):
-    """Second-stage merges: those of sentence pieces that cross a space."""
-    v = trained(spark, d)
-    counts = bpe.superword_counts(docs_of(spark, d), v)
-    more = bpe.train(counts, C.VOCAB_SIZE - 128)
-    return bpe.merges_frame(spark, more)
+    """Second-stage merges, all of which cross a space."""
+    _, merges = codec.superword_train(docs_of(spark, d), trained(spark, d), C.SUPERWORDS)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
 REGISTRY = {
@@ -285,6 +301,8 @@ REGISTRY = {
     "unknown_tokens": (q_unknown_tokens, UNKNOWN),
     "language_ratios": (q_language_ratios, None),
     "fairness_of_tokens": (q_fairness_of_tokens, None),
+    "ratio_gate_of_tokens": (q_ratio_gate_of_tokens, None),
+    "fertility_gate_of_tokens": (q_fertility_gate_of_tokens, None),
     "fairness_score": (q_fairness_score, SCORE),
     "ratio_gate": (q_ratio_gate, RATIO_GATE),
     "verify_stats": (q_verify_stats, VERIFY),

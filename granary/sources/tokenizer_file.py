@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from granary.operators.bpe_train import UNK, Vocabulary
 
 
-def parse_merges(merges: list) -> list[tuple[str, str]]:
-    """Both spellings: "a b" and ["a", "b"]."""
-    return [tuple(m.split(" ", 1)) if isinstance(m, str) else (m[0], m[1]) for m in merges]
+def merge_pair(entry: object) -> tuple[str, str]:
+    """One entry of a merge list, written as two strings or as one string with a blank between the sides; a side is never empty."""
+    if isinstance(entry, str):
+        left, blank, right = entry.partition(" ")
+        sides = [left, right] if blank and " " not in right else []
+    else:
+        sides = list(entry) if isinstance(entry, (list, tuple)) else []
+    if len(sides) != 2 or not all(isinstance(x, str) and x for x in sides):
+        raise ValueError(f"not a merge: {entry!r}")
+    return sides[0], sides[1]
 
 
 def tokenizer_json(v: Vocabulary) -> str:
@@ -30,7 +37,7 @@ def tokenizer_from_json(text: str) -> Vocabulary:
     tokens = sorted(model["vocab"], key=model["vocab"].get)
     if sorted(model["vocab"].values()) != list(range(len(tokens))):
         raise ValueError("ids are not 0..V-1")
-    return Vocabulary(tokens, parse_merges(model["merges"]))
+    return Vocabulary(tokens, [merge_pair(m) for m in model["merges"]])
 
 
 def stats_report(ratios: DataFrame, v: Vocabulary, weights: dict[str, int]) -> DataFrame:
