@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import batch_of, materialize
+from granary.llm.common import batch_of, materialize, row_ids
 
 # Element and class names.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "math", "object", "canvas"}
@@ -259,17 +260,13 @@ def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-FOUND = "array<struct<text: string, article: boolean, furniture: boolean>>"
-
-
 def page_lines(pages: DataFrame) -> DataFrame:
-    """row_id, page_id, url, found (the lines, FOUND), host, path, same, lines array<long>: hashes of lines; same is equal for mirrors."""
-    line = pa.struct([("text", pa.string()), ("article", pa.bool_()), ("furniture", pa.bool_())])
-    out = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("found", pa.list_(line)), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
+    """row_id, host, path, same, lines array<long>: hashes of lines; same is equal for mirrors."""
+    out = pa.schema([("row_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, same, lines, texts = [], [], [], [], []
+            hosts, paths, same, lines = [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 try:
                     parts = urlsplit(url or "")
@@ -282,11 +279,20 @@ def page_lines(pages: DataFrame) -> DataFrame:
                 inside = [x.text for x in found if x.article and not x.furniture]
                 same.append(line_hash("\n\n".join(["article", *inside] if inside else ["page", *(x.text for x in found)])))
                 lines.append([line_hash(x.text) for x in found])
-                texts.append([x._asdict() for x in found])
-            yield batch_of(out, *(batch.column(c) for c in ("row_id", "page_id", "url")), texts, hosts, paths, same, lines)
+            yield batch_of(out, batch.column("row_id"), hosts, paths, same, lines)
+
+    read = pages.select(row_ids(pages).alias("row_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return read.mapInArrow(scan, "row_id long, host string, path string, same long, lines array<long>")
+
+
+def packed(found: list[Line]) -> bytes:
+    """Lines as compressed bytes; a line has no line end, so one marks where the next begins."""
+    return zlib.compress("\n".join(f"{x.article + 2 * x.furniture}{x.text}" for x in found).encode("utf-8", "replace"))
 
-    read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read.mapInArrow(scan, f"row_id long, page_id long, url string, found {FOUND}, host string, path string, same long, lines array<long>")
+
+def unpacked(data: bytes) -> list[Line]:
+    rows = zlib.decompress(data).decode("utf-8")
+    return [Line(r[1:], bool(int(r[0]) & 1), int(r[0]) > 1) for r in rows.split("\n")] if rows else []
 
 
 def beyond(ends: list[dict]) -> list[dict | None]:
@@ -351,14 +357,31 @@ def shared_lines(keys: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (lines in page order joined by an empty line), n_lines (all the page has), n_shared (deleted by differencing), n_named (deleted by name)."""
-    parsed = materialize(page_lines(pages), "page-lines")
-    shared = materialize(shared_lines(parsed.filter(F.size("lines") > 0).select("row_id", "host", "path", "same", "lines")), "shared-lines")
-    rows = parsed.select("row_id", "page_id", "url", "found").join(shared, "row_id", "left")
-    own = lambda x: x["article"] & ~x["furniture"]
-    deleted = lambda x, i: F.coalesce(F.get("shared", i), F.lit(False)) & ~own(x)
-    alone = F.col("shared").isNull() & F.exists("found", own)
-    left = F.when(alone, F.filter("found", own)).otherwise(F.filter("found", lambda x, i: ~deleted(x, i) & ~x["furniture"]))
-    n = lambda c: F.size(c).cast("long")
-    rows = rows.select("page_id", "url", left.alias("left"), n("found").alias("n_lines"), n(F.filter("found", deleted)).alias("n_shared"))
-    text = F.array_join(F.col("left.text"), "\n\n")
-    return rows.select("page_id", "url", text.alias("text"), "n_lines", "n_shared", (F.col("n_lines") - F.col("n_shared") - n("left")).alias("n_named"))
+    keys = materialize(page_lines(pages).filter(F.size("lines") > 0), "page-lines")
+    shared = materialize(shared_lines(keys), "shared-lines")
+    blobs = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("found", pa.binary())])
+    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_lines", "n_shared", "n_named"))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of(blobs, *(batch.column(c) for c in ("row_id", "page_id", "url")), [packed(lines_of(x or "")) for x in batch.column("html").to_pylist()])
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data, gone in zip(batch.column("found").to_pylist(), batch.column("shared").to_pylist()):
+                found = unpacked(data)
+                own = [x.article and not x.furniture for x in found]
+                if gone is None and any(own):
+                    left, deleted = [x.text for x, o in zip(found, own) if o], 0
+                else:
+                    away = [g and not o for g, o in zip(gone or [False] * len(found), own)]
+                    left, deleted = [x.text for x, g in zip(found, away) if not g and not x.furniture], sum(away)
+                rows.append(("\n\n".join(left), len(found), deleted, len(found) - deleted - len(left)))
+            yield batch_of(out, batch.column("page_id"), batch.column("url"), *(zip(*rows) if rows else [[]] * 4))
+
+    read = pages.select(row_ids(pages).alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    lines = read.mapInArrow(parse, "row_id long, page_id long, url string, found binary")
+    # a merge join at every size; lines move compressed
+    rows = lines.join(shared.hint("merge"), "row_id", "left").select("page_id", "url", "found", "shared")
+    return rows.mapInArrow(select, "page_id long, url string, text string, n_lines long, n_shared long, n_named long")
