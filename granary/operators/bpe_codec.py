@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import faithful_units, word_count
-from granary.operators.bpe_train import CLOSE, OPEN, UNK, Vocabulary, grow, sentence_counts, vocab_frame, with_bytes
+from granary.operators.bpe_train import UNK, Vocabulary, grow, sentence_counts, vocab_frame, with_bytes
 
 REMEMBERED = 200_000
 PIECE, BYTE = re.compile("▁[^▁]*|[^▁]+"), re.compile(r"<0x([0-9A-F]{2})>")
@@ -150,9 +150,6 @@ def superword_train(docs: DataFrame, v: Vocabulary, more: int) -> tuple[Vocabula
 
     Sentences of prose are encoded by v and its tokens merged on, so v's trained ids stay as they are (byte entries move behind the new ones); no merge crosses the end of a sentence.
     """
-    tokens = F.transform("ids", lambda i: F.element_at(F.lit(v.tokens), i + 1))
-    wrapped = F.concat(F.lit(OPEN), F.array_join(tokens, CLOSE + OPEN), F.lit(CLOSE))
-    counts = sentence_counts(docs).filter(~F.col("piece").rlike(f"[{OPEN}{CLOSE}]"))
     trained = v.tokens[:-256]
-    grown, merges = grow(encode(counts, v, "piece").select(wrapped.alias("wrapped"), "count"), trained, len(trained) + more, across_spaces=True)
+    grown, merges = grow(encode(sentence_counts(docs), v, "piece"), trained, len(trained) + more, across_spaces=True)
     return Vocabulary(with_bytes(grown), [*v.merges, *merges]), merges

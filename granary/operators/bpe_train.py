@@ -1,14 +1,18 @@
 """Shared BPE vocabulary from weighted piece counts, as a Spark job.
 
-The distinct pieces with their weighted counts are the only data; a piece keeps its symbols wrapped, and merging is a string replacement,
-which is left to right and never overlapping. Each round counts adjacent pairs and takes several merges at once where that
-cannot change the outcome: see `batch`.
+The distinct pieces with their weighted counts are the only data, as lists of symbol ids; merging is left to right and never overlapping.
+Each round is one job: Arrow batches apply the latest merges and sum adjacent pairs, Spark adds the sums up and finds the most frequent.
+Several merges are taken at once where that cannot change the outcome: see `batch`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,9 @@ from granary.functions.text import characters, lines, metaspace_pieces
 from granary.sources.tables import materialize
 
 OPEN, CLOSE, UNK = "\x01", "\x02", "[UNK]"
-FETCH, KEEP_ROUNDS, TASK_PIECES = 512, 12, 10_000
+FETCH, KEEP_ROUNDS, TASK_SYMBOLS = 512, 12, 200_000
+WORDS = "ids array<int>, count long"
+SHIFT, LOW = 32, (1 << 32) - 1  # a pair of ids as one number
 
 
 def piece_counts(docs: DataFrame) -> DataFrame:
@@ -65,78 +71,147 @@ class Vocabulary:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
-def batch(ranked: list[tuple[str, str, int]], ids: dict[str, int], room: int, whole: bool) -> list[tuple[str, str]]:
+def batch(ranked: list[tuple[str, str]], ids: dict[str, int], room: int) -> list[tuple[str, str]]:
     """The longest run of top pairs that sequential merging would take in this order.
 
-    ranked: pairs by (count desc, left id, right id), all of them if whole, else the first few. A pair joins the run if it
-    shares no symbol end to end with pairs taken, is no self pair, makes a new string, and no pair of its own count
-    further down could gain from a taken merge (its count group must be in sight).
+    ranked: pairs by (count desc, left id, right id). A pair joins the run if it shares no symbol end to end with pairs taken, so that
+    its count stands, is no self pair, and makes a new string. Nothing overtakes it meanwhile: a merge only lowers counts of old pairs,
+    and a pair it makes is no more frequent than the old pair it comes from, which is further down, and has a newer id in the place
+    of an older one, so it loses ties too.
     """
     taken: list[tuple[str, str]] = []
     lefts, rights, made = set(), set(), set()
-    for j, (a, b, n) in enumerate(ranked):
+    for a, b in ranked[:room]:
         alone = a == b or a + b in ids or a + b in made
-        if not taken:
-            taken.append((a, b))
-            if alone:
-                break
-        else:
-            if alone or a in rights or b in lefts:
-                break
-            k = j + 1
-            while k < len(ranked) and ranked[k][2] == n and not (ranked[k][0] in rights or ranked[k][1] in lefts):
-                k += 1
-            if (k == len(ranked) and not whole) or (k < len(ranked) and ranked[k][2] == n):
-                break
-            taken.append((a, b))
-        lefts.add(a), rights.add(b), made.add(a + b)
-        if len(taken) >= room:
+        if taken and (alone or a in rights or b in lefts):
+            break
+        taken.append((a, b))
+        if alone:
             break
+        lefts.add(a), rights.add(b), made.add(a + b)
     return taken
 
 
 def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
     """Merges until vocab_size less the 256 byte tokens is reached; counts: piece, count. Raises if it cannot be."""
-    counts = counts.filter(~F.col("piece").rlike(f"[{OPEN}{CLOSE}]"))
     tokens = [UNK] + [r.token for r in alphabet(counts).orderBy("id").collect()]
-    tokens, merges = grow(counts.select(wrap(F.col("piece")).alias("wrapped"), "count"), tokens, vocab_size - 256)
+    tokens, merges = grow(symbol_ids(counts, tokens), tokens, vocab_size - 256)
     return Vocabulary(with_bytes(tokens), merges)
 
 
+def symbol_ids(counts: DataFrame, tokens: list[str]) -> DataFrame:
+    """ids, count: pieces as the ids of their characters."""
+    ids = {t: i for i, t in enumerate(tokens)}
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[ids[c] for c in piece] for piece in batch.column("piece").to_pylist()]
+            yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), batch.column("count")], names=["ids", "count"])
+
+    return counts.select("piece", F.col("count").cast("long").alias("count")).mapInArrow(look_up, WORDS)
+
+
+def symbols_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of a batch in one array, and the word each belongs to."""
+    ids = batch.column("ids")
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def merge(x: np.ndarray, word: np.ndarray, codes: np.ndarray, made: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and word after the merges of one round: each pair in codes (sorted) becomes its entry of made, left to right and never overlapping."""
+    first, second = np.zeros(stop + 1, bool), np.zeros(stop + 1, bool)
+    first[codes >> SHIFT], second[codes & LOW] = True, True
+    at = np.nonzero(first[x[:-1]] & second[x[1:]] & (word[:-1] == word[1:]))[0]
+    code = x[at] << SHIFT | x[at + 1]
+    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    at, place = at[codes[place] == code], place[codes[place] == code]
+    # only a pair of equal symbols can meet itself: of such a run every second one counts
+    n = np.arange(len(at))
+    begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, n, 0)) if len(at) else n
+    at, place = at[(n - begin) % 2 == 0], place[(n - begin) % 2 == 0]
+    x[at] = made[place]
+    keep = np.ones(len(x), bool)
+    keep[at + 1] = False
+    return x[keep], word[keep]
+
+
+def summed_pairs(x: np.ndarray, word: np.ndarray, counts: np.ndarray, stop: int, allowed: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of adjacent pairs and their counts. allowed: per symbol, whether it may be the left one of any pair, or the right one."""
+    a, b = x[:-1], x[1:]
+    use = (word[:-1] == word[1:]) & (a != stop) & (b != stop)
+    if allowed:
+        use &= allowed[0][a] | allowed[1][b]
+    code, n = (a << SHIFT | b)[use], counts[word[:-1][use]]
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    start = np.nonzero(np.concatenate(([True], code[1:] != code[:-1])))[0] if len(code) else np.zeros(0, np.int64)
+    return code[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def advance(words: DataFrame, rounds: list[tuple[np.ndarray, np.ndarray]], stop: int) -> DataFrame:
+    """words after the merges of rounds; words that are one symbol are of no more use and left out."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, word = symbols_of(batch)
+            for codes, made in rounds:
+                x, word = merge(x, word, codes, made, stop)
+            at = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=batch.num_rows)))).astype(np.int32)
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))), batch.column("count")], names=["ids", "count"])
+
+    return words.mapInArrow(apply, WORDS).filter(F.size("ids") > 1)
+
+
+def counted_pairs(words: DataFrame, rounds: list[tuple[np.ndarray, np.ndarray]], stop: int, allowed: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """code, count over words after the merges of rounds: summed in each batch before they move."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, word = symbols_of(batch)
+            for codes, made in rounds:
+                x, word = merge(x, word, codes, made, stop)
+            code, n = summed_pairs(x, word, batch.column("count").to_numpy(zero_copy_only=False), stop, allowed)
+            yield pa.record_batch([pa.array(code), pa.array(n)], names=["code", "count"])
+
+    return words.mapInArrow(scan, "code long, count long").groupBy("code").agg(F.sum("count").alias("count"))
+
+
 def grow(words: DataFrame, tokens: list[str], target: int, across_spaces: bool = False) -> tuple[list[str], list[tuple[str, str]]]:
-    """tokens and more, until there are target of them, and the merges that make them; words: wrapped, count. across_spaces: only merges whose result has a space behind its first character."""
-    tokens, merges = list(tokens), []
+    """tokens and more, until there are target of them, and the merges that make them.
+
+    words: ids (places in tokens; any other id, and 0, is never merged), count. across_spaces: only merges whose result has a space
+    behind its first character. A round is one job over the distinct words; merges of the last few rounds are applied as words
+    are read, and words are written anew every KEEP_ROUNDS rounds.
+    """
+    tokens, merges, rounds = list(tokens), [], []
     ids = {t: i for i, t in enumerate(tokens)}
-    words = materialize(words, "words")
-    tasks = -(-words.count() // TASK_PIECES)  # follows the number of distinct pieces
+    known = lambda i: F.when((i > 0) & (i < len(ids)), i).otherwise(F.lit(target)).cast("int")
+    words = materialize(words.select(F.transform("ids", known).alias("ids"), "count"), "words")
+    tasks = -(-(words.agg(F.sum(F.size("ids"))).first()[0] or 0) // TASK_SYMBOLS)  # follows the size of the table
     words = materialize(words.repartition(max(1, tasks)), "words")
-    rounds = 0
+    behind, anywhere = np.zeros(target + 1, bool), np.zeros(target + 1, bool)
+    spaced = 0
     while len(tokens) < target:
-        found, fetch = pair_counts(words), FETCH
-        if across_spaces:
-            found = found.filter(F.instr(F.expr("substring(concat(left, right), 2)"), "▁") > 0)
-        while True:  # the last count in sight may go on beyond it, so its pairs are left out
-            seen = found.orderBy(F.desc("count")).limit(fetch).collect()
-            whole = len(seen) < fetch
-            top = [r for r in seen if whole or r["count"] > seen[-1]["count"]]
-            if whole or top:
-                break
-            fetch *= 8
-        top.sort(key=lambda r: (-r["count"], ids[r.left], ids[r.right]))
+        for i in range(spaced, len(tokens)):
+            behind[i], anywhere[i] = "▁" in tokens[i][1:], "▁" in tokens[i]
+        spaced = len(tokens)
+        found = counted_pairs(words, rounds, target, (behind, anywhere) if across_spaces else None)
+        top = found.orderBy(F.desc("count"), "code").limit(FETCH).collect()  # codes order as (left, right)
         if not top:
             raise ValueError(f"only {len(tokens)} of {target} trained entries can be made from this text")
-        new = batch([tuple(r) for r in top], ids, target - len(tokens), whole)
-        column = F.col("wrapped")
+        new = batch([(tokens[r.code >> SHIFT], tokens[r.code & LOW]) for r in top], ids, target - len(tokens))
+        made = {}
         for a, b in new:
+            code = ids[a] << SHIFT | ids[b]
             merges.append((a, b))
             if a + b not in ids:
                 ids[a + b] = len(tokens)
                 tokens.append(a + b)
-            column = F.replace(column, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a + b}{CLOSE}"))
-        words = words.withColumn("wrapped", column)
-        rounds += 1
-        if rounds % KEEP_ROUNDS == 0:
-            words = materialize(words.filter(F.instr("wrapped", CLOSE + OPEN) > 0), "words")
+            made[code] = ids[a + b]
+        rounds.append((np.array(sorted(made), np.int64), np.array([made[c] for c in sorted(made)], np.int64)))
+        if len(rounds) == KEEP_ROUNDS:
+            words, rounds = materialize(advance(words, rounds, target), "words"), []
     return tokens, merges
 
 

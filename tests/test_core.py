@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,25 @@ def test_training_equals_sequential_merging(vocabulary):
     assert v.tokens[:-256] == tokens and v.merges == merges
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_training_with_many_ties_and_runs_equals_sequential_merging(documents, seed):
+    """Few letters and equal counts: runs of one symbol, pairs that share symbols, strings made twice; words are written anew on the way."""
+    rng = random.Random(seed)
+    lines = [" ".join("".join(rng.choice("aabc") for _ in range(rng.randint(1, 9))) for _ in range(6)) for _ in range(25)]
+    counts = bpe.weighted_piece_counts(documents([(1, "\n".join(lines))]), {})
+    v = bpe.train(counts, 256 + 60)
+    tokens, merges = sequential(counts, 256 + 60)
+    assert v.tokens[:-256] == tokens and v.merges == merges
+
+
+def test_merging_skips_word_ends_and_symbols_that_are_not_trained(spark):
+    words = spark.createDataFrame([([1, 1, 1, 1, 1], 3), ([1, 9, 1, 0, 1], 50), ([1], 50), ([], 1), ([2, 1], 2)], bpe.WORDS)
+    tokens, merges = bpe.grow(words, ["[UNK]", "a", "b"], 5)
+    assert tokens[3:] == ["aa", "aaa"] and merges == [("a", "a"), ("aa", "a")]  # aa aa a: of equal counts the smaller right id
+    with pytest.raises(ValueError):
+        bpe.grow(words.limit(0), ["[UNK]", "a", "b"], 4)
+
+
 def test_training_equals_public_trainer(spark, documents, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
