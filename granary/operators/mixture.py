@@ -34,6 +34,18 @@ def exposure_plan(per: DataFrame, targets: dict[str, float], scheduled: float, m
     return rows.withColumn("passes", F.try_divide("scheduled", "available")).withColumn("ok", F.coalesce(F.col("passes") <= max_passes, F.lit(False)))
 
 
+def exposure_decision(plan: DataFrame, required_share: float = 0.5) -> DataFrame:
+    """scheduled, unique_equivalent, required, over_passes, go: one row over a plan.
+
+    Unique-equivalent tokens are those a plan takes for the first time, the lesser of scheduled and available in each bucket; a plan goes ahead when they reach
+    required_share of all scheduled tokens and no bucket is passed over too often. A plan without rows does not.
+    """
+    first = F.least("scheduled", F.col("available").cast("double"))
+    one = plan.agg(F.sum("scheduled").alias("scheduled"), F.sum(first).alias("unique_equivalent"), F.count(F.when(~F.col("ok"), 1)).alias("over_passes"))
+    one = one.select("scheduled", "unique_equivalent", (F.col("scheduled") * required_share).alias("required"), "over_passes")
+    return one.withColumn("go", F.coalesce((F.col("unique_equivalent") >= F.col("required")) & (F.col("over_passes") == 0), F.lit(False)))
+
+
 def sample_mixture(buckets: DataFrame, plan: DataFrame, salt: str) -> DataFrame:
     """doc_id, bucket, copy_no: floor(passes) copies, and one more where the document's uniform is under the fraction."""
     rows = buckets.join(plan.select("bucket", "passes"), "bucket")

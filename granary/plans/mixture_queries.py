@@ -55,6 +55,14 @@ def q_exposure_plan(spark, d):
 EXPOSURE = f"WITH {PASSES} SELECT bucket, scheduled, available, round(scheduled / nullif(available, 0), 9) AS passes, coalesce(scheduled / nullif(available, 0) <= 4, false) AS ok FROM pl"
 
 
+def q_exposure_decision(spark, d):
+    return r9(M.exposure_decision(plan(spark, d)), "scheduled", "unique_equivalent", "required")
+
+
+DECISION = f"""WITH {PASSES}, o AS (SELECT sum(scheduled) AS s, sum(least(scheduled, available::DOUBLE)) AS u, count(*) FILTER (NOT coalesce(scheduled / nullif(available, 0) <= 4, false)) AS n FROM pl)
+SELECT round(s, 9) AS scheduled, round(u, 9) AS unique_equivalent, round(s * 0.5, 9) AS required, n AS over_passes, coalesce(u >= s * 0.5 AND n = 0, false) AS go FROM o"""
+
+
 def q_sample_mixture(spark, d):
     return M.sample_mixture(M.exclusive_buckets(docs_of(spark, d)), plan(spark, d), "sample")
 
@@ -312,6 +320,8 @@ def q_embedding_projection(spark, d):
     return V.embedding_projection(table(spark, d, "embeddings"))
 
 
+# Sizes of the nested training sets.
+TRAIN_SIZES = [20, 200, 2000]
 FEATURES = ["symbol_ratio", "stopword_share", "dup_line_share", "bullet_share"]
 
 
@@ -334,22 +344,24 @@ METRICS = f"""WITH {JUDGED_CTE} SELECT lang, count(*) AS n, round(avg(((score >=
 
 
 def q_generalization_gap(spark, d):
-    """Nested training shares against one held-out part: losses and their gap."""
+    """Nested training sets of growing size against one held-out part: losses, their gap, and the worst gap of all sizes."""
     rows = materialize(labelled(spark, d), "labelled")
     test, out = rows.filter("u >= 0.7"), None
-    for share in (0.02, 0.2, 0.7):
-        train = rows.filter(F.col("u") < share)
+    for size in TRAIN_SIZES:
+        train = materialize(rows.filter("u < 0.7").orderBy("u", "doc_id").limit(size), "train")
         w = V.logistic_train(train, FEATURES, "quality", epochs=25)
         a, b = (V.binary_metrics(V.logistic_score(x, FEATURES, w), "quality").select(F.col("n").alias(f"{n}_n"), F.col("log_loss").alias(f"{n}_loss")) for x, n in ((train, "train"), (test, "test")))
-        row = a.crossJoin(b).select(F.lit(share).alias("share"), "train_n", "test_n", "train_loss", "test_loss", (F.col("test_loss") - F.col("train_loss")).alias("gap"))  # one row each
+        row = a.crossJoin(b).select(F.lit(size).alias("size"), "train_n", "test_n", "train_loss", "test_loss", (F.col("test_loss") - F.col("train_loss")).alias("gap"))  # one row each
         out = row if out is None else out.unionByName(row)
-    return out
+    out = materialize(out, "gaps")  # one row a size
+    return out.crossJoin(F.broadcast(out.agg(F.max("gap").alias("worst_gap"))))  # one row on the right
 
 
 REGISTRY = {
     "exclusive_buckets": (q_exclusive_buckets, f"WITH {BUCKETS_CTE} SELECT doc_id, bucket FROM bk"),
     "mixture_shares": (q_mixture_shares, SHARES),
     "exposure_plan": (q_exposure_plan, EXPOSURE),
+    "exposure_decision": (q_exposure_decision, DECISION),
     "sample_mixture": (q_sample_mixture, SAMPLE),
     "language_budget": (q_language_budget, BUDGET),
     "composition_caps": (q_composition_caps, CAPS),

@@ -301,3 +301,11 @@ def test_registry_runs_on_empty_tables(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in ("corpus_summary", "exact_dedup", "quality_filter", "synthetic_cap", "repeated_spans", "minhash_pairs", "assemble_conversations", "rollout_rewards", "pii_redact", "sample_mixture"):
         assert registry.queries()[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_exposure_decision(spark):
+    plan = lambda rows: mixture.exposure_decision(mixture.exposure_plan(spark.createDataFrame(rows, "bucket string, tokens long"), {"a": 0.5, "b": 0.5}, 100.0)).first()
+    assert tuple(plan([("a", 80), ("b", 20), ("c", 9)])) == (100.0, 70.0, 50.0, 0, True)
+    assert tuple(plan([("a", 80), ("b", 10)])) == (100.0, 60.0, 50.0, 1, False)  # b five times
+    assert tuple(plan([("a", 20), ("b", 20)])) == (100.0, 40.0, 50.0, 0, False)
+    assert plan([]).go is False
