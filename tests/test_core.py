@@ -309,3 +309,14 @@ def test_exposure_decision(spark):
     assert tuple(plan([("a", 80), ("b", 10)])) == (100.0, 60.0, 50.0, 1, False)  # b five times
     assert tuple(plan([("a", 20), ("b", 20)])) == (100.0, 40.0, 50.0, 0, False)
     assert plan([]).go is False
+
+
+def test_generalization_gap_sizes(spark):
+    from granary.plans.mixture_queries import TRAIN_SIZES, labelled, q_generalization_gap
+
+    d = "/root/testdata/sf0.001"
+    there = labelled(spark, d).filter("u < 0.7").count()
+    rows = sorted(q_generalization_gap(spark, d).collect())
+    assert [r.train_n for r in rows] == [min(n, there) for n in TRAIN_SIZES]
+    assert len({r.test_n for r in rows}) == 1
+    assert {r.worst_gap for r in rows} == {max(r.gap for r in rows)}
