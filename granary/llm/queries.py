@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import table
+from granary.llm.centroids import clusters
 from granary.llm.chat_format import digests, format_conversations, text_parts
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.language_id import identify
@@ -16,8 +17,10 @@ from granary.llm.ngram_join import near_duplicates
 from granary.llm.packing import pack
 from granary.llm.page_text import main_text
 from granary.llm.quality_rules import quality_rules
+from granary.llm.source_divergence import divergence
 from granary.llm.sql import ORACLE
 from granary.llm.suffix_dedup import remove_repeats
+from granary.llm.topk_search import QUERY_STEP, top_k
 from granary.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +78,26 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_named")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+ALL = (
+    op1_mixing, op2_language_id, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_toxicity, op9_chat_format, op10_page_text,
+    op11_topk_search, op12_source_divergence, op13_centroid_clustering,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_toxicity, op9_chat_format, op10_page_text)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

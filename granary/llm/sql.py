@@ -1,7 +1,10 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from granary.llm import centroids as C
 from granary.llm import mixing as M
 from granary.llm import quality_rules as Q
+from granary.llm import source_divergence as D
+from granary.llm import topk_search as T
 
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,4 +127,56 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
+
+TOP = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda v: floor({T.SCALE} * v::DOUBLE)::BIGINT) AS x, row_number() OVER () AS rid FROM embeddings WHERE {FINITE}),
+s AS (SELECT q.vec_id AS query_id, q.rid, c.vec_id, c.rid AS other, coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % {T.QUERY_STEP} = 0 AND q.rid <> c.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {T.K}
+"""
+
+_lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_p = lambda count, total: f"(1 + {D.WHOLE}::HUGEINT * ({count} + {D.SMOOTH}) // ({total} + {D.SMOOTH} * v))"
+DIVERGENCE = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_lower} AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT lang, source, rid, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+k AS (SELECT lang, t, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= {D.MIN_DOCS}),
+c AS (SELECT lang, source, t, count(*) AS n FROM w SEMI JOIN k USING (lang, t) GROUP BY ALL),
+l AS (SELECT lang, count(t) AS v, coalesce(sum(lang_n), 0) AS lang_total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n, {_p("coalesce(n, 0)", "total")} AS p, {_p("lang_n", "lang_total")} AS q
+      FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {D.TOP}
+"""
+
+
+def clusters() -> str:
+    """Rounds are tables, one after the other."""
+    seeds = f"row_number() OVER (ORDER BY sha256('{C.SALT}' || vec_id::VARCHAR) NULLS LAST, x)"
+    # the distance and the number of the nearest centroid as one integer
+    near = lambda c: f"SELECT rid, any_value(x) AS x, min(list_sum(list_transform(range(1, {C.DIMS + 1}), lambda i: (x[i] - m[i]) * (x[i] - m[i])))::BIGINT * {C.K} + c) AS best FROM v, {c} GROUP BY rid"
+    whole = "(sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*)"
+    rounds = ""
+    for r in range(C.ROUNDS):
+        rounds += f"""
+a{r} AS MATERIALIZED ({near(f"c{r}")}),
+u{r} AS (SELECT c, list(s ORDER BY i) AS m FROM (SELECT best % {C.K} AS c, i, {whole} AS s FROM a{r}, range(1, {C.DIMS + 1}) AS t(i) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(u{r}.m, c{r}.m)::BIGINT[] AS m FROM c{r} LEFT JOIN u{r} USING (c)),"""
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: floor({C.SCALE} * v::DOUBLE)::BIGINT) AS x, row_number() OVER () AS rid FROM embeddings WHERE {FINITE} AND len(embedding) = {C.DIMS}),
+c0 AS MATERIALIZED (SELECT {seeds} - 1 AS c, x AS m FROM v QUALIFY {seeds} <= {C.K}),{rounds}
+f AS (SELECT rid, best % {C.K} AS c, best // {C.K} AS d FROM ({near(f"c{C.ROUNDS}")}))
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM f JOIN v USING (rid) JOIN c{C.ROUNDS} USING (c)
+"""
+
+
 ORACLE = {"op1_mixing": MIX, "op3_exact_dedup": EXACT, "op5_suffix_dedup": REPEATS, "op6_quality_rules": quality(), "op7_ngram_join": NGRAMS, "op9_chat_format": CHAT}
+ORACLE |= {"op11_topk_search": TOP, "op12_source_divergence": DIVERGENCE, "op13_centroid_clustering": clusters()}
