@@ -1,7 +1,7 @@
 """Parameters of the registered queries: languages of the data, weights, gates and plans."""
 
 WEIGHTS = {"en": 1, "fr": 2, "de": 2, "es": 3}
-VOCAB_SIZE = 2048
+VOCAB_SIZE = 10_000
 SUPERWORDS = 32
 PENALTY_LANG = "fr"
 CEILINGS = {"en": 1.15, "fr": 1.3, "de": 1.4, "es": 1.3}

@@ -1,12 +1,19 @@
-"""Shared BPE vocabulary from weighted piece counts, as a Spark job.
+"""Shared BPE vocabulary from weighted piece counts, as Spark jobs.
 
 The distinct pieces with their weighted counts are the only data, as lists of symbol ids; merging is left to right and never overlapping.
-Each round is one job: Arrow batches apply the latest merges and sum adjacent pairs, Spark adds the sums up and finds the most frequent.
-Several merges are taken at once where that cannot change the outcome: see `batch`.
+
+Training goes by epochs. The candidates of an epoch are the most frequent pairs. Between two symbols that are no candidate nothing merges as long as all merges rank above the first
+pair that is left out: a pair of merged symbols is no more frequent than the pair of symbols that met there at the start, and has newer ids, so it loses ties too. So every
+piece falls into segments, which are cut where neighbours are no candidate; equal segments of all pieces are summed up, and merging them one by one is merging
+all pieces one by one. The driver does that for a bounded number of distinct segments (with too many, fewer candidates are taken), executors look the outcome up.
+
+The second stage of superwords goes by rounds instead: Arrow batches apply the latest merges and sum adjacent pairs, Spark adds the sums up, and merges are taken together where that cannot change the outcome: see `batch`.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +28,7 @@ from granary.sources.tables import materialize
 
 OPEN, CLOSE, UNK = "\x01", "\x02", "[UNK]"
 FETCH, KEEP_ROUNDS, TASK_SYMBOLS = 512, 12, 200_000
+CANDIDATES, SEGMENTS = 4096, 100_000  # most candidate pairs of an epoch, and most distinct segments
 WORDS = "ids array<int>, count long"
 SHIFT, LOW = 32, (1 << 32) - 1  # a pair of ids as one number
 
@@ -65,6 +73,7 @@ def pair_counts(words: DataFrame) -> DataFrame:
 class Vocabulary:
     tokens: list[str]  # by id
     merges: list[tuple[str, str]]  # by rank
+    complete: bool = True  # whether the text gave as many entries as were asked for
 
     @property
     def ids(self) -> dict[str, int]:
@@ -92,11 +101,149 @@ def batch(ranked: list[tuple[str, str]], ids: dict[str, int], room: int) -> list
     return taken
 
 
-def train(counts: DataFrame, vocab_size: int) -> Vocabulary:
-    """Merges until vocab_size less the 256 byte tokens is reached; counts: piece, count. Raises if it cannot be."""
+def train(counts: DataFrame, vocab_size: int, strict: bool = True) -> Vocabulary:
+    """Merges until vocab_size less the 256 byte tokens is reached; counts: piece, count. If the text gives fewer: an error, or, not strict, what it gives, marked as not complete."""
     tokens = [UNK] + [r.token for r in alphabet(counts).orderBy("id").collect()]
-    tokens, merges = grow(symbol_ids(counts, tokens), tokens, vocab_size - 256)
-    return Vocabulary(with_bytes(tokens), merges)
+    tokens, merges = grow_by_segments(symbol_ids(counts, tokens), tokens, vocab_size - 256)
+    if strict and len(tokens) < vocab_size - 256:
+        raise ValueError(f"only {len(tokens)} of {vocab_size - 256} trained entries can be made from this text")
+    return Vocabulary(with_bytes(tokens), merges, len(tokens) >= vocab_size - 256)
+
+
+def spans(x: np.ndarray, word: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments of two symbols or more begin and end: runs of a word in which each two neighbours are one of codes (sorted)."""
+    code = x[:-1] << SHIFT | x[1:]
+    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    linked = np.concatenate(([False], (codes[place] == code) & (word[:-1] == word[1:]), [False]))
+    return np.nonzero(~linked[:-1] & linked[1:])[0], np.nonzero(linked[:-1] & ~linked[1:])[0] + 1
+
+
+def segment_counts(words: DataFrame, codes: np.ndarray) -> DataFrame:
+    """segment (ids as 32-bit numbers), count over words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, word = symbols_of(batch)
+            start, end = spans(x, word, codes)
+            packed, sums = x.astype(np.int32).tobytes(), Counter()
+            for a, b, n in zip((4 * start).tolist(), (4 * end).tolist(), batch.column("count").to_numpy()[word[start]].tolist()):
+                sums[packed[a:b]] += n
+            yield pa.record_batch([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["segment", "count"])
+
+    return words.mapInArrow(scan, "segment binary, count long").groupBy("segment").agg(F.sum("count").alias("count"))
+
+
+def merge_segments(found: list[tuple[bytes, int]], tokens: list[str], ids: dict[str, int], bound: tuple | None, target: int) -> tuple[list[tuple[str, str]], dict[bytes, bytes]]:
+    """Merges one by one, tokens and ids grow with them: the most frequent pair of all segments, as long as it ranks above bound, (-count, left, right) of the first pair
+    that is no candidate. Returns the merges and the segments that they changed.
+
+    A merge whose string is an entry already ends the epoch: its symbol then stands for different symbols of the start, and counts of its pairs could add up.
+    """
+    symbols, counts = [np.frombuffer(s, np.int32).tolist() for s, _ in found], [n for _, n in found]
+    pairs: Counter = Counter()
+    holders = defaultdict(set)
+    for i, (x, n) in enumerate(zip(symbols, counts)):
+        for p in zip(x, x[1:]):
+            pairs[p] += n
+            holders[p].add(i)
+    heap = [(-n, *p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    merges, changed = [], set()
+    while heap and len(tokens) < target:
+        best = heapq.heappop(heap)
+        n, a, b = best
+        if pairs[a, b] != -n:  # has changed since
+            continue
+        if bound is not None and best >= bound:
+            break
+        text = tokens[a] + tokens[b]
+        merges.append((tokens[a], tokens[b]))
+        again = text in ids
+        if not again:
+            ids[text] = len(tokens)
+            tokens.append(text)
+        new, touched = ids[text], set()
+        for i in holders.pop((a, b)):
+            x, y, at = symbols[i], [], 0
+            while at < len(x):
+                joins = x[at] == a and at + 1 < len(x) and x[at + 1] == b
+                y.append(new if joins else x[at])
+                at += 2 if joins else 1
+            if len(x) == len(y):
+                continue
+            for p in zip(x, x[1:]):
+                pairs[p] -= counts[i]
+                touched.add(p)
+            for p in zip(y, y[1:]):
+                pairs[p] += counts[i]
+                holders[p].add(i)
+                touched.add(p)
+            symbols[i] = y
+            changed.add(i)
+        for p in touched:
+            if pairs[p] > 0:
+                heapq.heappush(heap, (-pairs[p], *p))
+        if again:
+            break
+    return merges, {found[i][0]: np.array(symbols[i], np.int32).tobytes() for i in changed}
+
+
+def rewritten(words: DataFrame, codes: np.ndarray, outcome: dict[bytes, bytes]) -> DataFrame:
+    """words with their segments replaced; words that are one symbol are of no more use and left out."""
+    shared = words.sparkSession.sparkContext.broadcast(outcome)  # at most SEGMENTS entries
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, word = symbols_of(batch)
+            x, sizes = x.astype(np.int32), np.bincount(word, minlength=batch.num_rows)
+            start, end = spans(x.astype(np.int64), word, codes)
+            packed, parts, last = x.tobytes(), [], 0
+            for a, b, w in zip(start.tolist(), end.tolist(), word[start].tolist()):
+                new = shared.value.get(packed[4 * a : 4 * b])
+                if new is not None:
+                    parts += [packed[4 * last : 4 * a], new]
+                    sizes[w] -= b - a - len(new) // 4
+                    last = b
+            joined = np.frombuffer(b"".join([*parts, packed[4 * last :]]), np.int32)
+            at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(at), pa.array(joined)), batch.column("count")], names=["ids", "count"])
+
+    return words.mapInArrow(scan, WORDS).filter(F.size("ids") > 1)
+
+
+def dealt_words(words: DataFrame) -> DataFrame:
+    """words as a table of tasks of about TASK_SYMBOLS symbols."""
+    words = materialize(words, "words")
+    tasks = -(-(words.agg(F.sum(F.size("ids"))).first()[0] or 0) // TASK_SYMBOLS)  # follows the size of the table
+    return materialize(words.repartition(max(1, tasks)), "words")
+
+
+def grow_by_segments(words: DataFrame, tokens: list[str], target: int, candidates: int = 256) -> tuple[list[str], list[tuple[str, str]]]:
+    """tokens and more, until there are target of them or words give no more, and the merges that make them. words: ids (places in tokens), count.
+
+    candidates is how many an epoch begins with; the number follows what segments leave room for.
+    """
+    tokens, merges = list(tokens), []
+    ids = {t: i for i, t in enumerate(tokens)}
+    words = dealt_words(words.filter(F.size("ids") > 1))
+    while len(tokens) < target:
+        top = counted_pairs(words, [], target, None).orderBy(F.desc("count"), "code").limit(CANDIDATES + 1).collect()
+        if not top:
+            break
+        while True:
+            codes = np.array(sorted(r.code for r in top[:candidates]), np.int64)
+            found = segment_counts(words, codes).limit(SEGMENTS + 1).collect()
+            if len(found) <= SEGMENTS or candidates == 1:  # of a single pair, segments differ in the length of runs alone
+                break
+            candidates = max(1, candidates // 4)
+        left_out = top[candidates] if candidates < len(top) else None
+        bound = left_out and (-left_out["count"], left_out.code >> SHIFT, left_out.code & LOW)
+        new, outcome = merge_segments([(bytes(r.segment), r["count"]) for r in found], tokens, ids, bound, target)
+        merges += new
+        words = materialize(rewritten(words, codes, outcome), "words")
+        if len(found) < SEGMENTS // 4:
+            candidates = min(2 * candidates, CANDIDATES)
+    return tokens, merges
 
 
 def symbol_ids(counts: DataFrame, tokens: list[str]) -> DataFrame:
@@ -187,9 +334,7 @@ def grow(words: DataFrame, tokens: list[str], target: int, across_spaces: bool =
     tokens, merges, rounds = list(tokens), [], []
     ids = {t: i for i, t in enumerate(tokens)}
     known = lambda i: F.when((i > 0) & (i < len(ids)), i).otherwise(F.lit(target)).cast("int")
-    words = materialize(words.select(F.transform("ids", known).alias("ids"), "count"), "words")
-    tasks = -(-(words.agg(F.sum(F.size("ids"))).first()[0] or 0) // TASK_SYMBOLS)  # follows the size of the table
-    words = materialize(words.repartition(max(1, tasks)), "words")
+    words = dealt_words(words.select(F.transform("ids", known).alias("ids"), "count"))
     behind, anywhere = np.zeros(target + 1, bool), np.zeros(target + 1, bool)
     spaced = 0
     while len(tokens) < target:
@@ -258,7 +403,7 @@ def tune_weights(counts: DataFrame, weights: dict[str, int], ratios_of, vocab_si
     best, spreads, current = dict(weights), [], {k: float(v) for k, v in weights.items()}
     for _ in range(rounds):
         whole = {k: max(1, round(v)) for k, v in current.items()}
-        ratios = ratios_of(train(weigh(counts, whole), vocab_size))
+        ratios = ratios_of(train(weigh(counts, whole), vocab_size, strict=False))
         spreads.append(max(ratios.values()) - min(ratios.values()))
         if spreads[-1] == min(spreads):
             best = whole

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from granary.functions.sampling import uniform
+from granary.operators.grams import hits, item_grams, window_hashes
 from granary.sources.tables import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,16 +102,28 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_docs: int = 2, n: int = 10) -> DataFrame:
-    """doc_id, n_lines, n_repeated_lines (lines in min_docs documents or twice in one), repeated_word_share (positions inside n-grams that occur twice in the text)."""
+    """doc_id, n_lines, n_repeated_lines (lines in min_docs documents or twice in one), n_repeated_words (words inside n-word windows that occur twice or more, in one text or in
+    several, the first included; overlaps count once) and repeated_word_share of all words.
+
+    Windows are counted over the corpus by a 64-bit hash.
+    """
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.col("l") != "").groupBy("doc_id", F.xxhash64("l").alias("h")).agg(F.count(F.lit(1)).alias("k"))
+    lines = materialize(lines, "lines")
     often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("k").alias("most")).filter((F.col("docs") >= min_docs) | (F.col("most") > 1))
     often = materialize(often.select("h", "docs"), "repeated-lines")  # a table, so that the planner can split a line that many documents have
-    marked = materialize(lines, "lines").join(often, "h", "left")
+    marked = lines.join(often, "h", "left")
     per = marked.groupBy("doc_id").agg(F.sum("k").alias("n_lines"), F.sum(F.when((F.col("docs") >= min_docs) | (F.col("k") > 1), F.col("k")).otherwise(0)).alias("n_repeated_lines"))
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", F.size("w").alias("n"), F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>")).alias("h"))
-    share = F.round(F.coalesce(F.try_divide(F.size("h") - F.size(F.array_distinct("h")), F.size("h")), F.lit(0.0)), 6)
-    return rows.select("doc_id", share.alias("repeated_word_share")).join(per, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_repeated_lines", F.lit(0)).cast("long").alias("n_repeated_lines"), "repeated_word_share")
+    windows = materialize(window_hashes(docs, n), "windows")
+    twice = materialize(windows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"), "repeated-windows")
+    # intervals of n words, joined up: each counts as far as the next one in its text begins
+    following = F.lead("place").over(Window.partitionBy("doc_id").orderBy("place")) - F.col("place")
+    covered = windows.join(twice, "h", "left_semi").select("doc_id", F.least(F.coalesce(following, F.lit(n)), F.lit(n)).alias("k"))
+    covered = covered.groupBy("doc_id").agg(F.sum("k").alias("n_repeated_words"))
+    words = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n_words"))
+    some = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = words.join(per, "doc_id", "left").join(covered, "doc_id", "left")
+    share = F.round(F.coalesce(F.try_divide("n_repeated_words", "n_words"), F.lit(0.0)), 6)
+    return rows.select("doc_id", some("n_lines"), some("n_repeated_lines"), some("n_repeated_words"), share.alias("repeated_word_share"))
 
 
 def shingles(docs: DataFrame, size: int) -> DataFrame:
@@ -252,62 +266,70 @@ def removal_audit(removed: DataFrame, labels: DataFrame, docs: DataFrame) -> Dat
     return out.crossJoin(F.broadcast(whole)).select("lang", "source", "n", "n_removed", "n_false_positive", F.round("fp_rate", 9).alias("fp_rate"), F.round(F.try_divide("fp_rate", "all_rate"), 6).alias("fp_ratio_to_all"))
 
 
-def grams(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """key, h, len: hashes of the n-word windows of each text; a text with fewer words gives one of its own length."""
-    w = rows.select(key, words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    size = F.least(F.size("w"), F.lit(n))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size)))
-    return w.select(key, size.alias("len"), F.explode(F.array_distinct(windows)).alias("h"))
-
-
 def decontaminate_ngram(docs: DataFrame, bench: DataFrame, n: int = 13) -> DataFrame:
-    """doc_id, item_id, n_shared: shared n-word windows; items with fewer words match as a whole."""
-    items = materialize(grams(bench, "item_id", n), "items")
-    lengths = [r[0] for r in items.select("len").distinct().collect()]  # at most n values
-    out = None
-    for k in sorted(lengths):  # documents are cut to the few lengths that items have
-        mine = grams(docs.filter(F.size(words_of(F.col("text"))) >= k), "doc_id", k).drop("len")
-        hit = mine.join(items.filter(F.col("len") == k), "h").select("doc_id", "item_id")
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long")
-    return out.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-
-
-def flat(x: Column) -> Column:
-    return F.array_join(words_of(x), " ")
+    """doc_id, item_id, n_shared: different n-word windows that both have; items with fewer words match as a whole."""
+    patterns = item_grams(bench, n)
+    grams = materialize(patterns.select("item_id", "gram").distinct(), "patterns")
+    found = hits(docs, patterns).select("doc_id", "gram").distinct()
+    return found.join(grams, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def decontaminate_exact(docs: DataFrame, bench: DataFrame, anchor: int = 5) -> DataFrame:
-    """doc_id, item_id: documents that hold a whole item (words compared, case ignored); found by the item's first words, then verified on the text."""
-    first = bench.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    first = materialize(first.select("item_id", F.least(F.size("w"), F.lit(anchor)).alias("k"), F.xxhash64(F.slice("w", 1, anchor)).alias("h"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("item")), "anchors")
-    out = None
-    for k in sorted(r[0] for r in first.select("k").distinct().collect()):  # at most `anchor` values
-        mine = grams(docs.filter(F.size(words_of(F.col("text"))) >= k), "doc_id", k).drop("len")
-        hit = mine.join(first.filter(F.col("k") == k), "h").select("doc_id", "item_id", "item")
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    texts = docs.select("doc_id", F.concat(F.lit(" "), flat(F.col("text")), F.lit(" ")).alias("t"))
-    return out.join(texts, "doc_id").filter(F.contains("t", "item")).select("doc_id", "item_id").distinct()
+    """doc_id, item_id: documents that hold a whole item (words compared, case ignored).
+
+    An item is laid out in pieces of `anchor` words, the last one flush with its end; a document holds it where all its pieces follow each other at the right distances.
+    """
+    pieces = item_grams(bench, anchor).filter((F.col("place") % anchor == 0) | (F.col("place") == F.col("n_words") - F.col("size")))
+    pieces = materialize(pieces.select("item_id", "size", "h", F.col("place").alias("offset"), "gram", F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("n")), "pieces")
+    found = hits(docs, pieces).join(pieces.select("item_id", "offset", "gram", "n"), "gram")
+    met = found.groupBy("doc_id", "item_id", "n", (F.col("place") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("k"))
+    return met.filter("k = n").select("doc_id", "item_id").distinct()
 
 
 def decontaminate_minhash(docs: DataFrame, bench: DataFrame, size: int = 5, t: float = 0.8) -> DataFrame:
-    """doc_id, item_id, containment: share of the item's word shingles found in the document, t or more (exact; items' shingles are the index)."""
-    items = materialize(shingles(bench.select(F.col("item_id").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("item_id"), F.size("s").alias("n"), F.explode("s").alias("h")), "items")
-    mine = shingles(docs, size).select("doc_id", F.explode("s").alias("h"))
-    hits = mine.join(items, "h").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("k"))
-    return hits.select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("containment"), "k", "n").filter(F.col("k") >= t * F.col("n")).drop("k", "n")
+    """doc_id, item_id, containment: the largest share, t or more, of an item's different word shingles that one window of the document has. A window has 1 / t times the words
+    of the item, rounded up, so items whose parts are spread over a long text are no match. Exact: items' shingles are the index.
+    """
+    patterns = item_grams(bench, size)
+    items = patterns.select("item_id", "gram", "size", F.ceil(F.col("n_words") / F.lit(t)).cast("int").alias("width"))
+    items = items.distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    items = materialize(items, "item-shingles")
+    found = hits(docs, patterns).join(items, "gram")
+    # pairs that have enough in the whole text, then their windows
+    pairs = found.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("gram").alias("k")).filter(F.col("k") >= F.col("n") * t).select("doc_id", "item_id")
+    there = found.join(materialize(pairs, "pairs"), ["doc_id", "item_id"], "left_semi")
+    places = F.sort_array(F.collect_list(F.struct("place", "gram")))  # of one text
+    there = there.groupBy("doc_id", "item_id", "n", (F.col("width") - F.col("size")).alias("reach")).agg(places.alias("places"))
+    best = there.select("doc_id", "item_id", "n", best_window("places", "reach").alias("k")).filter(F.col("k") >= F.col("n") * t)
+    return best.select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("containment"))
+
+
+@F.pandas_udf("int")
+def best_window(places: pd.Series, reach: pd.Series) -> pd.Series:
+    """Most different grams at places at most reach apart."""
+    out = []
+    for hits_, far in zip(places, reach):
+        inside, last, best = Counter(), 0, 0
+        for h in hits_:
+            inside[h["gram"]] += 1
+            while h["place"] - hits_[last]["place"] > far:
+                gone = hits_[last]["gram"]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                last += 1
+            best = max(best, len(inside))
+        out.append(best)
+    return pd.Series(out, dtype="int32")
 
 
 def synthetic_cap(docs: DataFrame, cap: float = 0.12, cells: int = 4096, salt: str = "cap") -> DataFrame:
-    """doc_id, kept: synthetic documents stay in hash order while their tokens are at most cap of all tokens kept. docs: doc_id, origin, tokens.
+    """doc_id, kept: synthetic documents stay in hash order while their tokens are at most cap of all tokens kept. docs: doc_id, origin (null: not synthetic), tokens.
 
     Tokens are summed by hash cell; only the cell in which the allowance ends is ordered by row.
     """
     rows = docs.withColumn("u", uniform("doc_id", salt)).withColumn("cell", F.floor(F.col("u") * cells))
-    base = rows.agg(F.coalesce(F.sum(F.when(F.col("origin") != "synthetic", F.col("tokens"))), F.lit(0)).alias("b")).first().b
+    base = rows.agg(F.coalesce(F.sum(F.when(~F.col("origin").eqNullSafe("synthetic"), F.col("tokens"))), F.lit(0)).alias("b")).first().b
     allowed = base * cap / (1 - cap)
     made = rows.filter("origin = 'synthetic'")
     so_far = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -316,7 +338,7 @@ def synthetic_cap(docs: DataFrame, cap: float = 0.12, cells: int = 4096, salt: s
     state = F.when(F.col("before") + F.col("t") <= allowed, 1).when(F.col("before") > allowed, -1).otherwise(0)
     cut = made.join(per.select("cell", "before", state.alias("state")), "cell")
     edge = cut.filter("state = 0").withColumn("kept", F.col("before") + in_cell <= allowed)
-    return rows.filter("origin <> 'synthetic'").select("doc_id", F.lit(True).alias("kept")).unionByName(edge.select("doc_id", "kept")).unionByName(cut.filter("state <> 0").select("doc_id", (F.col("state") > 0).alias("kept")))
+    return rows.filter(~F.col("origin").eqNullSafe("synthetic")).select("doc_id", F.lit(True).alias("kept")).unionByName(edge.select("doc_id", "kept")).unionByName(cut.filter("state <> 0").select("doc_id", (F.col("state") > 0).alias("kept")))
 
 
 def data_card(docs: DataFrame, stages: DataFrame) -> DataFrame:

@@ -101,8 +101,11 @@ SPANS = rf"""WITH l AS (SELECT doc_id, l, count(*) AS k FROM (SELECT doc_id, unn
 m AS (SELECT doc_id, k, count(*) OVER (PARTITION BY l) AS docs FROM l),
 a AS (SELECT doc_id, sum(k)::BIGINT AS n_lines, coalesce(sum(k) FILTER (docs >= 2 OR k > 1), 0)::BIGINT AS n_repeated_lines FROM m GROUP BY doc_id),
 w AS (SELECT doc_id, {WORDS} AS w FROM documents),
-g AS (SELECT doc_id, count(*) AS n, count(DISTINCT array_to_string(w[i : i + 9], ' ')) AS u FROM w, unnest(range(1, len(w) - 8)) AS r(i) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeated_lines, 0) AS n_repeated_lines, round(coalesce((n - u) / n, 0), 6) AS repeated_word_share FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)"""
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 9], ' ') AS g FROM w, unnest(range(1, len(w) - 8)) AS r(i)),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS k FROM t, range(10) AS r(o) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeated_lines, 0) AS n_repeated_lines, coalesce(k, 0) AS n_repeated_words,
+ round(coalesce(k / nullif(len(w), 0), 0), 6) AS repeated_word_share FROM w LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
 def q_minhash_pairs(spark, d):
@@ -205,8 +208,13 @@ def q_decontaminate_minhash(spark, d):
     return K.decontaminate_minhash(docs_of(spark, d), table(spark, d, "benchmark"))
 
 
-DECON_MINHASH = f"""WITH i AS ({_windows('benchmark', 'item_id', 5)}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), d AS ({_windows('documents', 'doc_id', 5)})
-SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS containment FROM d JOIN i USING (g) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * any_value(n)"""
+# windows of a document: from each place where it has a shingle of the item, as many words as the item has, over 0.8
+DECON_MINHASH = f"""WITH i AS ({_windows('benchmark', 'item_id', 5)}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), z AS (SELECT item_id, ceil(len({WORDS}) / 0.8)::BIGINT AS width FROM benchmark),
+w AS (SELECT doc_id, {WORDS} AS w FROM documents), ks AS (SELECT DISTINCT k FROM i),
+d AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g FROM w, ks, unnest(range(1, len(w) - k + 2)) AS u(p) WHERE len(w) >= k),
+h AS (SELECT doc_id, item_id, p, k, g, n, width FROM d JOIN i USING (k, g) JOIN n USING (item_id) JOIN z USING (item_id)),
+c AS (SELECT a.doc_id, a.item_id, a.p, any_value(a.n) AS n, count(DISTINCT b.g) AS k FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + a.width - a.k GROUP BY ALL)
+SELECT doc_id, item_id, round(max(k / n), 6) AS containment FROM c GROUP BY ALL HAVING max(k / n) >= 0.8"""
 
 
 def q_decontaminate_semantic(spark, d):

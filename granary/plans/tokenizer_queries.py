@@ -29,7 +29,7 @@ def trained(spark, d: str) -> bpe.Vocabulary:
     seen = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lang", "text").cast("decimal(38, 0)")), F.sum(F.crc32(F.col("text").cast("binary")))).first()
     key = (*seen, C.VOCAB_SIZE, *C.WEIGHTS.items())
     if key not in _TRAINED:
-        _TRAINED[key] = bpe.train(bpe.weighted_piece_counts(docs, C.WEIGHTS), C.VOCAB_SIZE)
+        _TRAINED[key] = bpe.train(bpe.weighted_piece_counts(docs, C.WEIGHTS), C.VOCAB_SIZE, strict=False)
     return _TRAINED[key]
 
 

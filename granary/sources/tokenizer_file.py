@@ -43,5 +43,5 @@ def tokenizer_from_json(text: str) -> Vocabulary:
 def stats_report(ratios: DataFrame, v: Vocabulary, weights: dict[str, int]) -> DataFrame:
     """One row: the nested report as JSON, languages by ratio ascending."""
     rows = F.sort_array(F.collect_list(F.struct("ratio", "lang", "tokens", "units")))  # one entry a language
-    facts = F.struct(F.lit(len(v.tokens)).alias("vocabulary"), F.lit(256).alias("byte_entries"), F.lit(len(v.merges)).alias("merges"), F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)).alias("weights"))
+    facts = F.struct(F.lit(len(v.tokens)).alias("vocabulary"), F.lit(256).alias("byte_entries"), F.lit(len(v.merges)).alias("merges"), F.lit(v.complete).alias("complete"), F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)).alias("weights"))
     return ratios.agg(rows.alias("languages"), (F.max("ratio") - F.min("ratio")).alias("spread")).select(F.to_json(F.struct(facts.alias("tokenizer"), "spread", "languages")).alias("report"))
