@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from granary.functions.sampling import uniform
@@ -304,7 +304,7 @@ def decontaminate_minhash(docs: DataFrame, bench: DataFrame, size: int = 5, t: f
     return best.select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("containment"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def best_window(places: pd.Series, reach: pd.Series) -> pd.Series:
     """Most different grams at places at most reach apart."""
     out = []

@@ -31,6 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows_a_batch(df: DataFrame, name: str, rows: int = 4) -> DataFrame:
+    """materialize for rows of some megabytes, of which few go to Python at once."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, host, path, html."""
     pages = table(spark, sf_dir, "pages")
