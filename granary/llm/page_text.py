@@ -7,7 +7,11 @@ Two rules stand around that. Differencing alone deletes an article that a mirror
 article or main element; and a mirror (the same article lines, or all the same lines where neither has an article) tells nothing, so the
 neighbours are the nearest pages on either side that are none. Differencing also leaves what a menu, footer or advert says on one page alone, so of the lines that
 are not shared those in elements that name themselves as furniture go too (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
-A form that wraps an article, or most of the page, is no furniture. A page without a neighbour is told by its article alone (by all its lines if it has none).
+A form that wraps an article, or most of the page, is no furniture. Inside an article a paragraph, list item or table is text: only adverts and comments go by name there.
+The rule is the same with and without a neighbour: what is neither shared nor furniture stays. n_by_difference_alone counts lines that no name would have deleted.
+
+Text that a reader does not see as part of the article is not read: scripts, styles, templates, frames, drawings (svg, canvas), controls (select, textarea), and what stands in for scripts
+(noscript). Formulas (math) and the text of an object are read.
 
 Order comes from range partitions whose ends are passed on, so the pages of one host never meet in one task; what is aligned are hashes of lines.
 Scanning is linear in the page: a tag or comment that never ends takes the rest of the page, as in browsers.
@@ -37,7 +41,7 @@ from pyspark.sql.window import Window
 from granary.llm.common import batch_of, materialize, row_ids
 
 # Element and class names.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "math", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "canvas"}
 FURNITURE = {"nav", "footer", "aside", "button", "dialog", "menu", "head"}
 CONTAINERS = {"form", "div", "section", "article", "main", "header", "ul", "ol", "table", "figure", "details", "body", "p", "span", "li"} | FURNITURE
 BLOCKS = {"form", "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "section", "article", "main", "header", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "body", "html", "fieldset", "legend"} | FURNITURE
@@ -47,8 +51,14 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "ba
 #: Inside an article these words say too little: an article has a header, related work, a search.
 OUTSIDE_ONLY = {"header", "footer", "banner", "related", "search", "menu", "navigation", "nav", "modal", "login"}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
+#: Adverts and reader comments are that, whatever else a name says; unless it says that there are none, or some elsewhere.
+ALWAYS_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "comment", "comments", "disqus"}
+ABOUT_WORDS = {"no", "non", "free", "has", "with", "without", "is", "show", "hide", "enable", "enabled", "count"}
+#: Inside an article these elements are text: of the words above only those that always hold speak against them.
+TEXT = {"p", "li", "span", "table", "figure", "details"}
 
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+COMMENT_END = re.compile("--!?>")
 VALUE_OR_END = re.compile(r"[>=]")
 BLANKS = re.compile(r"[ \t\n\x0c\r]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -68,12 +78,12 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     if not attributes or name in ("body", "html", "main"):
         return False
     tokens = [t for m in NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
-    if name == "article":
-        return any(w in ("comment", "comments") for t in tokens for w in re.split(r"[^a-z]+", t))
+    parts = [set(re.split(r"[^a-z]+", t)) for t in tokens]
+    if name == "article" or (in_article and name in TEXT):
+        return any(p & ALWAYS_WORDS and not p & ABOUT_WORDS for p in (parts if name == "article" else [{t} for t in tokens]))
     if in_article:
         return any(t in FURNITURE_WORDS and t not in OUTSIDE_ONLY for t in tokens)
-    parts = [set(re.split(r"[^a-z]+", t)) for t in tokens]
-    return any(p & FURNITURE_WORDS and not p & CONTENT_WORDS for p in parts)
+    return any(p & FURNITURE_WORDS and not p & ABOUT_WORDS and (p & ALWAYS_WORDS or not p & CONTENT_WORDS) for p in parts)
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -83,8 +93,8 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         follows = page[start + 1 : start + 2]
         if follows in ("!", "?"):
             if page.startswith("<!--", start):
-                end = page.find("-->", start + 2 if page.startswith(("<!-->", "<!--->"), start) else start + 4)
-                end = end + 3 if end >= 0 else len(page)
+                over = COMMENT_END.search(page, start + 2 if page.startswith(("<!-->", "<!--->"), start) else start + 4)
+                end = over.end() if over else len(page)
             else:
                 end = page.find(">", start) + 1 or len(page)
             sent = yield start, end, False, "", ""
@@ -92,6 +102,11 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             continue
         closing = follows == "/"
         name = NAME.match(page, start + 1 + closing)
+        if closing and not name and start + 2 < len(page):  # </ with no name behind it is a comment to the next >
+            end = page.find(">", start) + 1 or len(page)
+            sent = yield start, end, False, "", ""
+            at = sent or end
+            continue
         if not name:
             at = start + 1
             continue
@@ -356,11 +371,12 @@ def shared_lines(keys: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (lines in page order joined by an empty line), n_lines (all the page has), n_shared (deleted by differencing), n_named (deleted by name)."""
+    """page_id, url, text (lines in page order joined by an empty line), n_lines (all the page has), n_shared (deleted by differencing), n_by_difference_alone (of these, lines in no named
+    element), n_named (deleted by name)."""
     keys = materialize(page_lines(pages).filter(F.size("lines") > 0), "page-lines")
     shared = materialize(shared_lines(keys), "shared-lines")
     blobs = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("found", pa.binary())])
-    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_lines", "n_shared", "n_named"))])
+    out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_lines", "n_shared", "n_by_difference_alone", "n_named"))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,16 +388,14 @@ def main_text(pages: DataFrame) -> DataFrame:
             for data, gone in zip(batch.column("found").to_pylist(), batch.column("shared").to_pylist()):
                 found = unpacked(data)
                 own = [x.article and not x.furniture for x in found]
-                if gone is None and any(own):
-                    left, deleted = [x.text for x, o in zip(found, own) if o], 0
-                else:
-                    away = [g and not o for g, o in zip(gone or [False] * len(found), own)]
-                    left, deleted = [x.text for x, g in zip(found, away) if not g and not x.furniture], sum(away)
-                rows.append(("\n\n".join(left), len(found), deleted, len(found) - deleted - len(left)))
-            yield batch_of(out, batch.column("page_id"), batch.column("url"), *(zip(*rows) if rows else [[]] * 4))
+                away = [g and not o for g, o in zip(gone or [False] * len(found), own)]
+                left, deleted = [x.text for x, g in zip(found, away) if not g and not x.furniture], sum(away)
+                alone = sum(g and not x.furniture for x, g in zip(found, away))
+                rows.append(("\n\n".join(left), len(found), deleted, alone, len(found) - deleted - len(left)))
+            yield batch_of(out, batch.column("page_id"), batch.column("url"), *(zip(*rows) if rows else [[]] * 5))
 
     read = pages.select(row_ids(pages).alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     lines = read.mapInArrow(parse, "row_id long, page_id long, url string, found binary")
     # a merge join at every size; lines move compressed
     rows = lines.join(shared.hint("merge"), "row_id", "left").select("page_id", "url", "found", "shared")
-    return rows.mapInArrow(select, "page_id long, url string, text string, n_lines long, n_shared long, n_named long")
+    return rows.mapInArrow(select, "page_id long, url string, text string, n_lines long, n_shared long, n_by_difference_alone long, n_named long")

@@ -75,7 +75,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = main_text(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_named")
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_by_difference_alone", "n_named")
 
 
 def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -426,6 +426,16 @@ def test_page_parts():
     assert page_text.lines_of('<p>one <span class="ad">buy</span> two</p>') == [("one two", False, False), ("buy", False, True)]
 
 
+def test_article_text_is_kept_and_adverts_and_comments_go():
+    kept = lambda page: [x.text for x in page_text.lines_of(page) if not x.furniture]
+    article = "<article><p>Let <math><mi>x</mi></math> be</p><p class='share'>shared</p><li class='social notice'>item</li><object><p>fallback</p></object><p class='ad'>buy</p><div class='share'>bar</div></article>"
+    assert kept(article) == ["Let x be", "shared", "item", "fallback"]
+    assert kept("<article class='ad'><p>buy</p></article><div class='ad-content'>buy</div><div class='comments-content'>hi</div><div class='post-comments'>hi</div>") == []
+    assert kept("<div class='entry-content ad-free'>a</div><article class='post has-comments'>b</article><div class='content-area no-sidebar'>c</div>") == ["a", "b", "c"]
+    assert kept("<p>a<!-- x --!>b</p><p>c</ p>d</p>e</>f<p>g</1 <p>h") == ["ab", "cd", "ef", "gh"]
+    assert kept("<svg><text>drawn</text></svg><noscript>n</noscript><textarea>t</textarea><p>a</") == ["a</"]
+
+
 @pytest.mark.parametrize("junk", ['<a "', "<a '", "a <b c ", '<a="', "</script ", "<script></script ", "<!--", "<", "<div>", "<form>"])
 def test_junk_pages_are_scanned_once(junk):
     from time import perf_counter
@@ -470,8 +480,7 @@ def brute_pages(rows):
             for side in (order[:k][::-1], order[k + 1 :]):
                 near += [j for j in side if where[j][0] == where[i][0] and same[j] != same[i]][:1]
         if not near:
-            left = [t for t, a, _ in found if a] if any(a for _, a, _ in found) else [t for t, _, f in found if not f]
-            out.append(("\n\n".join(left), 0))
+            out.append(("\n\n".join(t for t, a, f in found if a or not f), 0))
             continue
         common = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         other = [t for t, _, _ in lines[max(near, key=lambda j: common(where[j][1], where[i][1]))]]
@@ -522,6 +531,7 @@ def test_differencing_deletes_shared_lines(spark):
     for i in range(6):
         assert "Welcome" not in got[i] and "rights" not in got[i] and got[i].count("\n\n") == 2
     assert (got[10], got[11], got[12]) == ("alone", "", "Welcome to the site")
+    assert {r.page_id: r.n_by_difference_alone for r in page_text.main_text(df).collect()} == {**{i: 2 for i in range(6)}, 10: 0, 11: 0, 12: 0}
     copies = spark.createDataFrame([(i, f"http://c.org/{i}", "<p>same</p><p>page</p>") for i in (1, 2)], df.schema)
     assert [r.text for r in page_text.main_text(copies).collect()] == ["same\n\npage"] * 2
     assert page_text.main_text(df.limit(0)).count() == 0
@@ -539,7 +549,8 @@ def test_every_page_is_paired_and_the_article_is_exempt_by_line(spark):
         for i in range(1, 6):
             w = i if i < 3 else "mirror"
             assert got[i] == f"Lead {w}\n\nShared words\n\nBody {w}"
-        assert (got[6], got[7], got[8]) == ("No article", "Story", "Shared words\n\nBody 8")
+        assert (got[6], got[7]) == ("No article", "Story")
+        assert got[8] == "Top bar\n\nLead 8\n\nShared words\n\nBody 8\n\nAll rights"  # alone on its host: nothing is shared, and no name speaks against a line
 
 
 # -- language identification, toxicity
