@@ -22,7 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 LICENCES = [("Apache License, Version 2.0", "Apache-2.0", True), ("MIT License", "MIT", True), ("GNU General Public License, version 3", "GPL-3.0", False), ("CC BY-NC 4.0", "CC-BY-NC-4.0", False)]
 LICENCE_LINE = r"(Apache License, Version 2\.0|MIT License|GNU General Public License, version 3|CC BY-NC 4\.0)"
 LEXICON = {"en": ["the", "of", "and", "that"], "fr": ["le", "et", "des", "une"], "de": ["der", "die", "und", "von"], "es": ["el", "los", "las", "por"]}
-SCRIPTS = {"Latin": r"\p{IsLatin}", "Devanagari": r"\p{IsDevanagari}", "Cyrillic": r"\p{IsCyrillic}"}
 
 
 def words_of(x: Column) -> Column:
@@ -43,23 +42,6 @@ def rights_filter(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "licence", ok.alias("allowed"), F.when(~ok, F.lit("licence")).alias("reason"))
 
 
-def paragraph_lang_script(docs: DataFrame) -> DataFrame:
-    """doc_id, para_no, script, script_share, lang (most function-word votes, ties by name; null without votes), votes, mixed (another language has votes too)."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_no", "p")).filter(F.col("p") != "")
-    votes = [F.size(F.filter("w", among(ws))).alias(f"v_{k}") for k, ws in LEXICON.items()]
-    scripts = [F.regexp_count("p", F.lit(r)).alias(f"s_{k}") for k, r in SCRIPTS.items()]
-    rows = rows.withColumn("w", words_of(F.col("p"))).select("doc_id", "para_no", F.regexp_count("p", F.lit(r"\p{L}")).alias("letters"), *votes, *scripts)
-    best = F.array_max(F.array(*(F.struct(F.col(f"v_{k}").alias("n"), (-F.lit(i)).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(sorted(LEXICON)))))
-    script = F.array_max(F.array(*(F.struct(F.col(f"s_{k}").alias("n"), F.lit(k).alias("k")) for k in SCRIPTS)))
-    voted = sum((F.when(F.col(f"v_{k}") > 0, 1).otherwise(0) for k in LEXICON), F.lit(0))
-    rows = rows.select("doc_id", "para_no", "letters", best.alias("b"), script.alias("s"), voted.alias("voted"))
-    return rows.select(
-        "doc_id", F.col("para_no").cast("long").alias("para_no"), F.when(F.col("s.n") > 0, F.col("s.k")).otherwise("none").alias("script"),
-        F.round(F.coalesce(F.try_divide("s.n", "letters"), F.lit(0.0)), 6).alias("script_share"), F.when(F.col("b.n") > 0, F.col("b.k")).alias("lang"),
-        F.col("b.n").cast("long").alias("votes"), (F.col("voted") > 1).alias("mixed"),
-    )
-
-
 def quality_signals(docs: DataFrame) -> DataFrame:
     """doc_id, lang, n_words and shares: symbols and upper case of characters, function words of words, duplicate and bullet lines of lines."""
     w, lines = F.col("w"), F.split("text", "\n")

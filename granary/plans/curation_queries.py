@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.sampling import uniform, uniform_sql
 from granary.operators import curate as K
+from granary.operators import language as L
 from granary.operators import vectors as V
 from granary.plans.text_queries import WORD as FULL_WORD
 from granary.functions.text import word_count
@@ -43,25 +44,41 @@ rights AS (SELECT doc_id, CASE h WHEN 'Apache License, Version 2.0' THEN 'Apache
 RIGHTS = f"WITH {RIGHTS_CTE} SELECT doc_id, licence, licence NOT IN ('GPL-3.0', 'CC-BY-NC-4.0') AS allowed, CASE WHEN licence IN ('GPL-3.0', 'CC-BY-NC-4.0') THEN 'licence' END AS reason FROM rights"
 
 
+PROFILE_SHARE = 0.5
+
+
 def q_paragraph_lang_script(spark, d):
-    return K.paragraph_lang_script(docs_of(spark, d))
+    """Profiles from half of the documents, by a hash of their id; paragraphs of all."""
+    docs = docs_of(spark, d)
+    return L.paragraph_lang_script(docs, L.learn_profiles(docs.filter(uniform("doc_id", "profile") < PROFILE_SHARE)))
+
+
+_plain = lambda c: f"' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' '"
+_scripts = "[" + ", ".join(f"'{x}'" for x in L.SCRIPTS) + "]"
+_only = "CASE script " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.ONLY.items()) + " END"
+PARAGRAPHS = rf"""WITH tr AS (SELECT lang, {_plain("text")} AS t, text FROM documents WHERE lang IS NOT NULL AND {uniform_sql('doc_id', 'profile')} < {PROFILE_SHARE}),
+g AS (SELECT lang, substr(t, i, 3) AS g, count(*) AS n FROM tr, unnest(range(1, length(t) - 1)) AS u(i) GROUP BY ALL),
+top AS (SELECT g FROM g GROUP BY g ORDER BY sum(n) DESC, g LIMIT {L.GRAMS}),
+l0 AS (SELECT lang, [{", ".join(f"sum(len(regexp_extract_all(text, '\\p{{{x}}}')))" for x in L.SCRIPTS)}] AS k FROM tr GROUP BY lang),
+l AS (SELECT lang, {_scripts}[list_position(k, list_max(k))] AS script FROM l0),
+c AS (SELECT x.lang, x.g, coalesce(n, 0) AS n FROM (SELECT lang, g FROM l, top) x LEFT JOIN g ON g.lang = x.lang AND g.g = x.g),
+t AS (SELECT lang, sum(n) + count(*) AS total FROM c GROUP BY lang),
+w AS (SELECT lang, g, round(1000 * ln((n + 1) / total))::BIGINT AS w FROM c JOIN t USING (lang)),
+s0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+p0 AS (SELECT doc_id, i - 1 AS para_no, l[i] AS p FROM s0, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
+p1 AS (SELECT doc_id, para_no, {_plain("p")} AS t, len(regexp_extract_all(p, '\p{{L}}')) AS letters, [{", ".join(f"len(regexp_extract_all(p, '\\p{{{x}}}'))" for x in L.SCRIPTS)}] AS k FROM p0),
+p AS (SELECT *, list_max(k) AS m, CASE WHEN list_max(k) > 0 THEN {_scripts}[list_position(k, list_max(k))] ELSE 'none' END AS script, len(list_filter(k, lambda n: n > 0 AND n >= letters * {L.MIXED_SHARE})) AS n_scripts FROM p1),
+pg AS (SELECT doc_id, para_no, script, substr(t, i, 3) AS g FROM p, unnest(range(1, length(t) - 1)) AS u(i)),
+sc AS (SELECT doc_id, para_no, l.lang, count(*) AS n, sum(coalesce(w.w, round(1000 * ln(1 / total))::BIGINT)) AS score FROM pg JOIN l ON l.script = pg.script JOIN t ON t.lang = l.lang LEFT JOIN w ON w.lang = l.lang AND w.g = pg.g GROUP BY ALL),
+r AS (SELECT doc_id, para_no, list(lang ORDER BY score DESC, lang) AS langs, list(score ORDER BY score DESC, lang) AS scores, any_value(n) AS n FROM sc GROUP BY ALL),
+f AS (SELECT doc_id, para_no, script, round(CASE WHEN letters = 0 THEN 0 ELSE m / letters END, 6) AS script_share, n_scripts, coalesce(langs[1], {_only}) AS lang, ((scores[1] - scores[2]) // n)::BIGINT AS margin FROM p LEFT JOIN r USING (doc_id, para_no))
+SELECT *, n_scripts > 1 OR coalesce(margin < {L.MIXED_MARGIN}, false) AS mixed FROM f"""
 
 
 def _listed(ws):
     return "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 
 
-_LANGS = sorted(K.LEXICON)
-_votes = ", ".join(f"len(list_filter(w, lambda x: list_contains({_listed(K.LEXICON[k])}, x))) AS v_{k}" for k in _LANGS)
-_best = "CASE " + " ".join(f"WHEN v_{k} = m THEN '{k}'" for k in _LANGS) + " END"
-PARAGRAPHS = rf"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-p AS (SELECT doc_id, i - 1 AS para_no, l[i] AS text FROM s, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
-w AS (SELECT doc_id, para_no, len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '\p{{Latin}}')) AS latin, len(regexp_extract_all(text, '\p{{Devanagari}}')) AS deva, len(regexp_extract_all(text, '\p{{Cyrillic}}')) AS cyr, {WORDS} AS w FROM p),
-v AS (SELECT *, greatest(latin, deva, cyr) AS s, {_votes} FROM w), b AS (SELECT *, greatest({", ".join(f"v_{k}" for k in _LANGS)}) AS m FROM v)
-SELECT doc_id, para_no, CASE WHEN s = 0 THEN 'none' WHEN latin = s THEN 'Latin' WHEN deva = s THEN 'Devanagari' ELSE 'Cyrillic' END AS script, round(CASE WHEN letters = 0 THEN 0 ELSE s / letters END, 6) AS script_share,
- CASE WHEN m > 0 THEN {_best} END AS lang, m AS votes, {" + ".join(f"(v_{k} > 0)::INT" for k in _LANGS)} > 1 AS mixed FROM b"""
-
-
 def q_quality_signals(spark, d):
     return K.quality_signals(docs_of(spark, d))
 

@@ -199,3 +199,33 @@ def test_spanning_links_connect_the_same():
             return label
 
         assert parts(list(zip(p.tolist(), q.tolist()))) == parts(list(zip(*map(list, np.nonzero(links)))))
+
+
+HAND = {  # script, language
+    "यह एक वाक्य है": ("Devanagari", "hi"), "ఇది ఒక వాక్యం": ("Telugu", "te"), "ಇದು ಒಂದು ವಾಕ್ಯ": ("Kannada", "kn"), "இது ஒரு வாக்கியம்": ("Tamil", "ta"), "এটি একটি বাক্য": ("Bengali", "bn"),
+    "123 !": ("none", None), "это предложение": ("Cyrillic", None),
+}
+
+
+def test_languages_of_held_out_documents_and_scripts(spark, documents):
+    from granary.functions.sampling import uniform
+    from granary.operators import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = language.learn_profiles(docs.filter(uniform("doc_id", "profile") < 0.5))
+    held = docs.filter(uniform("doc_id", "profile") >= 0.5)
+    rows = language.paragraph_lang_script(held, profiles).join(held.select("doc_id", F.col("lang").alias("given")), "doc_id")
+    long = rows.join(language.paragraphs(held).filter(F.length("p") >= 60).select("doc_id", F.col("para_no").cast("long").alias("para_no")), ["doc_id", "para_no"])
+    for r in long.groupBy("given").agg(F.avg((F.col("given") == F.col("lang")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).collect():
+        assert r.right > 0.9 and r.n > 20, r
+    hand = documents(list(enumerate(HAND)) + [(90, "यह एक sentence है in two"), (91, None), (92, ""), (93, "\n \n")])
+    got = {r.doc_id: r for r in language.paragraph_lang_script(hand, profiles).collect()}
+    for i, (script, lang) in enumerate(HAND.values()):
+        assert (got[i].script, got[i].lang, got[i].mixed) == (script, lang, False)
+    assert (got[90].n_scripts, got[90].mixed) == (2, True) and set(got) == {*range(len(HAND)), 90, 93}
+    learned = documents([(1, "यह एक वाक्य है और", "hi"), (2, "हे एक वाक्य आहे आणि", "mr"), (3, "plain words here", "en")] * 3)
+    own = language.learn_profiles(learned)
+    assert own.scripts == ["Latin", "Devanagari", "Devanagari"]
+    assert [r.lang for r in language.paragraph_lang_script(documents([(1, "आहे आणि वाक्य"), (2, "है और")]), own).orderBy("doc_id").collect()] == ["mr", "hi"]
+    nothing = language.learn_profiles(documents([]))
+    assert [r.lang for r in language.paragraph_lang_script(documents([(1, "words"), (2, "தமிழ்")]), nothing).orderBy("doc_id").collect()] == [None, "ta"]
