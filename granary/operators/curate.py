@@ -14,13 +14,11 @@ from pyspark.sql.window import Window
 
 from granary.functions.sampling import uniform
 from granary.operators.grams import hits, item_grams, window_hashes
+from granary.operators.language import SCRIPTS
 from granary.sources.tables import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Licence lines, allowed or not.
-LICENCES = [("Apache License, Version 2.0", "Apache-2.0", True), ("MIT License", "MIT", True), ("GNU General Public License, version 3", "GPL-3.0", False), ("CC BY-NC 4.0", "CC-BY-NC-4.0", False)]
-LICENCE_LINE = r"(Apache License, Version 2\.0|MIT License|GNU General Public License, version 3|CC BY-NC 4\.0)"
 LEXICON = {"en": ["the", "of", "and", "that"], "fr": ["le", "et", "des", "une"], "de": ["der", "die", "und", "von"], "es": ["el", "los", "las", "por"]}
 
 
@@ -32,16 +30,6 @@ def among(values: list[str]):
     return lambda x: x.isin(values)
 
 
-def rights_filter(docs: DataFrame) -> DataFrame:
-    """doc_id, licence, allowed, reason; a document without a licence line stays, marked unresolved."""
-    hit = F.regexp_extract("text", LICENCE_LINE, 1)
-    name = F.coalesce(*(F.when(F.col("hit") == p, F.lit(n)) for p, n, _ in LICENCES), F.lit("unresolved"))
-    denied = [n for _, n, ok in LICENCES if not ok]
-    rows = docs.select("doc_id", hit.alias("hit")).select("doc_id", name.alias("licence"))
-    ok = ~F.col("licence").isin(denied)
-    return rows.select("doc_id", "licence", ok.alias("allowed"), F.when(~ok, F.lit("licence")).alias("reason"))
-
-
 def quality_signals(docs: DataFrame) -> DataFrame:
     """doc_id, lang, n_words and shares: symbols and upper case of characters, function words of words, duplicate and bullet lines of lines."""
     w, lines = F.col("w"), F.split("text", "\n")
@@ -323,31 +311,39 @@ def synthetic_cap(docs: DataFrame, cap: float = 0.12, cells: int = 4096, salt: s
     return rows.filter(~F.col("origin").eqNullSafe("synthetic")).select("doc_id", F.lit(True).alias("kept")).unionByName(edge.select("doc_id", "kept")).unionByName(cut.filter("state <> 0").select("doc_id", (F.col("state") > 0).alias("kept")))
 
 
-def data_card(docs: DataFrame, stages: DataFrame) -> DataFrame:
-    """lang, source, stage, reason, n_docs, n_bytes, n_words. stages: doc_id, stage, reason for removals."""
-    rows = docs.select("doc_id", "lang", "source", F.octet_length("text").alias("b"), F.size(words_of(F.col("text"))).alias("w")).join(stages, "doc_id", "left")
-    rows = rows.select("lang", "source", F.coalesce("stage", F.lit("kept")).alias("stage"), F.coalesce("reason", F.lit("")).alias("reason"), "b", "w")
-    return rows.groupBy("lang", "source", "stage", "reason").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("b").cast("long").alias("n_bytes"), F.sum("w").cast("long").alias("n_words"))
+def data_card(docs: DataFrame, log: DataFrame) -> DataFrame:
+    """lang, source, stage, action, reason, n_docs, n_bytes, n_words: what each stage removed or changed, and what no stage removed (stage kept). log: doc_id, stage, action, reason."""
+    rows = docs.select("doc_id", "lang", "source", F.octet_length("text").alias("b"), F.size(words_of(F.col("text"))).alias("w"))
+    kept = survivors(rows, log).select("lang", "source", F.lit("kept").alias("stage"), F.lit("kept").alias("action"), F.lit("").alias("reason"), "b", "w")
+    seen = rows.join(log.select("doc_id", "stage", "action", "reason"), "doc_id").select("lang", "source", "stage", "action", "reason", "b", "w")
+    return kept.unionByName(seen).groupBy("lang", "source", "stage", "action", "reason").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("b").cast("long").alias("n_bytes"), F.sum("w").cast("long").alias("n_words"))
 
 
-def deletion_log(stages: list[DataFrame], opt_outs: DataFrame) -> DataFrame:
-    """doc_id, stage, reason: all removals and opt-outs, the first stage that removed a document."""
-    out = opt_outs.select("doc_id", F.lit(0).alias("n"), F.lit("opt_out").alias("stage"), F.lit("request").alias("reason"))
-    for i, s in enumerate(stages, 1):
-        out = out.unionByName(s.select("doc_id", F.lit(i).alias("n"), "stage", "reason"))
-    return out.groupBy("doc_id").agg(F.min(F.struct("n", "stage", "reason")).alias("m")).select("doc_id", "m.stage", "m.reason")
+def removals(log: DataFrame) -> DataFrame:
+    """doc_id, stage, reason, version, removed_at: every removal on record."""
+    return log.filter("action = 'removed'").select("doc_id", "stage", "reason", "version", F.col("at").alias("removed_at"))
 
 
 def survivors(docs: DataFrame, log: DataFrame) -> DataFrame:
-    return docs.join(log.select("doc_id"), "doc_id", "left_anti")
+    """docs that no stage removed."""
+    return docs.join(log.filter("action = 'removed'").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def ledger(docs: DataFrame, labels: DataFrame, rights: DataFrame, origin: DataFrame, log: DataFrame) -> DataFrame:
-    """doc_id, source, rights, sha256, lang, script, transformations, quality, region, origin, opt_out_id, status."""
-    script = F.when(F.regexp_count("text", F.lit(r"\p{IsLatin}")) > 0, "Latin").otherwise("none")
+    """doc_id, source, rights, sha256, lang, script (most letters), transformations (stages on record, in the order of their commits), changed_at (the last), quality, region, origin, opt_out_id,
+    status (the first removal)."""
+    counts = F.array(*(F.regexp_count("text", F.lit(rf"\p{{Is{s}}}")) for s in SCRIPTS))
+    most = F.array_max("by")
+    script = F.when(most > 0, F.element_at(F.array(*map(F.lit, SCRIPTS)), F.array_position("by", most).cast("int"))).otherwise("none")
     q = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.join(rights.select("doc_id", "licence"), "doc_id", "left").join(q, "doc_id", "left").join(origin, "doc_id", "left").join(log, "doc_id", "left")
+    # one entry a stage and run for each document
+    steps = F.sort_array(F.collect_list(F.struct("version", "stage", "action", "at")))
+    done = log.groupBy("doc_id").agg(steps.alias("steps"))
+    rows = docs.withColumn("by", counts).join(rights.select("doc_id", "licence"), "doc_id", "left").join(q, "doc_id", "left").join(origin, "doc_id", "left").join(done, "doc_id", "left")
+    steps = F.coalesce("steps", F.array().cast(done.schema["steps"].dataType))
+    removed = F.try_element_at(F.filter(steps, lambda s: s["action"] == "removed"), F.lit(1))
     return rows.select(
-        "doc_id", "source", F.col("licence").alias("rights"), F.sha2("text", 256).alias("sha256"), "lang", script.alias("script"), F.array(F.lit("rights"), F.lit("exact_dedup"), F.lit("opt_out")).alias("transformations"),
-        F.col("quality").cast("long").alias("quality"), F.col("source").alias("region"), "origin", F.when(F.col("stage") == "opt_out", F.col("doc_id")).alias("opt_out_id"), F.when(F.col("stage").isNull(), "kept").otherwise(F.concat(F.lit("removed:"), F.col("stage"))).alias("status"),
+        "doc_id", "source", F.col("licence").alias("rights"), F.sha2("text", 256).alias("sha256"), "lang", script.alias("script"), F.transform(steps, lambda s: s["stage"]).alias("transformations"),
+        F.array_max(F.transform(steps, lambda s: s["at"])).alias("changed_at"), F.col("quality").cast("long").alias("quality"), F.col("source").alias("region"), "origin",
+        F.when(F.exists(steps, lambda s: s["stage"] == "opt_out"), F.col("doc_id")).alias("opt_out_id"), F.coalesce(F.concat(F.lit("removed:"), removed["stage"]), F.lit("kept")).alias("status"),
     )

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from granary.functions.sampling import uniform, uniform_sql
 from granary.operators import curate as K
 from granary.operators import language as L
+from granary.operators import rights as R
 from granary.operators import vectors as V
 from granary.plans.text_queries import WORD as FULL_WORD
 from granary.functions.text import word_count
-from granary.sources.tables import materialize, table
+from granary.sources import commit_log as log
+from granary.sources.tables import materialize, shared_dir, table
 
 WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
 OPT_OUT = 0.02
@@ -31,17 +35,35 @@ ORIGINS = f"""o AS (SELECT doc_id, CASE WHEN {uniform_sql('doc_id', 'origin')} <
  {uniform_sql('doc_id', 'official')} < 0.2 AS official, source AS region, len(regexp_extract_all(text, '{FULL_WORD}')) AS tokens FROM documents)"""
 
 
-def opt_outs(docs):
-    return docs.filter(uniform("doc_id", "opt-out") < OPT_OUT).select("doc_id")
+def q_rights_filter(spark, d):
+    return R.rights_filter(docs_of(spark, d))
 
 
-def q_rights_filter(spark, d):
-    return K.rights_filter(docs_of(spark, d))
+def q_rights_shares(spark, d):
+    return R.rights_shares(q_rights_filter(spark, d))
+
+
+def _normalised(x):
+    x = f"lower({x})"
+    for pattern, to in R.SPELLINGS:
+        x = f"regexp_replace({x}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"' ' || array_to_string(list_filter(string_split(trim({x}), ' '), lambda w: NOT list_contains({_listed(R.STOP)}, w)), ' ') || ' '"
+
+
+def _listed(ws):
+    return "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 
 
-RIGHTS_CTE = r"""h AS (SELECT doc_id, regexp_extract(text, '(Apache License, Version 2\.0|MIT License|GNU General Public License, version 3|CC BY-NC 4\.0)', 1) AS h FROM documents),
-rights AS (SELECT doc_id, CASE h WHEN 'Apache License, Version 2.0' THEN 'Apache-2.0' WHEN 'MIT License' THEN 'MIT' WHEN 'GNU General Public License, version 3' THEN 'GPL-3.0' WHEN 'CC BY-NC 4.0' THEN 'CC-BY-NC-4.0' ELSE 'unresolved' END AS licence FROM h)"""
-RIGHTS = f"WITH {RIGHTS_CTE} SELECT doc_id, licence, licence NOT IN ('GPL-3.0', 'CC-BY-NC-4.0') AS allowed, CASE WHEN licence IN ('GPL-3.0', 'CC-BY-NC-4.0') THEN 'licence' END AS reason FROM rights"
+_notices = ", ".join(f"(' {p} ', {len(p.split())}, '{k}', {not R.LICENCES[k]})" for p, k in R.NAMES)
+_grants = ", ".join(f"({_listed(sorted(set(t.split())))}, '{k}', {not R.LICENCES[k]})" for k, t in R.GRANTS)
+RIGHTS_CTE = rf"""rl AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+rw AS (SELECT doc_id, {_normalised("l[i]")} AS line, {_normalised(f"array_to_string(l[i : i + {R.WINDOW - 1}], ' ')")} AS near FROM rl, unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '{R.LINE}')),
+rm AS (SELECT doc_id, refused, n, k, 1.0::DOUBLE AS sim FROM rw JOIN (VALUES {_notices}) AS v(p, n, k, refused) ON contains(line, p)
+ UNION ALL SELECT doc_id, refused, len(ws), k, len(list_filter(ws, lambda w: contains(near, ' ' || w || ' '))) / len(ws) FROM rw, (VALUES {_grants}) AS v(ws, k, refused) WHERE len(list_filter(ws, lambda w: contains(near, ' ' || w || ' '))) >= len(ws) - len(ws) // {R.MISSED}),
+rb AS (SELECT doc_id, k, refused, sim FROM rm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY refused DESC, n DESC, k DESC, sim DESC) = 1),
+rights AS (SELECT doc_id, coalesce(k, 'unresolved') AS licence, round(coalesce(sim, 0), 6) AS similarity, NOT coalesce(refused, false) AS allowed FROM documents LEFT JOIN rb USING (doc_id))"""
+RIGHTS = f"WITH {RIGHTS_CTE} SELECT doc_id, licence, similarity, allowed, CASE WHEN NOT allowed THEN 'licence' END AS reason FROM rights"
+SHARES = f"WITH {RIGHTS_CTE} SELECT licence, allowed, count(*) AS n, round(count(*) / (SELECT count(*) FROM rights), 9) AS share FROM rights GROUP BY ALL"
 
 
 PROFILE_SHARE = 0.5
@@ -75,10 +97,6 @@ f AS (SELECT doc_id, para_no, script, round(CASE WHEN letters = 0 THEN 0 ELSE m
 SELECT *, n_scripts > 1 OR coalesce(margin < {L.MIXED_MARGIN}, false) AS mixed FROM f"""
 
 
-def _listed(ws):
-    return "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-
-
 def q_quality_signals(spark, d):
     return K.quality_signals(docs_of(spark, d))
 
@@ -252,56 +270,90 @@ s AS (SELECT doc_id, sum(tokens) OVER (ORDER BY floor({uniform_sql('doc_id', 'ca
 CAP = f"WITH {CAP_CTE} SELECT doc_id, true AS kept FROM o WHERE origin <> 'synthetic' UNION ALL SELECT doc_id, t <= allowed FROM s, b"
 
 
-def stages_of(docs):
-    rights = K.rights_filter(docs).filter("NOT allowed").select("doc_id", F.lit("rights").alias("stage"), F.lit("licence").alias("reason"))
-    dups = K.exact_dedup(docs).filter("NOT kept").select("doc_id", F.lit("exact_dedup").alias("stage"), F.lit("copy").alias("reason"))
-    return [rights, dups]
+RUN_AT = "2024-01-01T{:02d}:00:00Z"  # when a commit is made: a parameter of a run
 
 
-def q_deletion_log(spark, d):
+def stages_of(spark, d):
+    """(stage, doc_id, action, reason) in the order of the pipeline."""
     docs = docs_of(spark, d)
-    return K.deletion_log(stages_of(docs), opt_outs(docs))
+    acted = lambda rows, action, reason: rows.select("doc_id", F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    found = K.pii_redact(docs)
+    return [
+        ("rights", acted(R.rights_filter(docs).filter("NOT allowed"), "removed", "licence")),
+        ("quality", acted(K.quality_filter(K.score(K.quality_signals(docs)), table(spark, d, "labels")).filter("NOT kept"), "removed", "score")),
+        ("exact_dedup", acted(K.exact_dedup(docs).filter("NOT kept"), "removed", "copy")),
+        ("decontaminate", acted(K.decontaminate_exact(docs, table(spark, d, "benchmark")), "removed", "benchmark")),
+        ("pii", acted(found.filter("n_aadhaar + n_pan + n_bank + n_phone + n_email + n_ip > 0"), "changed", "identifier")),
+        ("secrets", acted(K.secret_scan(docs).filter("n_secrets > 0"), "changed", "credential")),
+    ]
+
+
+def logged(spark, d):
+    """A log of two runs: the second has more opt-outs, so it appends these alone."""
+    path = f"{shared_dir(spark)}/granary/log-{uuid.uuid4().hex}"
+    request = lambda share: docs_of(spark, d).filter(uniform("doc_id", "opt-out") < share).select("doc_id", F.lit("removed").alias("action"), F.lit("request").alias("reason"))
+    stages = [(k, materialize(rows, k)) for k, rows in stages_of(spark, d)]
+    version = 0
+    for share in (OPT_OUT / 2, OPT_OUT):
+        for stage, rows in [("opt_out", request(share)), *stages]:
+            version = log.append(path, stage, rows, RUN_AT.format(version + 1)) or version
+    return log.entries(spark, path)
+
+
+def q_deletion_log(spark, d):
+    return K.removals(logged(spark, d))
 
 
-LOG_CTE = f"""{RIGHTS_CTE}, x AS (SELECT doc_id, 0 AS n, 'opt_out' AS stage, 'request' AS reason FROM documents WHERE {uniform_sql('doc_id', 'opt-out')} < {OPT_OUT}
- UNION ALL SELECT doc_id, 1, 'rights', 'licence' FROM rights WHERE licence IN ('GPL-3.0', 'CC-BY-NC-4.0')
- UNION ALL SELECT doc_id, 2, 'exact_dedup', 'copy' FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS m FROM documents) WHERE m <> doc_id),
-log AS (SELECT doc_id, arg_min(stage, n) AS stage, arg_min(reason, n) AS reason FROM x GROUP BY doc_id)"""
+_u = uniform_sql("doc_id", "opt-out")
+LOG_CTE = f"""x AS (SELECT doc_id, 1 AS version, 'opt_out' AS stage, 'removed' AS action, 'request' AS reason FROM documents WHERE {_u} < {OPT_OUT / 2}
+ UNION ALL SELECT doc_id, 2, 'rights', 'removed', 'licence' FROM ({RIGHTS}) WHERE NOT allowed
+ UNION ALL SELECT doc_id, 3, 'quality', 'removed', 'score' FROM ({QUALITY}) WHERE NOT kept
+ UNION ALL SELECT doc_id, 4, 'exact_dedup', 'removed', 'copy' FROM ({EXACT}) WHERE NOT kept
+ UNION ALL SELECT DISTINCT doc_id, 5, 'decontaminate', 'removed', 'benchmark' FROM ({DECON_EXACT})
+ UNION ALL SELECT doc_id, 6, 'pii', 'changed', 'identifier' FROM ({PII}) WHERE n_aadhaar + n_pan + n_bank + n_phone + n_email + n_ip > 0
+ UNION ALL SELECT doc_id, 7, 'secrets', 'changed', 'credential' FROM ({SECRETS}) WHERE n_secrets > 0
+ UNION ALL SELECT doc_id, 8, 'opt_out', 'removed', 'request' FROM documents WHERE {_u} >= {OPT_OUT / 2} AND {_u} < {OPT_OUT}),
+log AS (SELECT *, '2024-01-01T0' || version || ':00:00Z' AS logged_at FROM x)"""
+DELETIONS = f"WITH {LOG_CTE} SELECT doc_id, stage, reason, version, logged_at AS removed_at FROM log WHERE action = 'removed'"
 
 
 def q_survivors(spark, d):
-    """What the log leaves, and proof that no logged id is among it."""
+    """What the log leaves, and proof that no document on record as removed is among it."""
     docs = docs_of(spark, d)
-    log = materialize(q_deletion_log(spark, d), "log")
-    left = K.survivors(docs, log)
-    still = left.join(log.select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("still_there"))
+    done = materialize(logged(spark, d), "log")
+    left = materialize(K.survivors(docs, done), "survivors")
+    still = left.join(K.removals(done).select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("still_there"))
     return left.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(still))  # one row on the right
 
 
-SURVIVORS = f"WITH {LOG_CTE} SELECT lang, count(*) AS n, 0::BIGINT AS still_there FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM log) GROUP BY lang"
+SURVIVORS = f"WITH {LOG_CTE} SELECT lang, count(*) AS n, 0::BIGINT AS still_there FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM log WHERE action = 'removed') GROUP BY lang"
 
 
 def q_data_card(spark, d):
-    return K.data_card(docs_of(spark, d), q_deletion_log(spark, d))
+    return K.data_card(docs_of(spark, d), materialize(logged(spark, d), "log"))
 
 
-CARD = f"""WITH {LOG_CTE} SELECT lang, source, coalesce(stage, 'kept') AS stage, coalesce(reason, '') AS reason, count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(len({WORDS}))::BIGINT AS n_words
-FROM documents LEFT JOIN log USING (doc_id) GROUP BY 1, 2, 3, 4"""
+CARD = f"""WITH {LOG_CTE}, a AS (SELECT doc_id, stage, action, reason FROM log UNION ALL SELECT doc_id, 'kept', 'kept', '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM log WHERE action = 'removed'))
+SELECT lang, source, stage, action, reason, count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(len({WORDS}))::BIGINT AS n_words FROM documents JOIN a USING (doc_id) GROUP BY ALL"""
 
 
 def q_ledger(spark, d):
     docs = docs_of(spark, d)
-    rows = K.ledger(docs, table(spark, d, "labels"), K.rights_filter(docs), origins(docs).select("doc_id", "origin"), q_deletion_log(spark, d))
+    rows = K.ledger(docs, table(spark, d, "labels"), R.rights_filter(docs), origins(docs).select("doc_id", "origin"), logged(spark, d))
     return rows.withColumn("transformations", F.array_join("transformations", ","))
 
 
-LEDGER = f"""WITH {LOG_CTE}, {ORIGINS} SELECT d.doc_id, source, licence AS rights, sha256(text) AS sha256, lang, CASE WHEN regexp_matches(text, '\\p{{Latin}}') THEN 'Latin' ELSE 'none' END AS script, 'rights,exact_dedup,opt_out' AS transformations,
- q.quality, source AS region, o.origin, CASE WHEN stage = 'opt_out' THEN d.doc_id END AS opt_out_id, CASE WHEN stage IS NULL THEN 'kept' ELSE 'removed:' || stage END AS status
-FROM documents d LEFT JOIN rights USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality)::BIGINT AS quality FROM labels GROUP BY 1) q USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN log USING (doc_id)"""
+LEDGER = f"""WITH {RIGHTS_CTE}, {LOG_CTE}, {ORIGINS},
+s AS (SELECT doc_id, string_agg(stage, ',' ORDER BY version) AS transformations, max(logged_at) AS changed_at, bool_or(stage = 'opt_out') AS out, arg_min(stage, version) FILTER (action = 'removed') AS first FROM log GROUP BY doc_id),
+k AS (SELECT doc_id, [{", ".join(f"len(regexp_extract_all(text, '\\p{{{x}}}'))" for x in L.SCRIPTS)}] AS k FROM documents)
+SELECT d.doc_id, source, licence AS rights, sha256(text) AS sha256, lang, CASE WHEN list_max(k) > 0 THEN {_scripts}[list_position(k, list_max(k))] ELSE 'none' END AS script, coalesce(transformations, '') AS transformations, changed_at,
+ q.quality, source AS region, o.origin, CASE WHEN out THEN d.doc_id END AS opt_out_id, coalesce('removed:' || first, 'kept') AS status
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN rights USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality)::BIGINT AS quality FROM labels GROUP BY 1) q USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 REGISTRY = {
     "ledger": (q_ledger, LEDGER),
     "rights_filter": (q_rights_filter, RIGHTS),
+    "rights_shares": (q_rights_shares, SHARES),
     "paragraph_lang_script": (q_paragraph_lang_script, PARAGRAPHS),
     "quality_signals": (q_quality_signals, SIGNALS),
     "quality_filter": (q_quality_filter, QUALITY),
@@ -319,6 +371,6 @@ REGISTRY = {
     "decontaminate_semantic": (q_decontaminate_semantic, DECON_SEMANTIC),
     "synthetic_cap": (q_synthetic_cap, CAP),
     "data_card": (q_data_card, CARD),
-    "deletion_log": (q_deletion_log, f"WITH {LOG_CTE} SELECT doc_id, stage, reason FROM log"),
+    "deletion_log": (q_deletion_log, DELETIONS),
     "survivors": (q_survivors, SURVIVORS),
 }

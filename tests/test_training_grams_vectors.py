@@ -229,3 +229,49 @@ def test_languages_of_held_out_documents_and_scripts(spark, documents):
     assert [r.lang for r in language.paragraph_lang_script(documents([(1, "आहे आणि वाक्य"), (2, "है और")]), own).orderBy("doc_id").collect()] == ["mr", "hi"]
     nothing = language.learn_profiles(documents([]))
     assert [r.lang for r in language.paragraph_lang_script(documents([(1, "words"), (2, "தமிழ்")]), nothing).orderBy("doc_id").collect()] == [None, "ta"]
+
+
+def test_changed_licence_notices_are_found(documents):
+    from granary.operators import rights
+
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this programme and associated documentation files,\nto deal in the Software without any restriction, 1999 J. Doe"
+    texts = {
+        "x\nLicensed under the Apache Licence v2.0": "Apache-2.0", "(c) 2019 A. Name. The MIT Licence": "MIT", mit: "MIT", "GNU General Public Licence, Version 3": "GPL-3.0", "under GPLv3": "GPL-3.0", "LICENSE: GPL v2": "GPL-2.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "CC-BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "MIT License\nsome parts: CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "mit der Lizenz": "unresolved", "a license to fish, with MIT people": "unresolved", "Permission to fish is granted": "unresolved", "": "unresolved",
+        "Redistributions and\nRedistribution and use in source and binary forms, with or without changes, are permitted provided that the following conditions are met": "BSD",
+    }
+    rows = documents([*enumerate(texts), (90, None)])
+    got = {r.doc_id: r for r in rights.rights_filter(rows).collect()}
+    assert {t: got[i].licence for i, t in enumerate(texts)} == texts
+    assert got[90].licence == "unresolved" and got[14].similarity < 1 and not got[9].allowed and got[9].reason == "licence" and got[90].allowed
+    shares = {r.licence: r.share for r in rights.rights_shares(rights.rights_filter(rows)).collect()}
+    assert shares["unresolved"] == round(5 / 16, 9) and abs(sum(shares.values()) - 1) < 1e-6
+
+
+def test_log_appends_only_what_is_new_and_notices_changes(spark, tmp_path):
+    from granary.sources import commit_log as log
+
+    path = f"file://{tmp_path}/log"
+    rows = lambda ids: spark.createDataFrame([(i, "removed", "r") for i in ids], log.ROWS)
+    assert log.commits(spark, path).count() == log.entries(spark, path).count() == 0 and log.broken(spark, path) == []
+    assert [log.append(path, "a", rows([1, 2, 2, None]), "t1"), log.append(path, "b", rows([]), "t2"), log.append(path, "a", rows([1, 2, None]), "t3")] == [1, 2, None]
+    before = {tuple(r) for r in log.commits(spark, path).collect()}
+    spark.createDataFrame([(9, "removed", "lost")], log.ROWS).write.mode("overwrite").parquet(f"{path}/rows/version=3")  # rows of a run that died before its record
+    assert log.entries(spark, path).count() == 3
+    assert [log.append(path, "a", rows([2, 3]), "t4"), log.append(path, "b", rows([2]), "t5"), log.append(path, "b", rows([]), "t6")] == [3, 4, None]
+    assert before < {tuple(r) for r in log.commits(spark, path).collect()}
+    assert sorted((r.doc_id, r.version, r.stage, r.at) for r in log.entries(spark, path).filter("doc_id is not null").collect()) == [(1, 1, "a", "t1"), (2, 1, "a", "t1"), (2, 4, "b", "t5"), (3, 3, "a", "t4")]
+    assert log.broken(spark, path) == []
+    rows([7]).write.mode("append").parquet(f"{path}/rows/version=3")
+    assert log.broken(spark, path) == [3]
+
+
+def test_ledger_reads_the_log(spark, documents):
+    log_ = spark.createDataFrame([(1, 2, "pii", "changed", "x", "t2"), (1, 1, "opt_out", "removed", "y", "t1"), (2, 2, "pii", "changed", "x", "t2")], "doc_id long, version int, stage string, action string, reason string, at string")
+    docs = documents([(1, "one"), (2, "तीन three"), (3, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = curate.ledger(docs, none, docs.select("doc_id", F.lit("MIT").alias("licence")), docs.select("doc_id", F.lit("native").alias("origin")), log_).orderBy("doc_id").collect()
+    assert [(r.transformations, r.changed_at, r.opt_out_id, r.status) for r in rows] == [(["opt_out", "pii"], "t2", 1, "removed:opt_out"), (["pii"], "t2", None, "kept"), ([], None, None, "kept")]
+    card = {(r.stage, r.action): r.n_docs for r in curate.data_card(docs, log_).collect()}
+    assert card == {("opt_out", "removed"): 1, ("pii", "changed"): 2, ("kept", "kept"): 2}
