@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from granary.functions.sampling import uniform
 from granary.operators.curate import LEXICON, among, words_of
+from granary.sources.tables import materialize
 
 
 def assemble_conversations(turns: DataFrame) -> DataFrame:
@@ -36,13 +37,48 @@ def sft_mix(turns: DataFrame, targets: dict[str, float]) -> DataFrame:
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all")))).select("task", "lang", "n", (F.col("n") / F.col("all")).alias("share"), target.alias("target"))
 
 
-def preference_pairs(judgements: DataFrame) -> DataFrame:
-    """item_id, chosen, rejected, n_raters, majority, agreement. judgements: item_id, rater, outcome (win, tie, loss) of the first answer."""
-    per = judgements.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_raters"), *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("win", "tie", "loss")))
+def sibling_pairs(turns: DataFrame, cell: int = 1024) -> DataFrame:
+    """pair_id, lang, prompt, first, second: answers to one prompt, each with the next by conversation and turn; equal answers make no pair.
+
+    The prompt is the text a user opens a conversation with; all answers of conversations that open alike are its siblings. Pairs grow with the answers, not with their square; the answers of a prompt
+    that many conversations share are cut by a hash into cells of about `cell`, and only neighbours in a cell are paired.
+    """
+    order = F.struct("turn", "text")
+    prompts = turns.filter("role = 'user' AND text IS NOT NULL").groupBy("conv_id").agg(F.min(order).alias("m")).select("conv_id", F.col("m.text").alias("prompt"))
+    answers = turns.filter("role = 'assistant' AND text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("first")).join(prompts, "conv_id")
+    answers = materialize(answers.withColumn("key", F.sha2("prompt", 256)), "answers")
+    counts = materialize(answers.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).alias("cells")), "answers-by-prompt")
+    rows = answers.join(counts, "key").withColumn("cell", F.floor(uniform("conv_id", "siblings") * F.col("cells")))
+    following = F.lead("first").over(Window.partitionBy("key", "cell").orderBy("conv_id", "turn", "first"))
+    pairs = rows.withColumn("second", following).filter("first <> second")
+    lang = language_votes(F.concat_ws(" ", "prompt", "first", "second"))
+    return pairs.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair_id"), lang.alias("lang"), "prompt", "first", "second")
+
+
+def outcomes(judgements: DataFrame, *keys: str) -> DataFrame:
+    """keys, n_raters, win, tie, loss. judgements: keys, rater, outcome (win, tie, loss) of the first answer."""
+    return judgements.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raters"), *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("win", "tie", "loss")))
+
+
+def preference_pairs(pairs: DataFrame, judgements: DataFrame) -> DataFrame:
+    """pair_id, lang, prompt, chosen, rejected (texts), n_raters, majority, agreement (share of the majority); pairs whose majority is a tie make no preference. judgements: pair_id, rater, outcome."""
     top = F.greatest("win", "tie", "loss")
     major = F.when(F.col("win") == top, "win").when(F.col("loss") == top, "loss").otherwise("tie")
-    rows = per.select("item_id", "n_raters", major.alias("majority"), (top / F.col("n_raters")).alias("agreement"))
-    return rows.filter("majority <> 'tie'").select("item_id", F.when(F.col("majority") == "win", "first").otherwise("second").alias("chosen"), F.when(F.col("majority") == "win", "second").otherwise("first").alias("rejected"), "n_raters", "majority", "agreement")
+    per = outcomes(judgements, "pair_id").select("pair_id", "n_raters", major.alias("majority"), (top / F.col("n_raters")).alias("agreement")).filter("majority <> 'tie'")
+    won = F.col("majority") == "win"
+    rows = pairs.join(per, "pair_id")
+    return rows.select("pair_id", "lang", "prompt", F.when(won, F.col("first")).otherwise(F.col("second")).alias("chosen"), F.when(won, F.col("second")).otherwise(F.col("first")).alias("rejected"), "n_raters", "majority", "agreement")
+
+
+def rater_agreement(judgements: DataFrame) -> DataFrame:
+    """lang, items, observed, expected, kappa: Fleiss' chance-corrected agreement over items that two raters or more judged; null where chance alone would always agree. judgements: pair_id, lang, rater, outcome."""
+    rows = outcomes(judgements, "lang", "pair_id").filter("n_raters > 1")
+    n, kinds = F.col("n_raters"), ("win", "tie", "loss")
+    same = sum((F.col(k) * F.col(k) for k in kinds), F.lit(0)) - n
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("items"), F.avg(same / (n * (n - 1))).alias("observed"), *((F.sum(k) / F.sum("n_raters")).alias(k) for k in kinds))
+    expected = sum((F.col(k) * F.col(k) for k in kinds), F.lit(0.0))
+    per = per.select("lang", "items", "observed", expected.alias("expected"))
+    return per.withColumn("kappa", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))))
 
 
 def rollout_rewards(rollouts: DataFrame, learned_cap: float = 0.2) -> DataFrame:

@@ -130,13 +130,42 @@ _u = uniform_sql("doc_id::VARCHAR || ':' || rater", "judge")
 JUDGE_CTE = f"j AS (SELECT doc_id AS item_id, lang, rater, CASE WHEN {_u} < 0.5 THEN 'win' WHEN {_u} < 0.65 THEN 'tie' ELSE 'loss' END AS outcome FROM documents, range(1, 4) AS r(rater))"
 
 
+def pair_judgements(pairs):
+    """Three raters' outcomes on every pair of answers, from hashes."""
+    rows = pairs.select("pair_id", "lang", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rater"))
+    u = uniform(F.concat_ws(":", "pair_id", F.col("rater").cast("string")), "judge")
+    return rows.withColumn("outcome", F.when(u < 0.5, "win").when(u < 0.65, "tie").otherwise("loss"))
+
+
 def q_preference_pairs(spark, d):
-    return r9(A.preference_pairs(judgements(spark, d)), "agreement")
+    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations")), "sibling-pairs")
+    rows = A.preference_pairs(pairs, pair_judgements(pairs))
+    return r9(rows.withColumns({c: F.sha2(c, 256) for c in ("prompt", "chosen", "rejected")}), "agreement")
+
+
+_up = uniform_sql("pair_id || ':' || rater", "judge")
+_votes = f"regexp_extract_all(lower(prompt || ' ' || first || ' ' || second), '[^\\x20\\x09-\\x0D]+')"
+SIBLINGS_CTE = f"""pr AS (SELECT conv_id, arg_min(text, (turn, text)) AS prompt FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1),
+an AS (SELECT conv_id, turn, text AS first, prompt, count(*) OVER (PARTITION BY prompt) AS n FROM conversations JOIN pr USING (conv_id) WHERE role = 'assistant' AND text IS NOT NULL),
+sb AS (SELECT *, lead(first) OVER (PARTITION BY prompt, floor({uniform_sql("conv_id", "siblings")} * ceil(n / 1024)) ORDER BY conv_id, turn, first) AS second FROM an),
+sw AS (SELECT conv_id || '-' || turn AS pair_id, prompt, first, second, {_votes} AS w FROM sb WHERE first <> second),
+sv AS (SELECT *, {", ".join(f"len(list_filter(w, lambda x: list_contains({_listed(LEXICON[k])}, x))) AS v_{k}" for k in _LANGS)} FROM sw),
+sp AS (SELECT pair_id, prompt, first, second, CASE WHEN greatest({", ".join(f"v_{k}" for k in _LANGS)}) = 0 THEN 'other' {" ".join(f"WHEN v_{k} = greatest({', '.join(f'v_{x}' for x in _LANGS)}) THEN '{k}'" for k in _LANGS)} END AS lang FROM sv),
+pj AS (SELECT pair_id, lang, rater, CASE WHEN {_up} < 0.5 THEN 'win' WHEN {_up} < 0.65 THEN 'tie' ELSE 'loss' END AS outcome FROM sp, range(1, 4) AS r(rater)),
+po AS (SELECT pair_id, lang, count(*) AS n_raters, count(*) FILTER (outcome = 'win') AS w, count(*) FILTER (outcome = 'tie') AS t, count(*) FILTER (outcome = 'loss') AS l FROM pj GROUP BY ALL)"""
+PREFERENCE = f"""WITH {SIBLINGS_CTE}, m AS (SELECT *, greatest(w, t, l) AS top, CASE WHEN w = greatest(w, t, l) THEN 'win' WHEN l = greatest(w, t, l) THEN 'loss' ELSE 'tie' END AS majority FROM po)
+SELECT pair_id, m.lang, sha256(prompt) AS prompt, sha256(CASE majority WHEN 'win' THEN first ELSE second END) AS chosen, sha256(CASE majority WHEN 'win' THEN second ELSE first END) AS rejected, n_raters, majority, round(top / n_raters, 9) AS agreement
+FROM m JOIN sp USING (pair_id) WHERE majority <> 'tie'"""
+
+
+def q_rater_agreement(spark, d):
+    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations")), "sibling-pairs")
+    return r9(A.rater_agreement(pair_judgements(pairs)), "observed", "expected", "kappa")
 
 
-PREFERENCE = f"""WITH {JUDGE_CTE}, p AS (SELECT item_id, count(*) AS n_raters, count(*) FILTER (outcome = 'win') AS w, count(*) FILTER (outcome = 'tie') AS t, count(*) FILTER (outcome = 'loss') AS l FROM j GROUP BY 1),
-m AS (SELECT *, greatest(w, t, l) AS top, CASE WHEN w = greatest(w, t, l) THEN 'win' WHEN l = greatest(w, t, l) THEN 'loss' ELSE 'tie' END AS majority FROM p)
-SELECT item_id, CASE majority WHEN 'win' THEN 'first' ELSE 'second' END AS chosen, CASE majority WHEN 'win' THEN 'second' ELSE 'first' END AS rejected, n_raters, majority, round(top / n_raters, 9) AS agreement FROM m WHERE majority <> 'tie'"""
+AGREEMENT = f"""WITH {SIBLINGS_CTE}, a AS (SELECT lang, count(*) AS items, avg((w * w + t * t + l * l - n_raters) / (n_raters * (n_raters - 1))) AS o, sum(w) / sum(n_raters) AS w, sum(t) / sum(n_raters) AS t, sum(l) / sum(n_raters) AS l FROM po WHERE n_raters > 1 GROUP BY 1),
+e AS (SELECT lang, items, o, w * w + t * t + l * l AS e FROM a)
+SELECT lang, items, round(o, 9) AS observed, round(e, 9) AS expected, round(CASE WHEN e < 1 THEN (o - e) / (1 - e) END, 9) AS kappa FROM e"""
 
 
 def rollouts(spark, d):
@@ -369,6 +398,7 @@ REGISTRY = {
     "assemble_conversations": (q_assemble_conversations, ASSEMBLE),
     "sft_mix": (q_sft_mix, SFT_MIX),
     "preference_pairs": (q_preference_pairs, PREFERENCE),
+    "rater_agreement": (q_rater_agreement, AGREEMENT),
     "rollout_rewards": (q_rollout_rewards, REWARDS),
     "prompt_rewards": (q_prompt_rewards, PROMPTS),
     "judge_calibration": (q_judge_calibration, CALIBRATION),

@@ -275,3 +275,22 @@ def test_ledger_reads_the_log(spark, documents):
     assert [(r.transformations, r.changed_at, r.opt_out_id, r.status) for r in rows] == [(["opt_out", "pii"], "t2", 1, "removed:opt_out"), (["pii"], "t2", None, "kept"), ([], None, None, "kept")]
     card = {(r.stage, r.action): r.n_docs for r in curate.data_card(docs, log_).collect()}
     assert card == {("opt_out", "removed"): 1, ("pii", "changed"): 2, ("kept", "kept"): 2}
+
+
+def test_siblings_of_one_prompt_and_chance_corrected_agreement(spark):
+    from granary.operators import align
+
+    rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "Q"), (2, 2, "assistant", "b"), (2, 3, "user", "more"), (2, 4, "assistant", "b"), (3, 0, "user", "other"), (3, 1, "assistant", "c"), (4, 0, "user", None), (4, 1, "assistant", "d"), (5, 0, "user", "Q"), (5, 1, "assistant", None)]
+    pairs = align.sibling_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert [tuple(r)[2:] for r in pairs.collect()] == [("Q", "a", "b")]  # b and b are equal
+    judged = lambda votes: spark.createDataFrame([(p, "en", i, o) for p, os in votes.items() for i, o in enumerate(os)], "pair_id string, lang string, rater int, outcome string")
+    r = align.preference_pairs(pairs, judged({"1-1": ["loss", "loss", "win"]})).first()
+    assert (r.prompt, r.chosen, r.rejected, r.majority, round(r.agreement, 3)) == ("Q", "b", "a", "loss", 0.667)
+    assert align.preference_pairs(pairs, judged({"1-1": ["tie", "tie", "win"]})).count() == 0
+    k = align.rater_agreement(judged({"a": ["win"] * 3, "b": ["loss"] * 3, "c": ["win", "win", "loss"], "d": ["tie"]})).first()
+    p = [(3 + 2) / 9, 0, (3 + 1) / 9]
+    expected = sum(x * x for x in p)
+    assert k["items"] == 3 and abs(k.kappa - ((1 + 1 + 1 / 3) / 3 - expected) / (1 - expected)) < 1e-9
+    assert align.rater_agreement(judged({"a": ["win"] * 3})).first().kappa is None
+    crowd = spark.createDataFrame([(i, t, r, x) for i in range(300) for t, r, x in ((0, "user", "Q"), (1, "assistant", f"a{i}"))], "conv_id long, turn int, role string, text string")
+    assert 250 < align.sibling_pairs(crowd, 20).count() < 300
