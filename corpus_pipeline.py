@@ -60,8 +60,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all repetitions in sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path())
+    """Pieces of all repetitions in sequences of 2048 tokens. Workers live on into other stages, so each remembers fewer words than it would for packing alone."""
+    return pack(docs, tokenizer_path(), kept=200_000)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("packing", packed)]

@@ -60,17 +60,17 @@ class WordIds(dict):
 
 
 @cache
-def coder_of(path: str) -> WordIds:
+def coder_of(path: str, kept: int) -> WordIds:
     """One for each worker process, which serves many tasks."""
-    return WordIds(path)
+    return WordIds(path, kept)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
-    """One row per piece (PIECES): full windows of each document and its remainder."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR, kept: int = WORDS_KEPT) -> DataFrame:
+    """One row per piece (PIECES): full windows of each document and its remainder. kept: words that a worker remembers, about 200 bytes each, twice over."""
     out = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(tokenizer_path)
+        coder = coder_of(tokenizer_path, kept)
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -127,9 +127,9 @@ def best_fit_decreasing(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     return seq, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator: int = SEPARATOR, group: int = GROUP, kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Sequence ids are unique, not dense."""
-    pieces = materialize(token_pieces(docs, tokenizer_path, window, separator), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer_path, window, separator, kept), "pieces")
     rests = pieces.filter(F.col("length") < window)
     groups = max(1, -(-rests.count() // group))
     out = pa.schema([*((x.split()[0], pa.int64()) for x in PIECES.split(", ")), ("sequence_id", pa.int64()), ("offset", pa.int64())])
