@@ -11,6 +11,7 @@ from granary.operators import curate as K
 from granary.operators import language as L
 from granary.operators import rights as R
 from granary.operators import vectors as V
+from granary.operators.near_clusters import near_clusters
 from granary.plans.text_queries import WORD as FULL_WORD
 from granary.functions.text import word_count
 from granary.sources import commit_log as log
@@ -69,16 +70,24 @@ SHARES = f"WITH {RIGHTS_CTE} SELECT licence, allowed, count(*) AS n, round(count
 PROFILE_SHARE = 0.5
 
 
+def profiles(spark, d):
+    """Language profiles from half of the documents, by a hash of their id."""
+    return L.learn_profiles(docs_of(spark, d).filter(uniform("doc_id", "profile") < PROFILE_SHARE))
+
+
 def q_paragraph_lang_script(spark, d):
-    """Profiles from half of the documents, by a hash of their id; paragraphs of all."""
-    docs = docs_of(spark, d)
-    return L.paragraph_lang_script(docs, L.learn_profiles(docs.filter(uniform("doc_id", "profile") < PROFILE_SHARE)))
+    """Paragraphs of all documents."""
+    return L.paragraph_lang_script(docs_of(spark, d), profiles(spark, d))
 
 
 _plain = lambda c: f"' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' '"
 _scripts = "[" + ", ".join(f"'{x}'" for x in L.SCRIPTS) + "]"
 _only = "CASE script " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.ONLY.items()) + " END"
-PARAGRAPHS = rf"""WITH tr AS (SELECT lang, {_plain("text")} AS t, text FROM documents WHERE lang IS NOT NULL AND {uniform_sql('doc_id', 'profile')} < {PROFILE_SHARE}),
+
+
+def language_ctes(paragraphs):
+    """Profiles from documents and the language and script of paragraphs (doc_id, para_no, p), as relation f."""
+    return rf"""tr AS (SELECT lang, {_plain("text")} AS t, text FROM documents WHERE lang IS NOT NULL AND {uniform_sql('doc_id', 'profile')} < {PROFILE_SHARE}),
 g AS (SELECT lang, substr(t, i, 3) AS g, count(*) AS n FROM tr, unnest(range(1, length(t) - 1)) AS u(i) GROUP BY ALL),
 top AS (SELECT g FROM g GROUP BY g ORDER BY sum(n) DESC, g LIMIT {L.GRAMS}),
 l0 AS (SELECT lang, [{", ".join(f"sum(len(regexp_extract_all(text, '\\p{{{x}}}')))" for x in L.SCRIPTS)}] AS k FROM tr GROUP BY lang),
@@ -86,14 +95,17 @@ l AS (SELECT lang, {_scripts}[list_position(k, list_max(k))] AS script FROM l0),
 c AS (SELECT x.lang, x.g, coalesce(n, 0) AS n FROM (SELECT lang, g FROM l, top) x LEFT JOIN g ON g.lang = x.lang AND g.g = x.g),
 t AS (SELECT lang, sum(n) + count(*) AS total FROM c GROUP BY lang),
 w AS (SELECT lang, g, round(1000 * ln((n + 1) / total))::BIGINT AS w FROM c JOIN t USING (lang)),
-s0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-p0 AS (SELECT doc_id, i - 1 AS para_no, l[i] AS p FROM s0, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
+p0 AS ({paragraphs}),
 p1 AS (SELECT doc_id, para_no, {_plain("p")} AS t, len(regexp_extract_all(p, '\p{{L}}')) AS letters, [{", ".join(f"len(regexp_extract_all(p, '\\p{{{x}}}'))" for x in L.SCRIPTS)}] AS k FROM p0),
 p AS (SELECT *, list_max(k) AS m, CASE WHEN list_max(k) > 0 THEN {_scripts}[list_position(k, list_max(k))] ELSE 'none' END AS script, len(list_filter(k, lambda n: n > 0 AND n >= letters * {L.MIXED_SHARE})) AS n_scripts FROM p1),
 pg AS (SELECT doc_id, para_no, script, substr(t, i, 3) AS g FROM p, unnest(range(1, length(t) - 1)) AS u(i)),
 sc AS (SELECT doc_id, para_no, l.lang, count(*) AS n, sum(coalesce(w.w, round(1000 * ln(1 / total))::BIGINT)) AS score FROM pg JOIN l ON l.script = pg.script JOIN t ON t.lang = l.lang LEFT JOIN w ON w.lang = l.lang AND w.g = pg.g GROUP BY ALL),
 r AS (SELECT doc_id, para_no, list(lang ORDER BY score DESC, lang) AS langs, list(score ORDER BY score DESC, lang) AS scores, any_value(n) AS n FROM sc GROUP BY ALL),
-f AS (SELECT doc_id, para_no, script, round(CASE WHEN letters = 0 THEN 0 ELSE m / letters END, 6) AS script_share, n_scripts, coalesce(langs[1], {_only}) AS lang, ((scores[1] - scores[2]) // n)::BIGINT AS margin FROM p LEFT JOIN r USING (doc_id, para_no))
+f AS (SELECT doc_id, para_no, script, round(CASE WHEN letters = 0 THEN 0 ELSE m / letters END, 6) AS script_share, n_scripts, coalesce(langs[1], {_only}) AS lang, ((scores[1] - scores[2]) // n)::BIGINT AS margin FROM p LEFT JOIN r USING (doc_id, para_no))"""
+
+
+_paragraphs = "SELECT doc_id, i - 1 AS para_no, l[i] AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''"
+PARAGRAPHS = f"""WITH {language_ctes(_paragraphs)}
 SELECT *, n_scripts > 1 OR coalesce(margin < {L.MIXED_MARGIN}, false) AS mixed FROM f"""
 
 
@@ -159,8 +171,7 @@ MINHASH = f"WITH {SHINGLES_CTE} SELECT id_a, id_b, round(jaccard, 6) AS jaccard
 
 
 def q_dedup_clusters(spark, d):
-    docs = docs_of(spark, d)
-    return K.dedup_clusters(docs, materialize(K.minhash_pairs(docs), "pairs"), K.shingle_classes(docs))
+    return near_clusters(docs_of(spark, d))
 
 
 CLUSTERS = f"""WITH RECURSIVE {SHINGLES_CTE}, e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
