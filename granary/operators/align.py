@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions.sampling import uniform
-from granary.operators.curate import LEXICON, among, words_of
+from granary.operators.curate import words_of
+from granary.operators.language import Profiles, text_languages
 from granary.sources.tables import materialize
 
 
@@ -21,24 +22,23 @@ def assemble_conversations(turns: DataFrame) -> DataFrame:
     return rows.join(first, "content_sha").select("conv_id", "turns", "n_turns", "n_tokens", "content_sha", (F.col("conv_id") == F.col("first")).alias("is_first"))
 
 
-def language_votes(x):
-    """Language with most function words (ties by name), or `other`."""
-    w = words_of(x)
-    best = F.array_max(F.array(*(F.struct(F.size(F.filter(w, among(ws))).alias("n"), (-F.lit(i)).alias("o"), F.lit(k).alias("k")) for i, (k, ws) in enumerate(sorted(LEXICON.items())))))
-    return F.when(best["n"] > 0, best["k"]).otherwise("other")
+def conversation_languages(turns: DataFrame, profiles: Profiles) -> DataFrame:
+    """conv_id, lang: the language of all turns of a conversation as one text, by learned profiles; `other` where they give none."""
+    texts = turns.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.coalesce("text", F.lit("")))), " ").alias("text"))
+    return text_languages(materialize(texts, "conversation-texts"), "conv_id", profiles)
 
 
-def sft_mix(turns: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """task, lang, n, share, target over conversations; task by number of turns, language by the votes of all turns."""
-    rows = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k"), F.array_join(F.sort_array(F.collect_list(F.coalesce("text", F.lit("")))), " ").alias("text"))
-    rows = rows.select(F.when(F.col("k") <= 2, "single").when(F.col("k") <= 4, "short").otherwise("long").alias("task"), language_votes(F.col("text")).alias("lang"))
+def sft_mix(turns: DataFrame, langs: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """task, lang, n, share, target over conversations; task by number of turns. langs: conv_id, lang."""
+    rows = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).join(langs, "conv_id")
+    rows = rows.select(F.when(F.col("k") <= 2, "single").when(F.col("k") <= 4, "short").otherwise("long").alias("task"), "lang")
     per = rows.groupBy("task", "lang").agg(F.count(F.lit(1)).alias("n"))
     target = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in targets.items()), F.lit(0.0))
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all")))).select("task", "lang", "n", (F.col("n") / F.col("all")).alias("share"), target.alias("target"))
 
 
-def sibling_pairs(turns: DataFrame, cell: int = 1024) -> DataFrame:
-    """pair_id, lang, prompt, first, second: answers to one prompt, each with the next by conversation and turn; equal answers make no pair.
+def sibling_pairs(turns: DataFrame, langs: DataFrame, cell: int = 1024) -> DataFrame:
+    """pair_id, lang (of the first answer's conversation; langs: conv_id, lang), prompt, first, second: answers to one prompt, each with the next by conversation and turn; equal answers make no pair.
 
     The prompt is the text a user opens a conversation with; all answers of conversations that open alike are its siblings. Pairs grow with the answers, not with their square; the answers of a prompt
     that many conversations share are cut by a hash into cells of about `cell`, and only neighbours in a cell are paired.
@@ -51,8 +51,8 @@ def sibling_pairs(turns: DataFrame, cell: int = 1024) -> DataFrame:
     rows = answers.join(counts, "key").withColumn("cell", F.floor(uniform("conv_id", "siblings") * F.col("cells")))
     following = F.lead("first").over(Window.partitionBy("key", "cell").orderBy("conv_id", "turn", "first"))
     pairs = rows.withColumn("second", following).filter("first <> second")
-    lang = language_votes(F.concat_ws(" ", "prompt", "first", "second"))
-    return pairs.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair_id"), lang.alias("lang"), "prompt", "first", "second")
+    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return pairs.join(langs, "conv_id", "left").select(name.alias("pair_id"), F.coalesce("lang", F.lit("other")).alias("lang"), "prompt", "first", "second")
 
 
 def outcomes(judgements: DataFrame, *keys: str) -> DataFrame:

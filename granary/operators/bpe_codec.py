@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import faithful_units, word_count
+from granary.functions.text import faithful_units, visible_text, word_count
 from granary.operators.bpe_train import UNK, Vocabulary, grow, sentence_counts, vocab_frame, with_bytes
+from granary.sources.tables import materialize
 
 REMEMBERED = 200_000
 PIECE, BYTE = re.compile("▁[^▁]*|[^▁]+"), re.compile(r"<0x([0-9A-F]{2})>")
@@ -127,17 +128,31 @@ def playground_stats(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def roundtrip(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, lang, exact, visible_equal, ids_in_range."""
-    from granary.functions.text import visible_text
-
-    rows = decode(encode(docs, v), v)
-    return rows.select(
-        "doc_id",
-        "lang",
-        (F.col("decoded") == F.col("text")).alias("exact"),
-        (visible_text(F.col("decoded")) == visible_text(F.col("text"))).alias("visible_equal"),
-        F.forall("ids", lambda i: (i >= 0) & (i < len(v.tokens))).alias("ids_in_range"),
-    )
+    """doc_id, lang, exact, visible_equal, ids_in_range: texts are encoded, decoded and compared in one pass of batches; only texts that differ come back. Null counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    @F.pandas_udf("differs boolean, decoded string, ids_in_range boolean")
+    def check(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(shared.value)
+        size = len(codec.tokens)
+        for x in batches:
+            found = []
+            for t in x:
+                ids = codec.encode(t or "")
+                back = codec.decode(ids)
+                same = back == (t or "")
+                found.append((not same, None if same else back, not ids or (min(ids) >= 0 and max(ids) < size)))
+            yield pd.DataFrame(found, columns=["differs", "decoded", "ids_in_range"])
+
+    rows = materialize(docs.select("doc_id", "lang", "text", check("text").alias("c")).select("doc_id", "lang", F.when(F.col("c.differs"), F.col("text")).alias("text"), "c.*"), "roundtrip")
+    seen = ~F.col("differs") | (visible_text(F.col("decoded")) == visible_text(F.coalesce("text", F.lit(""))))
+    return rows.select("doc_id", "lang", (~F.col("differs")).alias("exact"), seen.alias("visible_equal"), "ids_in_range")
+
+
+def roundtrip_failures(rows: DataFrame) -> DataFrame:
+    """doc_id, lang, failure: one row for each check that a text of roundtrip did not pass."""
+    checks = F.array(*(F.when(~F.col(c), F.lit(c)) for c in ("exact", "visible_equal", "ids_in_range")))
+    return rows.select("doc_id", "lang", F.explode(F.array_compact(checks)).alias("failure"))
 
 
 def unknown_tokens(docs: DataFrame, v: Vocabulary) -> DataFrame:

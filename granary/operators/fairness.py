@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.functions.text import faithful_units, word_count
+from granary.functions.text import corpus_summary, faithful_units, word_count
 from granary.operators.bpe_codec import encode
 from granary.operators.bpe_train import Vocabulary
+from granary.operators.language import main_scripts
 from granary.sources.tables import materialize
 
 GATE, PENALTY_AT = 1.2, 1.2
@@ -21,6 +22,30 @@ def language_ratios(docs: DataFrame, v: Vocabulary, *keys: str) -> DataFrame:
     return rows.withColumn("ratio", F.try_divide("tokens", "units"))
 
 
+def source_records(docs: DataFrame) -> DataFrame:
+    """lang, script (with most characters), sources, documents, bytes, words, units: what a ratio was measured on, one row a language."""
+    sources = docs.groupBy("lang").agg(F.countDistinct("source").alias("sources"))
+    found = corpus_summary(docs).select("lang", "documents", "bytes", "words", F.col("faithful_units").alias("units"))
+    for other in (sources, main_scripts(docs)):  # a document without lang has a record, too
+        other = other.withColumnRenamed("lang", "l")
+        found = found.join(other, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+    return found.select("lang", "script", "sources", "documents", "bytes", "words", "units")
+
+
+def ratios_with_records(ratios: DataFrame, records: DataFrame) -> DataFrame:
+    """The source record of each language with its tokens, ratio and rank (smallest ratio first). Both sides have one row a language."""
+    found = ratios.select(F.col("lang").alias("l"), "tokens", "ratio")
+    rank = F.row_number().over(Window.orderBy(F.col("ratio").asc_nulls_last(), "lang")).cast("long")
+    return records.join(found, F.col("lang").eqNullSafe(F.col("l"))).drop("l").withColumn("rank", rank)
+
+
+def corpus_spread(ratios: DataFrame) -> DataFrame:
+    """corpus, lang, tokens, units, ratio, spread (largest less smallest ratio of the corpus), score (1000 / spread), languages. ratios: from language_ratios by corpus; languages without units have no part in a spread."""
+    per = ratios.groupBy(F.col("corpus").alias("c")).agg((F.max("ratio") - F.min("ratio")).alias("spread"), F.count("ratio").alias("languages"))
+    score = F.when(F.col("spread") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1000.0), F.col("spread")))
+    return ratios.join(per, F.col("corpus") == F.col("c")).select("corpus", "lang", "tokens", "units", "ratio", "spread", score.alias("score"), "languages")
+
+
 def fairness_score(ratios: DataFrame, penalty_lang: str) -> DataFrame:
     """spread, score = 1000 / spread (infinite without spread), penalty, adjusted; ratios: lang, ratio."""
     one = ratios.agg((F.max("ratio") - F.min("ratio")).alias("spread"), F.max(F.when(F.col("lang") == penalty_lang, F.col("ratio"))).alias("p"))

@@ -81,13 +81,26 @@ class Profiles:
         return out, np.bincount(text, minlength=len(texts))
 
 
+def script_letters(docs: DataFrame) -> DataFrame:
+    """lang and the characters of its texts in each script: one row a language."""
+    return docs.groupBy("lang").agg(*(F.sum(F.regexp_count("text", F.lit(rf"\p{{Is{s}}}"))).alias(s) for s in SCRIPTS))
+
+
+def main_scripts(docs: DataFrame) -> DataFrame:
+    """lang, script: the script with most characters, the first listed among equals; none without any."""
+    counts = F.array(*(F.coalesce(F.col(s), F.lit(0)) for s in SCRIPTS))
+    most = F.array_max(counts)
+    name = F.element_at(F.array(*map(F.lit, SCRIPTS)), F.array_position(counts, most).cast("int"))
+    return script_letters(docs).select("lang", F.when(most > 0, name).otherwise("none").alias("script"))
+
+
 def learn_profiles(docs: DataFrame, most: int = GRAMS) -> Profiles:
     """From text and lang of docs. The driver sees `most` trigrams at most, of each labelled language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(trigram_counts(rows.select("lang", plain(F.col("text")).alias("t"))), "trigrams")
     top = counts.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(most).select("code")
     found = counts.join(F.broadcast(top), "code").collect()  # `most` codes a language
-    scripts = rows.groupBy("lang").agg(*(F.sum(F.regexp_count("text", F.lit(rf"\p{{Is{s}}}"))).alias(s) for s in SCRIPTS)).orderBy("lang").collect()  # one row a language
+    scripts = script_letters(rows).orderBy("lang").collect()  # one row a language
     langs = [r.lang for r in scripts]
     at = {k: i for i, k in enumerate(langs)}
     codes = np.array(sorted({r.code for r in found}), np.int64)
@@ -124,3 +137,10 @@ def paragraph_lang_script(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.record_batch([batch.column(c) for c in ("doc_id", "para_no", "script", "script_share", "n_scripts")] + [pa.array(langs, pa.string()), pa.array(margins, pa.int64()), pa.array(mixed, pa.bool_())], schema=schema)
 
     return rows.mapInArrow(choose, "doc_id long, para_no long, script string, script_share double, n_scripts long, lang string, margin long, mixed boolean")
+
+
+def text_languages(rows: DataFrame, key: str, profiles: Profiles) -> DataFrame:
+    """key (a whole number), lang of each whole text as of one paragraph; `other` where there is none."""
+    whole = rows.select(F.col(key).cast("long").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    found = paragraph_lang_script(whole, profiles).select(F.col("doc_id").alias(key), "lang")
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("lang", F.lit("other")).alias("lang"))

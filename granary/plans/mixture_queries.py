@@ -9,8 +9,8 @@ from granary.operators import align as A
 from granary.operators import evalstats as E
 from granary.operators import mixture as M
 from granary.operators import vectors as V
-from granary.operators.curate import LEXICON, quality_signals
-from granary.plans.curation_queries import ORIGINS, SIGNALS_CTE, WORDS, docs_of, origins
+from granary.operators.curate import quality_signals
+from granary.plans.curation_queries import ORIGINS, SIGNALS_CTE, WORDS, docs_of, language_ctes, origins, profiles
 from granary.sources.tables import materialize, table
 
 TARGETS = {"agent": 0.1, "code": 0.1, "stem": 0.2, "native": 0.3, "general": 0.3}
@@ -107,16 +107,28 @@ ASSEMBLE = f"""WITH c AS (SELECT conv_id, count(*) AS n_turns, sum(len({WORDS}))
 SELECT *, conv_id = min(conv_id) OVER (PARTITION BY content_sha) AS is_first FROM c"""
 
 
+def conversation_languages(spark, d):
+    return materialize(A.conversation_languages(table(spark, d, "conversations"), profiles(spark, d)), "conversation-languages")
+
+
+_chats = "SELECT conv_id AS doc_id, 0 AS para_no, p FROM (SELECT conv_id, replace(string_agg(coalesce(text, ''), ' ' ORDER BY coalesce(text, '')), chr(10), ' ') AS p FROM conversations GROUP BY 1) WHERE p <> ''"
+CHATS_CTE = f"{language_ctes(_chats)}, cl AS (SELECT DISTINCT conv_id, coalesce(lang, 'other') AS lang FROM conversations LEFT JOIN f ON f.doc_id = conv_id)"
+
+
 def q_sft_mix(spark, d):
-    return r9(A.sft_mix(table(spark, d, "conversations"), SFT), "share")
+    return r9(A.sft_mix(table(spark, d, "conversations"), conversation_languages(spark, d), SFT), "share")
+
+
+def q_conversation_languages(spark, d):
+    return conversation_languages(spark, d)
+
+
+CHAT_LANGS = f"WITH {CHATS_CTE} SELECT conv_id, lang FROM cl"
 
 
-_LANGS = sorted(LEXICON)
-_listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-SFT_MIX = f"""WITH c AS (SELECT conv_id, count(*) AS k, string_agg(coalesce(text, ''), ' ') AS text FROM conversations GROUP BY 1), w AS (SELECT k, {WORDS} AS w FROM c),
-v AS (SELECT k, {", ".join(f"len(list_filter(w, lambda x: list_contains({_listed(LEXICON[k])}, x))) AS v_{k}" for k in _LANGS)} FROM w), b AS (SELECT *, greatest({", ".join(f"v_{k}" for k in _LANGS)}) AS m FROM v),
-r AS (SELECT CASE WHEN k <= 2 THEN 'single' WHEN k <= 4 THEN 'short' ELSE 'long' END AS task, CASE WHEN m = 0 THEN 'other' {" ".join(f"WHEN v_{k} = m THEN '{k}'" for k in _LANGS)} END AS lang FROM b)
-SELECT task, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, {_case(SFT, 'lang', 0.0)}::DOUBLE AS target FROM r GROUP BY 1, 2"""
+SFT_MIX = f"""WITH {CHATS_CTE}, c0 AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1),
+sm AS (SELECT CASE WHEN k <= 2 THEN 'single' WHEN k <= 4 THEN 'short' ELSE 'long' END AS task, lang FROM c0 JOIN cl USING (conv_id))
+SELECT task, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, {_case(SFT, 'lang', 0.0)}::DOUBLE AS target FROM sm GROUP BY 1, 2"""
 
 
 def judgements(spark, d):
@@ -138,19 +150,16 @@ def pair_judgements(pairs):
 
 
 def q_preference_pairs(spark, d):
-    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations")), "sibling-pairs")
+    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations"), conversation_languages(spark, d)), "sibling-pairs")
     rows = A.preference_pairs(pairs, pair_judgements(pairs))
     return r9(rows.withColumns({c: F.sha2(c, 256) for c in ("prompt", "chosen", "rejected")}), "agreement")
 
 
 _up = uniform_sql("pair_id || ':' || rater", "judge")
-_votes = f"regexp_extract_all(lower(prompt || ' ' || first || ' ' || second), '[^\\x20\\x09-\\x0D]+')"
-SIBLINGS_CTE = f"""pr AS (SELECT conv_id, arg_min(text, (turn, text)) AS prompt FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1),
+SIBLINGS_CTE = f"""{CHATS_CTE}, pr AS (SELECT conv_id, arg_min(text, (turn, text)) AS prompt FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1),
 an AS (SELECT conv_id, turn, text AS first, prompt, count(*) OVER (PARTITION BY prompt) AS n FROM conversations JOIN pr USING (conv_id) WHERE role = 'assistant' AND text IS NOT NULL),
 sb AS (SELECT *, lead(first) OVER (PARTITION BY prompt, floor({uniform_sql("conv_id", "siblings")} * ceil(n / 1024)) ORDER BY conv_id, turn, first) AS second FROM an),
-sw AS (SELECT conv_id || '-' || turn AS pair_id, prompt, first, second, {_votes} AS w FROM sb WHERE first <> second),
-sv AS (SELECT *, {", ".join(f"len(list_filter(w, lambda x: list_contains({_listed(LEXICON[k])}, x))) AS v_{k}" for k in _LANGS)} FROM sw),
-sp AS (SELECT pair_id, prompt, first, second, CASE WHEN greatest({", ".join(f"v_{k}" for k in _LANGS)}) = 0 THEN 'other' {" ".join(f"WHEN v_{k} = greatest({', '.join(f'v_{x}' for x in _LANGS)}) THEN '{k}'" for k in _LANGS)} END AS lang FROM sv),
+sp AS (SELECT conv_id || '-' || turn AS pair_id, lang, prompt, first, second FROM sb JOIN cl USING (conv_id) WHERE first <> second),
 pj AS (SELECT pair_id, lang, rater, CASE WHEN {_up} < 0.5 THEN 'win' WHEN {_up} < 0.65 THEN 'tie' ELSE 'loss' END AS outcome FROM sp, range(1, 4) AS r(rater)),
 po AS (SELECT pair_id, lang, count(*) AS n_raters, count(*) FILTER (outcome = 'win') AS w, count(*) FILTER (outcome = 'tie') AS t, count(*) FILTER (outcome = 'loss') AS l FROM pj GROUP BY ALL)"""
 PREFERENCE = f"""WITH {SIBLINGS_CTE}, m AS (SELECT *, greatest(w, t, l) AS top, CASE WHEN w = greatest(w, t, l) THEN 'win' WHEN l = greatest(w, t, l) THEN 'loss' ELSE 'tie' END AS majority FROM po)
@@ -159,7 +168,7 @@ FROM m JOIN sp USING (pair_id) WHERE majority <> 'tie'"""
 
 
 def q_rater_agreement(spark, d):
-    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations")), "sibling-pairs")
+    pairs = materialize(A.sibling_pairs(table(spark, d, "conversations"), conversation_languages(spark, d)), "sibling-pairs")
     return r9(A.rater_agreement(pair_judgements(pairs)), "observed", "expected", "kappa")
 
 
@@ -396,6 +405,7 @@ REGISTRY = {
     "composition_caps": (q_composition_caps, CAPS),
     "region_floor": (q_region_floor, REGIONS),
     "assemble_conversations": (q_assemble_conversations, ASSEMBLE),
+    "conversation_languages": (q_conversation_languages, CHAT_LANGS),
     "sft_mix": (q_sft_mix, SFT_MIX),
     "preference_pairs": (q_preference_pairs, PREFERENCE),
     "rater_agreement": (q_rater_agreement, AGREEMENT),

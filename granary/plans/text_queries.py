@@ -53,6 +53,26 @@ def q_write_snapshots(spark, d):
 WRITE_SNAPSHOTS = "SELECT lang, count(*) AS n_texts, count(*) AS n_records, sum(octet_length(encode(text)))::BIGINT AS bytes, 0::BIGINT AS mismatches FROM documents GROUP BY lang"
 
 
+def q_write_page_snapshots(spark, d):
+    """Pages cleaned to Markdown, with their language from the html element, written with a manifest, read again and checked."""
+    pages = table(spark, d, "pages")
+    lang = F.coalesce(F.nullif(F.regexp_extract("html", '<html[^>]* lang="([a-z]+)"', 1), F.lit("")), F.lit("und"))
+    named = pages.select(F.col("page_id").alias("doc_id"), lang.alias("lang"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("source"))
+    cleaned = html.parse_pages(pages).select(F.col("page_id").alias("doc_id"), T.normalize_markdown(F.col("markdown")).alias("text"))
+    docs = materialize(cleaned.join(named, "doc_id").select("doc_id", "text", "lang", "source"), "cleaned-pages")
+    path = f"{shared_dir(spark)}/granary/page-snapshots-{uuid.uuid4().hex}"
+    write_snapshots(docs, path)
+    texts, manifest = read_snapshots(spark, path, docs.schema)
+    fields = ["sha256", "bytes", "characters", "words", "faithful_units"]
+    bad = T.integrity_check(manifest, T.snapshot_records(texts), "doc_id", fields).unionByName(T.integrity_check(manifest, T.snapshot_records(docs), "doc_id", fields))
+    per = texts.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_texts"))
+    rec = manifest.join(named.select("doc_id", "source"), "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_records"))
+    return per.join(rec, ["lang", "source"]).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("mismatches"))))  # one row on the right
+
+
+WRITE_PAGE_SNAPSHOTS = """SELECT coalesce(nullif(regexp_extract(html, '<html[^>]* lang="([a-z]+)"', 1), ''), 'und') AS lang, regexp_extract(url, '^https?://([^/]*)', 1) AS source, count(*) AS n_texts, count(*) AS n_records, 0::BIGINT AS mismatches FROM pages GROUP BY 1, 2"""
+
+
 def q_strip_technical_nodes(spark, d):
     rows = html.parse_pages(table(spark, d, "pages"))
     left = F.col("markdown").contains("track(") | F.col("markdown").contains("margin:0")
@@ -142,6 +162,7 @@ REGISTRY = {
     "read_documents": (q_read_documents, READ_DOCUMENTS),
     "training_lines": (q_training_lines, TRAINING_LINES),
     "write_snapshots": (q_write_snapshots, WRITE_SNAPSHOTS),
+    "write_page_snapshots": (q_write_page_snapshots, WRITE_PAGE_SNAPSHOTS),
     "strip_technical_nodes": (q_strip_technical_nodes, STRIP),
     "absolute_links": (q_absolute_links, ABSOLUTE_LINKS),
     "html_to_markdown": (q_html_to_markdown, HTML_TO_MARKDOWN),

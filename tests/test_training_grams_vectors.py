@@ -281,7 +281,9 @@ def test_siblings_of_one_prompt_and_chance_corrected_agreement(spark):
     from granary.operators import align
 
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "Q"), (2, 2, "assistant", "b"), (2, 3, "user", "more"), (2, 4, "assistant", "b"), (3, 0, "user", "other"), (3, 1, "assistant", "c"), (4, 0, "user", None), (4, 1, "assistant", "d"), (5, 0, "user", "Q"), (5, 1, "assistant", None)]
-    pairs = align.sibling_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    langs = spark.createDataFrame([(1, "en"), (2, "de")], "conv_id long, lang string")
+    pairs = align.sibling_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), langs)
+    assert [r.lang for r in pairs.collect()] == ["en"]
     assert [tuple(r)[2:] for r in pairs.collect()] == [("Q", "a", "b")]  # b and b are equal
     judged = lambda votes: spark.createDataFrame([(p, "en", i, o) for p, os in votes.items() for i, o in enumerate(os)], "pair_id string, lang string, rater int, outcome string")
     r = align.preference_pairs(pairs, judged({"1-1": ["loss", "loss", "win"]})).first()
@@ -293,4 +295,25 @@ def test_siblings_of_one_prompt_and_chance_corrected_agreement(spark):
     assert k["items"] == 3 and abs(k.kappa - ((1 + 1 + 1 / 3) / 3 - expected) / (1 - expected)) < 1e-9
     assert align.rater_agreement(judged({"a": ["win"] * 3})).first().kappa is None
     crowd = spark.createDataFrame([(i, t, r, x) for i in range(300) for t, r, x in ((0, "user", "Q"), (1, "assistant", f"a{i}"))], "conv_id long, turn int, role string, text string")
-    assert 250 < align.sibling_pairs(crowd, 20).count() < 300
+    assert 250 < align.sibling_pairs(crowd, langs, 20).count() < 300
+
+
+def test_round_trip_lists_failures_and_null_counts_as_empty(trained, documents):
+    rows = documents([(1, "plain text"), (2, "a▁b"), (3, None), (4, ""), (5, "́ ज् 🙂 \n\n")])
+    got = codec.roundtrip(rows, trained[1])
+    assert {r.doc_id: (r.exact, r.visible_equal, r.ids_in_range) for r in got.collect()} == {i: (i != 2, i != 2, True) for i in range(1, 6)}
+    assert sorted(tuple(r) for r in codec.roundtrip_failures(got).collect()) == [(2, "en", "exact"), (2, "en", "visible_equal")]
+
+
+def test_records_of_languages_and_spread_by_corpus(spark, documents):
+    from granary.operators import fairness
+
+    docs = documents([(1, "one two", "en", "s"), (2, "three", "en", "t"), (3, "यह वाक्य", "hi", "s"), (4, "12", "xx", "s"), (5, "no language", None, "s")])
+    got = {r.lang: r for r in fairness.source_records(docs).collect()}
+    assert {k: (r.script, r.sources, r.documents, r.words) for k, r in got.items()} == {"en": ("Latin", 2, 2, 3), "hi": ("Devanagari", 1, 1, 2), "xx": ("none", 1, 1, 1), None: ("Latin", 1, 1, 2)}
+    ratios = spark.createDataFrame([("en", 6, 2.0), ("hi", 2, 1.0), ("xx", 1, None), (None, 4, 2.0)], "lang string, tokens long, ratio double")
+    rows = fairness.ratios_with_records(ratios, fairness.source_records(docs)).orderBy("rank").collect()
+    assert [(r.lang, r.tokens, r.rank) for r in rows] == [("hi", 2, 1), (None, 4, 2), ("en", 6, 3), ("xx", 1, 4)]
+    by = spark.createDataFrame([("a", "en", 2, 1, 2.0), ("a", "de", 3, 2, 1.5), ("a", "xx", 0, 0, None), ("b", "en", 2, 1, 2.0)], "corpus string, lang string, tokens long, units long, ratio double")
+    spread = {(r.corpus, r.lang): (r.spread, r.score, r.languages) for r in fairness.corpus_spread(by).collect()}
+    assert spread[("a", "xx")] == (0.5, 2000.0, 2) and spread[("b", "en")] == (0.0, float("inf"), 1)
