@@ -245,6 +245,19 @@ def test_suffix_dedup_shifted_passages_and_long_texts(documents, monkeypatch):
     assert repeats_of(documents(list(texts.items()))) == brute_repeats(texts)
 
 
+def test_suffix_dedup_of_texts_that_go_in_parts(documents):
+    """Passages over the ends of parts, in workers with the SEGMENT they import."""
+    r, part = random.Random(4), suffix_dedup.SEGMENT
+    long = bytearray("".join(r.choices("abcdefghijklmnop é\n", k=2 * part + 150_000)).encode())
+    cut = lambda a, n: long[a : a + n].decode("utf-8", "ignore")
+    passages = [cut(e + o, n) for e in (part, 2 * part) for o, n in ((-25, 50), (-49, 60), (-200, 400), (-1, 52))]
+    texts = {1: "\n\n".join(passages[:5]), 2: long.decode(), 3: cut(part - 3000, 6000) + cut(len(long) - 70, 70), 4: "".join(passages[5:])}
+    assert len(long) > 2 * part
+    got = repeats_of(documents(list(texts.items())))
+    assert got == brute_repeats(texts)
+    assert got[2][1] > 400 and got[3][0] == got[3][1]
+
+
 def test_long_text_in_segments_gives_the_same_runs():
     t = prose(4000).encode()
     whole = {(int(r["gram"]), int(r["start"]) + o) for r in _runs(t, 1 << 30) for o in range(r["n"])}
@@ -401,6 +414,18 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_conversations(chat_format.text_parts(df.limit(0)))).count() == 0
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    texts = ["~<a>\n" * 300_000, "word " * 200_000 + "</turn>", "é🙂~" * 100_000]
+    turns = [(1, 0, "user", texts[0], "x"), (1, 1, "assistant", texts[1], "y"), (1, 2, "assistant", texts[2], None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, parts string")
+    for c in ("n_turns", "rendered", "loss", "formatted", "mask", "content", "turns", "ord"):
+        df = df.withColumn(c, F.lit("clash"))
+    row = chat_format.digests(chat_format.format_conversations(chat_format.text_parts(df))).first()
+    said = "".join(f"{r}\n{x}\n" for _, _, r, x, _ in turns)
+    assert (row.n_turns, row.turns_sha256) == (3, hashlib.sha256(said.encode()).hexdigest())
+    assert (row.loss_chars, row.loss_sha256) == (len(texts[1]) + len(texts[2]), hashlib.sha256((texts[1] + texts[2]).encode()).hexdigest())
+
+
 def test_chat_media_parts(spark):
     parts = "array<struct<type: string, text: string, ref: string, units: long>>"
     df = spark.createDataFrame([(1, 0, "user", [("text", "see <image>", None, 0), ("image", None, "i.png", 2), ("document", None, "d.pdf", 3)]), (1, 1, "assistant", [("text", "ok", None, 0), ("audio", None, "a.wav", 4)])], f"conv_id long, turn long, role string, parts {parts}")
