@@ -46,18 +46,18 @@ def corpus_spread(ratios: DataFrame) -> DataFrame:
     return ratios.join(per, F.col("corpus") == F.col("c")).select("corpus", "lang", "tokens", "units", "ratio", "spread", score.alias("score"), "languages")
 
 
-def fairness_score(ratios: DataFrame, penalty_lang: str) -> DataFrame:
-    """spread, score = 1000 / spread (infinite without spread), penalty, adjusted; ratios: lang, ratio."""
-    one = ratios.agg((F.max("ratio") - F.min("ratio")).alias("spread"), F.max(F.when(F.col("lang") == penalty_lang, F.col("ratio"))).alias("p"))
+def fairness_score(ratios: DataFrame, penalty_lang: str, *keys: str) -> DataFrame:
+    """(keys,) spread, score = 1000 / spread (infinite without spread), penalty, adjusted; ratios: (keys,) lang, ratio."""
+    one = ratios.groupBy(*keys).agg((F.max("ratio") - F.min("ratio")).alias("spread"), F.max(F.when(F.col("lang") == penalty_lang, F.col("ratio"))).alias("p"))
     score = F.when(F.col("spread") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1000.0), F.col("spread")))
     penalty = F.exp(F.greatest(F.lit(0.0), F.coalesce(F.col("p"), F.lit(0.0)) / PENALTY_AT - 1))
-    return one.select("spread", score.alias("score"), penalty.alias("penalty"), (score / penalty).alias("adjusted"))
+    return one.select(*keys, "spread", score.alias("score"), penalty.alias("penalty"), (score / penalty).alias("adjusted"))
 
 
-def ratio_gate(ratios: DataFrame, gate: float = GATE) -> DataFrame:
-    """lang, ratio, rank, pass: one row per language."""
-    rank = F.row_number().over(Window.orderBy("ratio", "lang"))
-    return ratios.select("lang", "ratio", rank.cast("long").alias("rank"), (F.col("ratio") <= gate).alias("pass"))
+def ratio_gate(ratios: DataFrame, gate: float = GATE, *keys: str) -> DataFrame:
+    """(keys,) lang, ratio, rank, pass: one row per language."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ratio", "lang"))
+    return ratios.select(*keys, "lang", "ratio", rank.cast("long").alias("rank"), (F.col("ratio") <= gate).alias("pass"))
 
 
 def verify_stats(stored: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:

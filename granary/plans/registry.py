@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import curation_queries, mixture_queries, text_queries, tokenizer_queries
+from granary.plans import curation_queries, mixture_queries, nested_queries, text_queries, tokenizer_queries
 
-REGISTRY: dict = {**text_queries.REGISTRY, **tokenizer_queries.REGISTRY, **curation_queries.REGISTRY, **mixture_queries.REGISTRY}
+REGISTRY: dict = {**text_queries.REGISTRY, **tokenizer_queries.REGISTRY, **curation_queries.REGISTRY, **mixture_queries.REGISTRY, **nested_queries.REGISTRY}
 
 
 def queries() -> dict:
