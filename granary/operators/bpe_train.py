@@ -28,6 +28,7 @@ from granary.sources.tables import materialize
 
 OPEN, CLOSE, UNK = "\x01", "\x02", "[UNK]"
 FETCH, KEEP_ROUNDS, TASK_SYMBOLS = 512, 12, 200_000
+FINE = 64  # parts of a weight of 1 when weights are tuned
 CANDIDATES, SEGMENTS = 4096, 100_000  # most candidate pairs of an epoch, and most distinct segments
 WORDS = "ids array<int>, count long"
 SHIFT, LOW = 32, (1 << 32) - 1  # a pair of ids as one number
@@ -44,8 +45,9 @@ def weighted_piece_counts(docs: DataFrame, weights: dict[str, int]) -> DataFrame
     return weigh(piece_counts(docs), weights)
 
 
-def weigh(counts: DataFrame, weights: dict[str, int]) -> DataFrame:
-    w = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in weights.items()), F.lit(1))
+def weigh(counts: DataFrame, weights: dict[str, int], other: int = 1) -> DataFrame:
+    """piece, count over languages; other: the weight of languages that are not named."""
+    w = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in weights.items()), F.lit(other))
     return counts.groupBy("piece").agg(F.sum(F.col("n") * w).alias("count"))
 
 
@@ -398,18 +400,25 @@ def vocab_composition(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-def tune_weights(counts: DataFrame, weights: dict[str, int], ratios_of, vocab_size: int, rounds: int = 2) -> tuple[dict[str, int], list[float]]:
-    """Multiplicative updates towards equal tokens per unit; counts are weighed anew, never recounted. Returns the best weights and the spreads seen."""
-    best, spreads, current = dict(weights), [], {k: float(v) for k, v in weights.items()}
-    for _ in range(rounds):
-        whole = {k: max(1, round(v)) for k, v in current.items()}
-        ratios = ratios_of(train(weigh(counts, whole), vocab_size, strict=False))
-        spreads.append(max(ratios.values()) - min(ratios.values()))
-        if spreads[-1] == min(spreads):
-            best = whole
-        mean = sum(ratios.values()) / len(ratios)
-        current = {k: v * (ratios.get(k, mean) / mean) ** 2 for k, v in current.items()}
-    return best, spreads
+def tune_weights(counts: DataFrame, weights: dict[str, float], ratios_of, vocab_size: int, rounds: int = 3, first: Vocabulary | None = None) -> tuple[dict[str, float], list[float]]:
+    """Weights that bring languages nearer to equal tokens per unit, and the spread of ratios of each round; counts are weighed anew, never recounted.
+
+    Each round goes on from the best weights so far, by the square of what a language's ratio is above or below the mean; a round that makes the spread no smaller halves that exponent.
+    Weights are multiples of 1 / FINE. first: the vocabulary of the given weights, if it is there already. ratios_of: ratio by language of a vocabulary; languages without one take no part.
+    """
+    best = current = {k: max(1, round(w * FINE)) for k, w in weights.items()}
+    spreads, power, seen = [], 2.0, {}
+    for i in range(rounds):
+        v = first if first and not i else train(weigh(counts, current, FINE), vocab_size, strict=False)
+        ratios = {k: r for k, r in ratios_of(v).items() if r}
+        spreads.append(max(ratios.values(), default=0.0) - min(ratios.values(), default=0.0))
+        if i and spreads[-1] >= min(spreads[:-1]):
+            power /= 2
+        else:
+            best, seen = current, ratios
+        mean = sum(seen.values()) / max(len(seen), 1)
+        current = {k: max(1, round(w * (seen.get(k, mean) / mean) ** power)) if mean else w for k, w in best.items()}
+    return {k: w / FINE for k, w in best.items()}, spreads
 
 
 SENTENCE = "[^.!?\n]+[.!?\n]*|[.!?\n]+"

@@ -299,12 +299,12 @@ def q_stats_report(spark, d):
 
 
 def q_tune_weights(spark, d):
-    docs = docs_of(spark, d)
+    """Tuned weights of the full vocabulary, the first spread and the smallest."""
+    docs, v = docs_of(spark, d), trained(spark, d)
     counts = materialize(bpe.piece_counts(docs), "piece-counts")
     ratios = lambda v: {r.lang: r.ratio for r in fair.language_ratios(docs, v).collect()}  # noqa: E731  one row a language
-    size = len(trained(spark, d).tokens) - 100
-    best, spreads = bpe.tune_weights(counts, C.WEIGHTS, ratios, size)
-    return spark.createDataFrame([(k, C.WEIGHTS[k], w, spreads[0], min(spreads)) for k, w in best.items()], "lang string, first_weight int, weight int, first_spread double, spread double")
+    best, spreads = bpe.tune_weights(counts, C.WEIGHTS, ratios, C.VOCAB_SIZE, first=v)
+    return spark.createDataFrame([(k, C.WEIGHTS[k], w, spreads[0], min(spreads)) for k, w in best.items()], "lang string, first_weight int, weight double, first_spread double, spread double")
 
 
 def q_superword_train(spark, d):

@@ -63,3 +63,26 @@ def test_smallest_size_from_which_on_a_gate_is_passed(spark):
     rows = [("a", 0, 4.0), ("a", 8, 1.0), ("a", 16, 1.0), ("b", 0, 1.0), ("b", 8, 4.0), ("b", 16, 1.0), ("c", 0, 1.0), ("c", 8, 1.0), ("c", 16, 2.0), (None, 0, 1.2), (None, 8, 1.0), ("n", 0, None)]
     ratios = spark.createDataFrame(rows, "lang string, merges int, ratio double")
     assert {r.lang: r.merges for r in N.smallest_passing(ratios, 1.2).collect()} == {"a": 8, "b": 16, "c": None, None: 0, "n": None}
+
+
+def test_tuned_weights_go_on_from_the_best_round(monkeypatch):
+    asked = []
+    monkeypatch.setattr(bpe, "weigh", lambda counts, weights, other: dict(weights))
+    monkeypatch.setattr(bpe, "train", lambda counts, size, strict: counts)
+
+    def ratios(answers):
+        left = iter(answers)
+
+        def of(v):
+            asked.append(v)
+            return next(left)
+
+        return of
+
+    # the second round is worse, so the third goes on from the first, half as far
+    best, spreads = bpe.tune_weights(None, {"a": 1, "b": 2}, ratios([{"a": 1.0, "b": 3.0, "c": None}, {"a": 1.0, "b": 4.0}, {"a": 1.0, "b": 2.0}]), 9, first="given")
+    assert spreads == [2.0, 3.0, 1.0] and asked == ["given", {"a": 16, "b": 288}, {"a": 32, "b": 192}] and best == {"a": 0.5, "b": 3.0}
+    # nothing is gained: the given weights stay
+    best, spreads = bpe.tune_weights(None, {"a": 1.5}, ratios([{"a": 1.0, "b": 3.0}, {"a": 1.0, "b": 3.0}, {}]), 9, rounds=2)
+    assert best == {"a": 1.5} and spreads == [2.0, 2.0]
+    assert bpe.tune_weights(None, {"a": 1}, ratios([{}]), 9, rounds=1) == ({"a": 1.0}, [0.0])
