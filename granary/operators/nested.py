@@ -6,17 +6,19 @@ every size, and texts are encoded for all sizes in one pass. Sizes are numbers o
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions.text import faithful_units, word_count
-from granary.operators.bpe_codec import PIECE, REMEMBERED, Codec
-from granary.operators.bpe_train import UNK, Vocabulary, with_bytes
+from granary.operators.bpe_train import SHIFT, UNK, Vocabulary, merge, with_bytes
+
+CHUNK = 500_000  # characters that are merged together
 
 
 def nested(v: Vocabulary, merges: int) -> Vocabulary:
@@ -26,29 +28,133 @@ def nested(v: Vocabulary, merges: int) -> Vocabulary:
     return Vocabulary(with_bytes([*first, *made]), v.merges[:merges], len(v.merges) >= merges)
 
 
+def rounds(merges: list[tuple[str, str]], ids: dict[str, int], ends: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Merges in order, as many together as do not touch each other's symbols: rank of the first, pairs as sorted codes, what they become, whether the string was there before. No round crosses a rank in ends."""
+    found, lefts, rights, seen, begin = {}, set(), set(), {t for t in ids if len(t) == 1}, 0
+    for r, (a, b) in enumerate([*merges, ("", "")]):
+        again = a + b in seen
+        if found and (r == len(merges) or r in ends or again or a == b or alone or a in rights or b in lefts):
+            codes = sorted(found)
+            yield begin, np.array(codes, np.int64), np.array([found[c] for c in codes], np.int64), twice
+            found, lefts, rights = {}, set(), set()
+        if r < len(merges):
+            begin = begin if found else r
+            found[ids[a] << SHIFT | ids[b]] = ids[a + b]
+            alone, twice = again or a == b, again
+            # what a round makes is no part of another of its pairs
+            lefts |= {a, a + b}
+            rights |= {b, a + b}
+            seen.add(a + b)
+
+
+def chunks(texts: pd.Series, most: int) -> Iterator[list[tuple[int, str]]]:
+    """(place of the text, part of it) in lists of about `most` characters; texts are cut only where a piece begins."""
+    out, size = [], 0
+    for i, t in enumerate(texts):
+        t, at = (t or "").replace(" ", "▁"), 0
+        while at < len(t):
+            end = len(t)
+            if end - at > most:
+                end = t.rfind("▁", at + 1, at + most)
+                end = end if end > 0 else t.find("▁", at + most)
+                end = end if end > 0 else len(t)
+            out.append((i, t[at:end]))
+            size, at = size + end - at, end
+            if size >= most:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+class Sizes:
+    """Counts tokens at several sizes: lowest rank first, a vocabulary of m merges has done all it can when only ranks from m on are left, so one pass serves all."""
+
+    def __init__(self, v: Vocabulary, sizes: Sequence[int]):
+        self.sizes = sorted(set(sizes))
+        whole = nested(v, self.sizes[-1])
+        self.known, self.places, self.stop = set(whole.tokens), [self.sizes.index(m) for m in sizes], len(whole.tokens)
+        self.ranks = {p: i for i, p in reversed(list(enumerate(whole.merges)))}
+        ids = whole.ids
+        self.chars = np.array(sorted(ord(t) for t in ids if len(t) == 1) or [0x110000], np.int64)
+        self.char_ids = np.array([ids.get(chr(c), self.stop) if c < 0x110000 else self.stop for c in self.chars], np.int64)
+        self.rounds = list(rounds(whole.merges, ids, set(self.sizes)))
+
+    def texts(self, parts: list[tuple[int, str]], n: int) -> np.ndarray:
+        """For each of n texts its tokens at each size, then byte tokens; parts: what chunks gives.
+
+        All pieces go through the merges together, rank by rank. A string that is made a second time can bring an earlier rank up again: pieces in which that happens are counted one by one.
+        """
+        code = np.frombuffer("".join(t for _, t in parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.array([len(t) for _, t in parts])
+        start = code == ord("▁")
+        start[np.cumsum(sizes) - sizes] = True
+        first, word = np.nonzero(start)[0], np.cumsum(start) - 1
+        text = np.repeat([i for i, _ in parts], sizes)[first]
+        place = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        known = self.chars[place] == code
+        x = np.where(known, self.char_ids[place], self.stop)
+        n_bytes = np.bincount(word, np.where(known, 0, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)), len(first))
+        more = n_bytes - np.bincount(word, ~known, len(first))
+        per, redo = [], np.zeros(len(first), bool)
+        for rank, codes, made, twice in self.rounds:
+            while self.sizes[len(per)] <= rank:
+                per.append(np.bincount(word, minlength=len(first)) + more)
+            before = np.bincount(word, minlength=len(first)) if twice else None
+            x, word = merge(x, word, codes, made, self.stop)
+            if twice:
+                redo |= np.bincount(word, minlength=len(first)) < before
+        while len(per) < len(self.sizes):
+            per.append(np.bincount(word, minlength=len(first)) + more)
+        per = np.array([*(per[k] for k in self.places), n_bytes])
+        end = np.append(first[1:], len(code))
+        for w in np.nonzero(redo)[0]:
+            per[:, w] = self.piece("".join(map(chr, code[first[w] : end[w]])))
+        return np.array([np.bincount(text, k, n) for k in per]).T.astype(np.int64)
+
+    def piece(self, text: str) -> list[int]:
+        """Tokens at each size, then byte tokens. A merge leaves its string at the place of its first symbol."""
+        symbols, n_bytes = list(text), 0
+        if not self.known.issuperset(symbols):
+            symbols = [x for c in text for x in ([c] if c in self.known else [f"<0x{b:02X}>" for b in c.encode("utf-8", "surrogatepass")])]
+            n_bytes = sum(len(x) > 1 for x in symbols)
+        rank, size = self.ranks.get, len(symbols)
+        heap = [(r, i, i + 1) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        after, before, left = list(range(1, size + 1)), list(range(-1, size - 1)), size
+        counts, waiting = [], 0
+        while heap:
+            r, i, j = heapq.heappop(heap)
+            if symbols[i] is None or j >= size or after[i] != j or rank((symbols[i], symbols[j])) != r:
+                continue  # one of the two has been merged meanwhile
+            while self.sizes[waiting] <= r:
+                counts.append(left)
+                waiting += 1
+            symbols[i], symbols[j], after[i], left = symbols[i] + symbols[j], None, after[j], left - 1
+            if after[i] < size:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < size and (r := rank((symbols[x], symbols[y]))) is not None:
+                    heapq.heappush(heap, (r, x, y))
+        counts += [left] * (len(self.sizes) - len(counts))
+        return [*(counts[k] for k in self.places), n_bytes]
+
+
 def token_counts(docs: DataFrame, v: Vocabulary, sizes: Sequence[int]) -> DataFrame:
     """docs plus merges, tokens, byte_tokens: one row for each text and size. Null text has no tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast([nested(v, m) for m in sizes])  # as large as the vocabularies asked for
+    shared = docs.sparkSession.sparkContext.broadcast((nested(v, max(sizes)), tuple(sizes)))  # as large as the vocabulary asked for
 
     @F.pandas_udf("array<long>")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codecs = [(Codec(n), len(n.tokens) - 256) for n in shared.value]
-        known: dict[str, list[int]] = {}  # of a piece: tokens and byte tokens at each size
+        at = Sizes(*shared.value)
         for x in batches:
-            found = []
-            for t in x:
-                total = [0] * (2 * len(codecs))
-                for p, k in Counter(PIECE.findall((t or "").replace(" ", "▁"))).items():
-                    if p not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[p] = [n for c, first in codecs for ids in (c.piece(p),) for n in (len(ids), sum(i >= first for i in ids))]
-                    total = [a + k * b for a, b in zip(total, known[p])]
-                found.append(total)
-            yield pd.Series(found)
+            total = np.zeros((len(x), len(sizes) + 1), np.int64)
+            for parts in chunks(x, CHUNK):
+                total += at.texts(parts, len(x))
+            yield pd.Series(list(total))
 
     rows = docs.withColumn("_n", counts("text"))
-    each = F.array(*(F.struct(F.lit(m).alias("merges"), F.get("_n", F.lit(2 * i)).alias("tokens"), F.get("_n", F.lit(2 * i + 1)).alias("byte_tokens")) for i, m in enumerate(sizes)))
+    each = F.array(*(F.struct(F.lit(m).alias("merges"), F.get("_n", F.lit(i)).alias("tokens"), F.get("_n", F.lit(len(sizes))).alias("byte_tokens")) for i, m in enumerate(sizes)))
     return rows.select(*(c for c in docs.columns), F.inline(each))
 
 

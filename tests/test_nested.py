@@ -86,3 +86,22 @@ def test_tuned_weights_go_on_from_the_best_round(monkeypatch):
     best, spreads = bpe.tune_weights(None, {"a": 1.5}, ratios([{"a": 1.0, "b": 3.0}, {"a": 1.0, "b": 3.0}, {}]), 9, rounds=2)
     assert best == {"a": 1.5} and spreads == [2.0, 2.0]
     assert bpe.tune_weights(None, {"a": 1}, ratios([{}]), 9, rounds=1) == ({"a": 1.0}, [0.0])
+
+
+def test_strings_made_in_several_ways_and_cut_texts():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(100):
+        made, merges = list("ab▁"), []
+        for _ in range(14):
+            a, b = rng.choice(made), rng.choice(made)
+            if (a, b) not in merges and len(a + b) < 7 and "▁" not in b:
+                merges.append((a, b))
+                made += [a + b] * (a + b not in made)
+        v = bpe.Vocabulary(bpe.with_bytes(["[UNK]", *made]), merges)
+        sizes = (len(merges), 0, 3)
+        at, single = N.Sizes(v, sizes), [codec.Codec(N.nested(v, m)) for m in sizes]
+        texts = ["".join(rng.choice("aabb é") for _ in range(rng.randint(0, 30))) for _ in range(20)] + [None]
+        got = sum(at.texts(parts, len(texts)) for parts in N.chunks(texts, rng.randint(1, 60)))
+        assert got.tolist() == [[*(len(c.encode(t or "")) for c in single), 2 * (t or "").count("é")] for t in texts]
