@@ -29,7 +29,7 @@ from granary.llm.common import batch_of, materialize, row_ids
 
 MAX_LABELLED, MIN_DOCS, VOCABULARY, FOLDS, PENALTY, THRESHOLD = 20_000, 5, 50_000, 3, 0.1, 0.2
 # A fit ends when ten rounds change its objective by less than TOLERANCE of it; ROUNDS is only a stop for one that never would.
-TOLERANCE, ROUNDS = 1e-7, 20_000
+TOLERANCE, ROUNDS, GROWTH = 1e-7, 20_000, 64
 
 
 @dataclass
@@ -60,8 +60,9 @@ def words_in(words: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarr
 def lasso(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of presence features (those that are `place` in `row`; size of them), of dense ones, and the intercept, which bears no penalty.
 
-    Minimises mean log loss + penalty * sum of absolute weights. Most weights are zero, so steps are taken over a working set, to which every feature
-    is added whose gradient exceeds the penalty, until none does.
+    Minimises mean log loss + penalty * sum of absolute weights. Most weights are zero, so steps are taken over a working set, to which features
+    are added whose gradient exceeds the penalty, until none is left: in a round as many as the set has (GROWTH at least), those that exceed it most first, as few of
+    the many that exceed it at first still do when others are in.
     """
     n = len(y)
     dense = np.column_stack([dense, np.ones(n)])
@@ -70,14 +71,15 @@ def lasso(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: n
     z = np.zeros(n)
     while True:
         used = np.nonzero(work)[0]
-        mine = work[place]
+        mine = np.nonzero(work[place])[0]
         at = np.concatenate([used, np.arange(size, len(w))])
-        w[at], z = descend(row[mine], np.searchsorted(used, place[mine]), len(used), dense, y, penalty, w[at])
+        w[at], z = descend(row[mine], (np.cumsum(work) - 1)[place[mine]], len(used), dense, y, penalty, w[at])
         error = (1 / (1 + np.exp(-z)) - y) / n
-        more = ~work & (np.abs(np.bincount(place, error[row], size)) > penalty * (1 + 1e-3))
-        if not more.any():
+        gradient = np.where(work, 0, np.abs(np.bincount(place, error[row], size)))
+        more = np.nonzero(gradient > penalty * (1 + 1e-3))[0]
+        if not len(more):
             return w[:size], w[size:-1], float(w[-1])
-        work |= more
+        work[more[np.argsort(-gradient[more], kind="stable")[: max(GROWTH, len(used))]]] = True
 
 
 def descend(row: np.ndarray, place: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def fits(rows: DataFrame, category: str, size: int, penalty: float) -> list[Mode
     given = rows.select("doc_id", "places", "earlier", F.col(category).alias("y"), F.explode("fits").alias("fit"))
     found = given.groupBy("fit").applyInArrow(one, "fit int, places array<int>, weights array<double>, earlier array<double>, intercept double")
     models = []
-    for r in found.orderBy("fit").collect():  # at most FOLDS + 1 rows of VOCABULARY weights
+    for r in sorted(found.collect(), key=lambda r: r.fit):  # at most FOLDS + 1 rows of VOCABULARY weights; sorted by Spark, every fit would be made twice, once to find the ranges
         weights = np.zeros(size)
         weights[r.places] = r.weights
         models.append(Model(weights, np.array(r.earlier), r.intercept))

@@ -718,6 +718,35 @@ def test_lasso_equals_a_public_trainer(spark):
     assert (w == 0).sum() >= 5
 
 
+def test_lasso_works_on_few_features(monkeypatch):
+    """Where hundreds of features tell the same, few of them enter the working set; the weights are optimal over all."""
+    r = np.random.default_rng(4)
+    cause = r.random(600) < 0.3
+    x = np.column_stack([cause, *((cause & (r.random(600) < 0.8)) | (r.random(600) < 0.1) for _ in range(500))])
+    y = (cause ^ (r.random(600) < 0.05)).astype(float)
+    sizes, descend = [], toxicity.descend
+    monkeypatch.setattr(toxicity, "descend", lambda row, place, size, *rest: (sizes.append(size), descend(row, place, size, *rest))[1])
+    row, place = np.nonzero(x)
+    w, _, b = toxicity.lasso(row, place, x.shape[1], np.zeros((600, 0)), y, 0.004)
+    gradient = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 600
+    assert np.abs(gradient).max() < 0.004 * 1.01 and np.abs(gradient[w != 0] + 0.004 * np.sign(w[w != 0])).max() < 0.004 * 0.05
+    assert max(sizes) <= 2 * toxicity.GROWTH, sizes
+
+
+def test_each_fit_is_made_once(spark, tmp_path, monkeypatch):
+    notes, lasso = str(tmp_path / "fits"), toxicity.lasso
+
+    def noted(*given):
+        with open(notes, "a") as f:
+            f.write("fit\n")
+        return lasso(*given)
+
+    monkeypatch.setattr(toxicity, "lasso", noted)
+    rows = spark.createDataFrame([(i, [i % 2], [], float(i % 2), [0, 1, 2]) for i in range(60)], "doc_id long, places array<int>, earlier array<double>, y double, fits array<int>")
+    models = toxicity.fits(rows, "y", 2, 0.01)
+    assert len(models) == 3 and open(notes).read().count("fit") == 3
+
+
 # -- pipeline
 
 
