@@ -29,7 +29,15 @@ def cut(bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
 
 
 def joined(rows: pa.Table, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in rows.column(name).to_pylist() if x), dtype)
+    """The numbers of all rows of a column, from Arrow's buffers, without a Python object for each row. Missing rows have none."""
+    parts = []
+    for chunk in rows.column(name).chunks:
+        chunk = chunk.drop_null()
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            at = np.frombuffer(offsets, "<i8" if pa.types.is_large_binary(chunk.type) else "<i4")
+            parts.append(np.frombuffer(data or b"", "u1")[at[chunk.offset] : at[chunk.offset + len(chunk)]].view(dtype))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, dtype)])
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -88,14 +88,19 @@ SLICE_BYTES = 2 << 20
 
 def sliced(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes."""
+    return sliced_sizes([len(t) for t in texts], limit)
+
+
+def sliced_sizes(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """The same from the sizes of texts."""
     a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield a, i
             a, size = i, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

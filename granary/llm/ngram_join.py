@@ -25,11 +25,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.blobs import bucket_count, cut, joined, runs
-from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, row_ids, sliced, spread_of
+from granary.llm.common import UPPER_TO_LOWER, batch_of, byte_table, materialize, mix64, row_ids, sliced_sizes, spread_of
 from granary.llm.graph import components
 
 MAX_LIGHT, WORDS_OF_SKETCH, BASE, ALL_PAIRS = 40, 8, np.uint64(0x9E3779B97F4A7C15), 8
@@ -107,10 +108,11 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int, key: str | Non
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            # only one slice of the batch is held as Python strings
+            column = batch.column("text")
             rows, docs_ = batch.column("row_id").to_numpy(), batch.column("doc_id").to_pylist()
-            for a, b in sliced(texts):
-                sets = shingle_sets(texts[a:b], size)
+            for a, b in sliced_sizes(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                sets = shingle_sets([t or b"" for t in column.slice(a, b - a).to_pylist()], size)
                 lengths = np.array([len(s) for s in sets], np.int64)
                 whole = np.concatenate(sets)
                 meta = np.zeros(b - a, META)

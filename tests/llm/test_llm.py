@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, page_text, quality_rules, suffix_dedup, toxicity
+from granary.llm import blobs, chat_format, exact_dedup, language_id, mixing, ngram_join, packing, page_text, quality_rules, suffix_dedup, toxicity
 from granary.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +181,24 @@ def test_ngram_join(docs, empty, size, num, den):
     assert ngram_join.near_duplicates(empty, size, num, den).count() == 0
 
 
+def test_joined_numbers_are_read_in_place():
+    """Slices, chunks, missing and empty rows; and no second copy of a bucket as Python bytes."""
+    import tracemalloc
+
+    pieces = [None, np.arange(3).tobytes(), b"", None, np.arange(3, 7).tobytes(), None]
+    for kind in (pa.binary(), pa.large_binary()):
+        table = pa.table({"n": pa.chunked_array([pa.array(pieces, kind), pa.array([None], kind), pa.array([], kind), pa.array(pieces, kind)[4:]])})
+        assert blobs.joined(table, "n", "<i8").tolist() == [*range(7), *range(3, 7)]
+        assert blobs.joined(table[1:2], "n", "<i8").tolist() == [0, 1, 2] and blobs.joined(table[:1], "n", "<i8").dtype == np.int64
+        assert len(blobs.joined(table[:0], "n", "<i8")) == 0
+    big = pa.table({"n": pa.array([b"x" * 100_000] * 200)})
+    tracemalloc.start()
+    assert len(blobs.joined(big, "n", "u1")) == 20_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000, peak
+
+
 def test_ngram_join_small_sets_and_chains(documents):
     """Many short texts that differ by a word or two: subsets, lists and chains of links."""
     r = random.Random(8)
