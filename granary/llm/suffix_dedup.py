@@ -7,8 +7,8 @@ Digits are taken so that most suffixes drop out early and in bulk:
    windows agree in it. Neighbouring windows that share the gram at one place form a run, and runs, not windows, are dealt by the digit. Runs whose
    gram is in one document only, or whose 16 bytes on neither side of it agree with another document, drop out.
 2. The second digit is the whole run: a run that a document with a smaller id has too is removed at once.
-3. What is left (runs that agree in part, at the edges of passages) is sorted window by window, on the bytes, in digits of
-   eight, only through `window` bytes; groups with one member leave after each pass.
+3. What is left (runs that agree in part, at the edges of passages) goes window by window. A digit of 40 bits of all bytes is dealt alone, and windows that share
+   it with no other row drop out. The others are sorted on the bytes, in digits of eight, only through `window` bytes; groups with one member leave after each pass.
 
 Equal runs, and in step 3 equal windows, of a batch are combined before they move, so a passage in a third of all documents makes
 one row a batch and not one a document. Edges of such a passage differ, and step 3 deals windows by all their bytes.
@@ -20,6 +20,7 @@ each other; a null doc_id counts as larger than all others; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,14 @@ def least_by(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 RUNS = ["bucket", "gram", "whole", "sides", "start", "n", "q", "doc", "row", "span"]
 FOUND = ["bucket", "span", "open"]
-WINDOWS = ["bucket", "bytes", "doc", "row", "start", "span"]
+DIGITS = ["bucket", "digit", "row", "start", "span"]
+WINDOWS = ["bucket", "bytes", "doc", "row", "start"]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id, order_id (by which the first document is told), text."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), doc.alias("doc_id"), F.coalesce(doc, F.lit(int(LAST))).alias("order_id"), F.col("text").cast("binary").alias("text"))
 
 
 def deal_runs(docs: DataFrame, buckets: int, window: int) -> DataFrame:
@@ -185,8 +193,7 @@ def deal_runs(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 moved += [(k, *[None] * 8, s) for k, s in cut(gone["row"] % buckets, [gone])]
                 yield batch_of(out, *zip(*moved))
 
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("order_id"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(scan, ddl(RUNS))
+    return numbered(docs).select("row_id", "order_id", "text").mapInArrow(scan, ddl(RUNS))
 
 
 def _groups(sorted_keys: np.ndarray) -> tuple[list, list, list]:
@@ -260,19 +267,44 @@ def later_windows(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_of(windows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(windows), np.uint64)
+    for c in digits_of(windows).T:
+        h = mix64(h * np.uint64(31) + c)
+    return h
+
+
+def text_of(texts: pa.Table) -> dict[int, bytes]:
+    return {r: t or b"" for r, t in zip(texts.column("row_id").to_pylist(), texts.column("text").to_pylist())}
+
+
+def places(text: dict[int, bytes], row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of some rows (sorted) as one byte array, and for each row where its text begins."""
+    rows = np.unique(row)
+    data, at = concat_bytes([text[x] for x in rows.tolist()])
+    return data, at[np.searchsorted(rows, row)]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by bytes of one weight after the other, so that leading zeros lie together."""
+    return np.ascontiguousarray(x.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
 def open_windows(buckets: int, window: int, gram: int):
-    """Cogroup of texts and open runs by bucket: their windows, dealt by all bytes; of equal ones in the bucket only the smallest doc's move."""
+    """Cogroup of texts and open runs by bucket: a digit of each of their windows, dealt by all bytes; of equal ones in the bucket only the smallest doc's moves."""
 
     def windows(texts: pa.Table, found: pa.Table) -> pa.Table:
         runs_ = joined(found, "open", OPEN) if found.num_rows else np.zeros(0, OPEN)
         runs_ = runs_[np.argsort(runs_["row"], kind="stable")]
-        text = {r: t or b"" for r, t in zip(texts.column("row_id").to_pylist(), texts.column("text").to_pylist())} if len(runs_) else {}
+        text = text_of(texts) if len(runs_) else {}
         out = []
         for k in range(0, len(runs_), 20_000):
             r = runs_[k : k + 20_000]
-            rows = np.unique(r["row"])
-            data, at = concat_bytes([text[x] for x in rows.tolist()])
-            base = at[np.searchsorted(rows, r["row"])]
+            data, base = places(text, r["row"])
             i = np.repeat(np.arange(len(r)), r["n"])
             o = np.arange(len(i)) - np.repeat(np.cumsum(r["n"].astype(np.int64)) - r["n"], r["n"])
             before = r["q"][i].astype(np.int64) - o  # bytes of the window before its gram
@@ -285,12 +317,46 @@ def open_windows(buckets: int, window: int, gram: int):
             doc, row, start = r["doc"][i], r["row"][i], (r["start"][i] + o).astype("<i4")
             later = later_windows(w, doc)
             gone = spans(row[later], start[later], np.ones(int(later.sum()), np.uint8))
-            w, doc, row, start = w[~later], doc[~later], row[~later], start[~later]
-            h = np.zeros(len(w), np.uint64)
-            for c in digits_of(w).T:
-                h = mix64(h * np.uint64(31) + c)
-            out += [(*x, None) for x in cut((h % np.uint64(buckets)).astype(np.int64), [w, doc, row, start])]
-            out += [(b, None, None, None, None, s) for b, s in cut(gone["row"] % buckets, [gone])]
+            h, row, start = hash_of(w[~later]), row[~later], start[~later]
+            bucket, digit = (h % np.uint64(buckets)).astype(np.int64), low_bytes(h >> np.uint64(24), 5)
+            order = np.argsort(bucket, kind="stable")
+            for b, s0, s1 in zip(*_groups(bucket[order])):
+                i = order[s0:s1]
+                out.append((b, digit[i].tobytes(), planes(deltas(row[i])), planes(start[i]), None))
+            out += [(b, None, None, None, s) for b, s in cut(gone["row"] % buckets, [gone])]
+        return table_of(out, DIGITS)
+
+    return windows
+
+
+def match_digits(buckets: int):
+    """Reducer over one bucket of digits: windows that share theirs with another row, each a span left open."""
+
+    def match(table: pa.Table) -> pa.Table:
+        digit = from_low_bytes(joined(table, "digit", "u1"), 5)
+        row, start = (np.concatenate([np.zeros(0, np.int64), *(f(from_planes(x)) for x in table.column(c).to_pylist() if x)]) for c, f in (("row", np.cumsum), ("start", np.asarray)))
+        low, high = least_by(digit, row)
+        tied = low < high
+        left, gone = spans(row[tied], start[tied], np.ones(int(tied.sum()), np.uint8)), joined(table, "span", SPAN)
+        return table_of([(k, s, None) for k, s in cut(gone["row"] % buckets, [gone])] + [(k, None, s) for k, s in cut(left["row"] % buckets, [left])], FOUND)
+
+    return match
+
+
+def tied_windows(buckets: int, window: int):
+    """Cogroup of texts and windows left open by bucket: their bytes, dealt by all of them."""
+
+    def windows(texts: pa.Table, found: pa.Table) -> pa.Table:
+        left = joined(found, "open", SPAN) if found.num_rows else np.zeros(0, SPAN)
+        left = left[np.argsort(left["row"], kind="stable")]
+        text = text_of(texts) if len(left) else {}
+        ids, out = dict(zip(texts.column("row_id").to_pylist(), texts.column("order_id").to_pylist())), []
+        for k in range(0, len(left), 200_000):
+            r = left[k : k + 200_000]
+            data, base = places(text, r["row"])
+            w = np.lib.stride_tricks.sliding_window_view(data, window)[base + r["start"]]
+            doc = np.array([ids[x] for x in r["row"].tolist()], np.int64)
+            out += cut((hash_of(w) % np.uint64(buckets)).astype(np.int64), [w, doc, r["row"], r["start"]])
         return table_of(out, WINDOWS)
 
     return windows
@@ -300,7 +366,7 @@ def match_windows(buckets: int, window: int):
     def match(table: pa.Table) -> pa.Table:
         w, doc, row, start = joined(table, "bytes", "u1").reshape(-1, window), joined(table, "doc", "<i8"), joined(table, "row", "<i8"), joined(table, "start", "<i4")
         later = later_windows(w, doc)
-        gone = np.concatenate((spans(row[later], start[later], np.ones(int(later.sum()), np.uint8)), joined(table, "span", SPAN)))
+        gone = spans(row[later], start[later], np.ones(int(later.sum()), np.uint8))
         return table_of([(k, s, None) for k, s in cut(gone["row"] % buckets, [gone])], FOUND)
 
     return match
@@ -309,15 +375,18 @@ def match_windows(buckets: int, window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, removed array<struct<start, end>> (byte ranges, maximal), kept binary.
 
-    docs is read three times and must give the same rows in the same files each time, as a table does.
+    docs is read four times and must give the same rows in the same files each time, as a table does.
     """
     buckets = bucket_count(spread_of(docs))
     found = materialize(deal_runs(docs, buckets, window).groupBy("bucket").applyInArrow(match_runs(buckets), ddl(FOUND)), "runs")
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("bucket", F.pmod("row_id", F.lit(buckets)))
-    opened = found.filter("open is not null").select("bucket", "open")
-    windows = read.select("bucket", "row_id", "text").groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(open_windows(buckets, window, gram), ddl(WINDOWS))
+    read = numbered(docs).withColumn("bucket", F.pmod("row_id", F.lit(buckets)))
+    texts = read.select("bucket", "row_id", "order_id", "text").groupBy("bucket")
+    opened = lambda found: found.filter("open is not null").select("bucket", "open").groupBy("bucket")
+    digits = texts.cogroup(opened(found)).applyInArrow(open_windows(buckets, window, gram), ddl(DIGITS))
+    ties = materialize(digits.groupBy("bucket").applyInArrow(match_digits(buckets), ddl(FOUND)), "ties")
+    windows = texts.cogroup(opened(ties)).applyInArrow(tied_windows(buckets, window), ddl(WINDOWS))
     more = materialize(windows.groupBy("bucket").applyInArrow(match_windows(buckets, window), ddl(FOUND)), "windows")
-    every = found.filter("span is not null").select("bucket", "span").unionByName(more.filter("span is not null").select("bucket", "span"))
+    every = reduce(DataFrame.unionByName, (x.filter("span is not null").select("bucket", "span") for x in (found, ties, more)))
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pair)), ("kept", BINARY)])
 
@@ -340,5 +409,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             kept.append(b"".join(t[x:y] for x, y in zip([0, *edge[1::2]], [*edge[::2], len(t)])))
         return pa.table([texts.column("doc_id"), pa.array(size, pa.int64()), pa.array(cuts, pa.list_(pair)), pa.array(kept, BINARY)], schema=out)
 
-    result = read.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(apply, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    result = read.select("bucket", "row_id", "doc_id", "text").groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(apply, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
     return result

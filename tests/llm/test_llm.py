@@ -298,6 +298,34 @@ def _runs(text, segment):
         suffix_dedup.SEGMENT = old
 
 
+def test_open_windows_move_as_digits_and_only_tied_ones_as_bytes():
+    sd = suffix_dedup
+    shared = prose(60, random.Random(3))[:90].encode()
+    texts = {0: prose(300, random.Random(1)).encode() + shared, 4: prose(300, random.Random(2)).encode() + shared + prose(9, random.Random(5)).encode()}
+    runs = []
+    for row, t in texts.items():
+        _, r = sd.window_runs(*sd.concat_bytes([t]), np.zeros(1, np.int64), np.array([len(t)]))
+        x = np.zeros(len(r), sd.OPEN)
+        x["row"], x["doc"], x["start"], x["n"], x["q"], x["sides"] = row, row + 10, r["start"], r["n"], r["q"], 3
+        runs.append(x)
+    dealt = {}  # row_id modulo buckets is the bucket of a text; here each row comes in a batch of its own
+    for row, x in zip(texts, runs):
+        table = sd.pa.table({"row_id": [row], "order_id": [row + 10], "text": [texts[row]]})
+        found = sd.table_of([(0, None, x.tobytes())], sd.FOUND)
+        out = sd.open_windows(1, 50, 18)(table, found)
+        assert out.nbytes < 24 * int(x["n"].sum())  # before: 70 bytes a window
+        dealt[row] = out
+    ties = sd.match_digits(1)(sd.pa.concat_tables(dealt.values()))
+    left = sd.joined(ties, "open", sd.SPAN)
+    windows = {row: [t[p : p + 50] for p in range(len(t) - 49)] for row, t in texts.items()}
+    want = {(row, p) for row, other in ((0, 4), (4, 0)) for p, w in enumerate(windows[row]) if w in windows[other]}
+    assert len(want) > 80
+    assert {(int(r), int(s)) for r, s, _ in left} == want
+    moved = sd.tied_windows(1, 50)(sd.pa.table({"row_id": list(texts), "order_id": [10, 14], "text": list(texts.values())}), ties)
+    gone = sd.joined(sd.match_windows(1, 50)(moved), "span", sd.SPAN)
+    assert {(int(r), int(s)) for r, s, _ in gone} == {(4, p) for row, p in want if row == 4}
+
+
 def test_radix_groups_are_the_equal_rows():
     r = np.random.default_rng(1)
     rows = r.integers(0, 3, (400, 5)).astype(np.uint64)
