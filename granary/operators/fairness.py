@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from granary.functions.text import corpus_summary, faithful_units, word_count
-from granary.operators.bpe_codec import encode
+from granary.functions.text import Measures, classes, word_count
+from granary.operators.bpe_codec import Batches, encode
 from granary.operators.bpe_train import Vocabulary
-from granary.operators.language import main_scripts
+from granary.operators.language import main_script, measured, script_sums
 from granary.sources.tables import materialize
 
 GATE, PENALTY_AT = 1.2, 1.2
@@ -17,18 +22,27 @@ GATE, PENALTY_AT = 1.2, 1.2
 
 def language_ratios(docs: DataFrame, v: Vocabulary, *keys: str) -> DataFrame:
     """lang (and keys), tokens, units, ratio."""
-    rows = encode(docs, v).select(*keys, "lang", F.size("ids").cast("long").alias("tokens"), faithful_units(F.col("text")).alias("units"))
+    rows = docs.select(*keys, "lang", "text")
+    shared = docs.sparkSession.sparkContext.broadcast((v, classes(docs.sparkSession)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, measure = Batches(shared.value[0]), Measures(shared.value[1])
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            none, texts = np.array([t is None for t in texts], bool), [t or "" for t in texts]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(codec.token_counts(texts)), pa.array(measure(texts)[1], mask=none)], names=[*keys, "lang", "tokens", "units"])
+
+    rows = rows.mapInArrow(scan, StructType([*rows.schema.fields[:-1], StructField("tokens", LongType()), StructField("units", LongType())]))
     rows = rows.groupBy(*keys, "lang").agg(F.sum("tokens").alias("tokens"), F.sum("units").alias("units"))
     return rows.withColumn("ratio", F.try_divide("tokens", "units"))
 
 
 def source_records(docs: DataFrame) -> DataFrame:
     """lang, script (with most characters), sources, documents, bytes, words, units: what a ratio was measured on, one row a language."""
-    sources = docs.groupBy("lang").agg(F.countDistinct("source").alias("sources"))
-    found = corpus_summary(docs).select("lang", "documents", "bytes", "words", F.col("faithful_units").alias("units"))
-    for other in (sources, main_scripts(docs)):  # a document without lang has a record, too
-        other = other.withColumnRenamed("lang", "l")
-        found = found.join(other, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+    sources = docs.groupBy(F.col("lang").alias("l")).agg(F.countDistinct("source").alias("sources"))
+    rows = measured(docs.withColumn("bytes", F.octet_length("text").cast("long")), "lang", "bytes")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), *(F.sum(c).alias(c) for c in ("bytes", "words", "units")), *script_sums()).withColumn("script", main_script())
+    found = found.join(sources, F.col("lang").eqNullSafe(F.col("l")))  # a document without lang has a record, too
     return found.select("lang", "script", "sources", "documents", "bytes", "words", "units")
 
 

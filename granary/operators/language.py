@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from granary.functions.text import Measures, classes
 from granary.sources.tables import materialize
 
 # Scripts by their Unicode names, and the language of those that one listed language alone uses.
@@ -81,17 +84,42 @@ class Profiles:
         return out, np.bincount(text, minlength=len(texts))
 
 
+def measured(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, words, units and the characters of each of SCRIPTS (by) of every text, null for null: one pass of batches over classes of code points."""
+    rows = docs.select(*keep, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(classes(docs.sparkSession, SCRIPTS))  # a byte for each code point
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measures(shared.value, len(SCRIPTS))
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            none = np.array([t is None for t in texts], bool)
+            words, units, by = measure([t or "" for t in texts])
+            by = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * by.shape[1], pa.int32()), pa.array(by.ravel(), pa.int64()))
+            yield pa.record_batch([*(batch.column(c) for c in range(len(keep))), pa.array(words, mask=none), pa.array(units, mask=none), pc.if_else(pa.array(none), None, by)], names=[*keep, "words", "units", "by"])
+
+    return rows.mapInArrow(scan, StructType([*rows.schema.fields[: len(keep)], StructField("words", LongType()), StructField("units", LongType()), StructField("by", ArrayType(LongType()))]))
+
+
+def script_sums() -> list[Column]:
+    return [F.sum(F.get("by", F.lit(i))).alias(s) for i, s in enumerate(SCRIPTS)]
+
+
 def script_letters(docs: DataFrame) -> DataFrame:
     """lang and the characters of its texts in each script: one row a language."""
-    return docs.groupBy("lang").agg(*(F.sum(F.regexp_count("text", F.lit(rf"\p{{Is{s}}}"))).alias(s) for s in SCRIPTS))
+    return measured(docs, "lang").groupBy("lang").agg(*script_sums())
 
 
-def main_scripts(docs: DataFrame) -> DataFrame:
-    """lang, script: the script with most characters, the first listed among equals; none without any."""
+def main_script() -> Column:
+    """The script with most characters in columns of SCRIPTS, the first listed among equals; none without any."""
     counts = F.array(*(F.coalesce(F.col(s), F.lit(0)) for s in SCRIPTS))
     most = F.array_max(counts)
-    name = F.element_at(F.array(*map(F.lit, SCRIPTS)), F.array_position(counts, most).cast("int"))
-    return script_letters(docs).select("lang", F.when(most > 0, name).otherwise("none").alias("script"))
+    return F.when(most > 0, F.element_at(F.array(*map(F.lit, SCRIPTS)), F.array_position(counts, most).cast("int"))).otherwise("none")
+
+
+def main_scripts(docs: DataFrame) -> DataFrame:
+    """lang, script: as main_script."""
+    return script_letters(docs).select("lang", main_script().alias("script"))
 
 
 def learn_profiles(docs: DataFrame, most: int = GRAMS) -> Profiles:
