@@ -6,6 +6,7 @@ language uses names that language; any other gives none. Weights are whole numbe
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from granary.functions.text import Measures, classes
+from granary.functions.text import Measures, classes, sliced_sizes
 from granary.sources.tables import materialize
 
 # Scripts by their Unicode names, and the language of those that one listed language alone uses.
@@ -23,6 +24,7 @@ SCRIPTS = ["Latin", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "T
 ONLY = {"Gurmukhi": "pa", "Gujarati": "gu", "Oriya": "or", "Tamil": "ta", "Telugu": "te", "Kannada": "kn", "Malayalam": "ml", "Ol_Chiki": "sat", "Meetei_Mayek": "mni", "Bengali": "bn", "Devanagari": "hi", "Arabic": "ur"}
 
 GRAMS = 50_000  # most trigrams of a model
+SLICE, ALPHABET = 1 << 20, 128  # characters that are counted together; different ones among them, up to which their trigrams have a place each
 MIXED_SHARE, MIXED_MARGIN = 0.1, 100  # a second script's share of letters; thousandths a trigram between the two best languages
 PLAIN = r"[^\p{L}\p{M}]+"
 
@@ -48,17 +50,44 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[:-2][inside], (x[:-2] << 42 | x[1:-1] << 21 | x[2:])[inside]
 
 
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of trigrams, ascending, and how often each is there; by slices, and with few characters (ALPHABET) by counting places in place of sorting codes."""
+    found = []
+    for a, b in sliced_sizes([len(t) for t in texts], SLICE):
+        x = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(x) < 3:
+            continue
+        chars = np.nonzero(np.bincount(x))[0]
+        k = len(chars)
+        if k > ALPHABET:
+            found.append(np.unique(trigrams(texts[a:b])[1], return_counts=True))
+            continue
+        place = np.zeros(chars[-1] + 1, np.int32)
+        place[chars] = np.arange(k)
+        x, ends, inside = place[x], np.cumsum([len(t) for t in texts[a:b]]), np.ones(len(x), bool)
+        for before in (1, 2):  # windows over the end of a text
+            inside[(ends - before)[ends >= before]] = False
+        n = np.bincount(((x[:-2] * k + x[1:-1]) * k + x[2:])[inside[:-2]], minlength=k**3)
+        i = np.nonzero(n)[0]
+        found.append((chars[i // k**2] << 42 | chars[i // k % k] << 21 | chars[i % k], n[i]))
+    codes, n = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    codes, at = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(codes), np.int64)
+    np.add.at(sums, at, n)
+    return codes, sums
+
+
 def trigram_counts(rows: DataFrame) -> DataFrame:
     """lang, code, n over rows (lang, t): summed up in each batch before they move."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
-            text, code = trigrams(batch.column("t").to_pylist())
-            own = langs.indices.to_numpy()[text]
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                codes, n = np.unique(code[own == k], return_counts=True)
+            texts = defaultdict(list)
+            for lang, t in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
+                texts[lang].append(t)
+            for lang, own in texts.items():
+                codes, n = gram_counts(own)
                 yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n, pa.int64())], schema=schema)
 
     return rows.select("lang", "t").mapInArrow(scan, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -8,6 +8,7 @@ from granary.functions import text as T
 from granary.operators import bpe_codec as codec
 from granary.operators import bpe_train as bpe
 from granary.operators import fairness as fair
+from granary.operators import language
 from granary.operators.language import SCRIPTS, measured
 
 ODD = ["", None, " ", "\n\n", "  The quick\n\nbrown fox ", "▁x ▁▁ y\n", "the\nthe the\n z", "🙂 ज् and\u0085the ‍", "x" * 300 + " the end", "tab\tand \x01 space\x02", "l'été, 12½ №5!", "Ωμέγα 漢字 ᱚᱞ ꯃꯤ _a_", "\U0001f9ff  \x1c."]
@@ -76,3 +77,14 @@ def test_pieces_are_counted_by_tasks(spark, documents):
     assert "Generate" not in plan  # before: a row for each piece of each text
     pieces = [(["en", None][i % 2], p) for i, t in enumerate(ODD) for line in codec.re.findall("[^\n]*\n|[^\n]+", t or "") for p in codec.PIECE.findall(line.replace(" ", "▁"))]
     assert sorted((str(r.lang), r.piece, r.n) for r in found.collect()) == sorted((str(k), p, pieces.count((k, p))) for k, p in set(pieces))
+
+
+def test_trigrams_are_counted_by_places_as_by_sorting(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(language, "SLICE", 200)
+    for letters in ("ab ", "abcdeé漢\U0001f642 ", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))):
+        texts = ["".join(rng.choices(letters, k=rng.choice((0, 1, 2, 3, 50, 300)))) for _ in range(40)]
+        codes, n = language.gram_counts(texts)
+        want = language.np.unique(language.trigrams(texts)[1], return_counts=True)
+        assert codes.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+    assert [len(x) for x in language.gram_counts(["", "ab"])] == [0, 0]
